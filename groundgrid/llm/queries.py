@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, lines, quality, simhash
+from . import bpe, chat, decontaminate, embeddings, lines, quality, secrets, simhash, toxicity, unigram
 from .common import crc_mod
 
 
@@ -15,6 +15,38 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    more = spark.range(2, numPartitions=1).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(control).alias("text"))
+    every = turns.union(more)
+    done = chat.format_conversations(every.select("conv_id", "turn", "role", chat.text_parts(F.col("text")).alias("parts")))
+    read = chat.read_turns(F.col("formatted"))
+    done = done.withColumns({"turns": read, "loss": chat.loss_text(F.col("formatted"), F.col("loss_spans"))})
+    digest = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return done.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(digest.cast("binary"), 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP1_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+sized AS (SELECT *, 19 + length(role || text) * 2 - length(replace(replace(replace(role || text, '~', ''), '<', ''), '[', '')) AS chars FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
+def op2_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = unigram.token_counts(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_tokens", "n_words", "n_unknown")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3)
     return done.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -37,7 +69,7 @@ sizes AS (SELECT DISTINCT k FROM windows),
 places AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS s
   FROM (SELECT doc_id, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM words, sizes WHERE len(w) >= k)),
 found AS (SELECT p.doc_id, p.i, p.k, t.item_id FROM places p JOIN windows t ON p.k = t.k AND p.s = t.s),
-hits AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS at FROM found) GROUP BY doc_id),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM found) GROUP BY doc_id),
 named AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n.n_items, 0) AS BIGINT) AS n_items,
   coalesce(n.items_sha256, sha256('')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
@@ -45,6 +77,20 @@ FROM words d LEFT JOIN hits h ON d.doc_id = h.doc_id LEFT JOIN named n ON d.doc_
 """
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), 0.98)
+
+
+OP5_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+ok AS (SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(e, lambda x: x * x)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT e.vec_id, (SELECT count(*) FROM links l WHERE l.a = e.vec_id) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = e.vec_id
+"""
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = lines.drop_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
@@ -61,6 +107,14 @@ FROM keyed k LEFT JOIN first f ON k.key = f.key AND length(k.key) >= 10 GROUP BY
 """
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = crc_mod(F.col("doc_id"), 5) == 0
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), ~held)
+    done = toxicity.score(docs, model)
+    return done.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe.ids_digest(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"))))
     return done.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
@@ -74,12 +128,23 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
+    return done.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(secrets.written(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat": op1_chat,
+    "op2_unigram": op2_unigram,
     "op3_simhash": op3_simhash,
     "op4_decontamination": op4_decontamination,
+    "op5_embeddings": op5_embeddings,
     "op6_line_dedup": op6_line_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
+    "op10_secrets": op10_secrets,
 }
 
-ORACLES: dict[str, str] = {"op4_decontamination": OP4_SQL, "op6_line_dedup": OP6_SQL}
+ORACLES: dict[str, str] = {"op1_chat": OP1_SQL, "op5_embeddings": OP5_SQL, "op4_decontamination": OP4_SQL, "op6_line_dedup": OP6_SQL}
