@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 #: The pattern by which byte-level BPE of this family parts a text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -123,7 +125,7 @@ def encode(docs: DataFrame, path: str | None = None, part_chars: int = 65_536) -
             yield b.append_column("ids", pa.array(ids, pa.list_(pa.int32())))
 
     whole = docs.where(~F.coalesce(long, F.lit(False)))
-    whole = whole.mapInArrow(run, whole.withColumn("ids", F.array().cast("array<int>")).schema)
+    whole = map_arrow(whole, run, whole.withColumn("ids", F.array().cast("array<int>")).schema)
 
     def split(batches):
         for b in batches:
@@ -140,8 +142,8 @@ def encode(docs: DataFrame, path: str | None = None, part_chars: int = 65_536) -
         return pa.Table.from_arrays([pa.array([keys[0].as_py()]), pa.array([ids], pa.list_(pa.int32()))], names=["joined_hash", "ids"])
 
     marked = docs.where(long).withColumn("text_hash", F.sha2("text", 256))
-    parts = marked.select("text_hash", "text").mapInArrow(split, "text_hash string, part int, text string")
-    parts = parts.repartition("text_hash", "part").mapInArrow(run, "text_hash string, part int, text string, ids array<int>")
+    parts = map_arrow(marked.select("text_hash", "text"), split, "text_hash string, part int, text string")
+    parts = map_arrow(parts.repartition("text_hash", "part"), run, "text_hash string, part int, text string, ids array<int>")
     joined = parts.select("text_hash", "part", "ids").groupBy("text_hash").applyInArrow(join, "joined_hash string, ids array<int>")
     back = marked.join(joined, marked["text_hash"] == joined["joined_hash"]).select(*(marked[c] for c in docs.columns), "ids")
     return whole.union(back)
@@ -158,7 +160,7 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
             texts = [None if x is None else codec.decode(x) for x in b.column("ids").to_pylist()]
             yield b.append_column("decoded", pa.array(texts, pa.string()))
 
-    return tokens.mapInArrow(run, tokens.withColumn("decoded", F.lit("")).schema)
+    return map_arrow(tokens, run, tokens.withColumn("decoded", F.lit("")).schema)
 
 
 def ids_digest(tokens: DataFrame) -> DataFrame:
@@ -170,4 +172,4 @@ def ids_digest(tokens: DataFrame) -> DataFrame:
             b = b.drop_columns(["ids"]).append_column("n_tokens", pa.array([len(x) for x in lists], pa.int64()))
             yield b.append_column("ids_sha256", pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in lists]))
 
-    return tokens.mapInArrow(run, tokens.drop("ids").withColumns({"n_tokens": F.lit(0).cast("long"), "ids_sha256": F.lit("")}).schema)
+    return map_arrow(tokens, run, tokens.drop("ids").withColumns({"n_tokens": F.lit(0).cast("long"), "ids_sha256": F.lit("")}).schema)

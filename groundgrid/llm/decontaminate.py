@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, UPPER, cut
+from .common import LOWER, UPPER, cut, map_arrow
 
 #: A-Z to a-z, digits, a-z and all bytes of non-ASCII characters stay; the rest parts words.
 _WORDS = bytes(b if b >= 0x80 or chr(b).isdigit() or chr(b) in LOWER else ord(chr(b).lower()) if chr(b) in UPPER else 0x20 for b in range(256))
@@ -190,7 +190,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, cover
                     kept = kept.append_column(name, pa.array(col, kind))
                 yield kept
 
-        out = out.mapInArrow(run, schema)
+        out = map_arrow(out, run, schema)
     return out
 
 
@@ -232,4 +232,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 10, cover
             b = b.set_column(b.schema.get_field_index("text"), "text", pa.array(texts, pa.string())).drop_columns(["n_words", "hit_spans", "hit_items"])
             yield b.filter(pa.array(gone, pa.bool_()))
 
-    return marked.mapInArrow(run, docs.schema)
+    return map_arrow(marked, run, docs.schema)

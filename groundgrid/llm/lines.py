@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower, cut
+from .common import SPACE, ascii_lower, cut, map_arrow
 
 
 def _first_occurrences(batches):
@@ -98,7 +98,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     )
     order = ["h1", "h2", "id_null", "doc_id", "text_hash", "pos"]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = cut(ranged.mapInArrow(_first_occurrences, "h1 long, h2 long, id_null int, doc_id long, text_hash long, pos int, kind int"))
+    found = cut(map_arrow(ranged, _first_occurrences, "h1 long, h2 long, id_null int, doc_id long, text_hash long, pos int, kind int"))
     first = found.where("kind = 2").groupBy("h1", "h2").agg(F.min(F.struct("id_null", "doc_id")).alias("first"))
     # At most two rows for each partition of the range exchange, however large the input.
     opened = found.where("kind = 1").join(F.broadcast(first), ["h1", "h2"]).where(F.struct("id_null", "doc_id") != F.col("first"))
@@ -125,4 +125,4 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     rows = rows.join(maps, rows["doc_id"].eqNullSafe(maps["map_id"]) & (rows["text_hash"] == maps["map_hash"]), "left").drop("map_id", "map_hash", "text_hash")
     rows = rows.withColumn("n_dropped", F.coalesce("n_dropped", F.lit(0)).cast("long"))
     out = rows.drop("keep").schema
-    return rows.mapInArrow(_apply, out)
+    return map_arrow(rows, _apply, out)

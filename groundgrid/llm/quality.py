@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, map_arrow
 
 #: Statistics of a text; all are 0 for a null or empty one.
 STATISTICS = ["log_chars", "upper", "digits", "spaces", "newlines", "symbols", "bangs", "stops", "pipes", "non_ascii", "word_chars", "distinct_words", "distinct_lines", "symbol_words"]
@@ -46,7 +46,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(pa.array(np.ascontiguousarray(x)) for x in rows.T)], names=[*kept, *names])
 
     schema = docs.select(*kept, *(F.lit(0.0).alias(n) for n in names)).schema
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def sample_labels(labels: DataFrame, label: str, learn: Column, rows: int) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, components, cut
+from .common import LOWER, UPPER, components, cut, map_arrow
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
@@ -44,7 +44,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             fps = [fingerprint(t.as_py(), words) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, fp long")
+    return map_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")), run, "doc_id long, fp long")
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -136,7 +136,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float)
     """The pairs (a, b) of doc_ids whose sets of word shingles have at least that Jaccard similarity."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary")).join(ids, "id", "left_semi")
-    sets = texts.mapInArrow(_shingle_sets(words), "id long, shingles array<long>")
+    sets = map_arrow(texts, _shingle_sets(words), "id long, shingles array<long>")
     sets = cut(sets.dropDuplicates(["id"]))
     left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
@@ -159,7 +159,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     no row; empty and null texts are equal; texts shorter than a shingle are one shingle.
     """
     known = docs.where("doc_id IS NOT NULL")
-    own = cut(known.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(_signatures, "doc_id long, h1 long, h2 long, w0 long, w1 long, w2 long"))
+    own = cut(map_arrow(known.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")), _signatures, "doc_id long, h1 long, h2 long, w0 long, w1 long, w2 long"))
     nodes = cut(own.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.min("w0").alias("w0"), F.min("w1").alias("w1"), F.min("w2").alias("w2")))
     mask = (1 << width) - 1
 

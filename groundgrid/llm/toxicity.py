@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, map_arrow
 from .quality import sample_labels
 
 #: Subsequences of three characters within SPAN; each skipped character costs a factor DECAY.
@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
     pos, neg = sides.get(1.0, 0), sides.get(0.0, 0)
     if not pos or not neg:
         return Toxicity(np.zeros(_SIZE**3), 0.0, 0.0, 0.0 if pos == neg else 4.0 if pos else -4.0)
-    words = sentences.mapInArrow(explode, "label double, w string")
+    words = map_arrow(sentences, explode, "label double, w string")
     counts = cut(words.groupBy("w").agg(F.sum("label").cast("long").alias("p"), F.sum(1 - F.col("label")).cast("long").alias("n")))
     odds = F.log((F.col("p") + 0.5) / (pos + 1)) - F.log((F.col("n") + 0.5) / (neg + 1))
     often = max(3, min(20, pos // 30))
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
                 found += [(p, f"{x} {z}") for x, w, z in zip(words, words[1:], words[2:]) for p in pieces(w) if p in sought.value]
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.string()) for i in (0, 1)], names=["w", "context"])
 
-    places = sentences.where("label = 1").mapInArrow(contexts, "w string, context string").groupBy("w").agg(F.countDistinct("context").alias("places"))
+    places = map_arrow(sentences.where("label = 1"), contexts, "w string, context string").groupBy("w").agg(F.countDistinct("context").alias("places"))
     seeds = seeds.merge(places.where(F.col("places") >= often).toPandas(), on="w").drop(columns="places")
     plain = counts.where("n > 0").orderBy(F.desc("n"), F.xxhash64("w")).limit(most_strings // 2)
     rare = counts.where("n > 0").orderBy(F.xxhash64("w"), "w").limit(most_strings // 2)
@@ -218,7 +218,7 @@ def score_strings(strings: DataFrame, model: Toxicity) -> DataFrame:
         for b in batches:
             yield b.append_column("decision", pa.array(shared.value.strings(b.column("w").to_pylist())))
 
-    return strings.mapInArrow(run, strings.withColumn("decision", F.lit(0.0)).schema)
+    return map_arrow(strings, run, strings.withColumn("decision", F.lit(0.0)).schema)
 
 
 def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -269,4 +269,4 @@ def score(docs: DataFrame, model: Toxicity, most_cached: int = 500_000) -> DataF
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(found), pa.array(machine.probability(found))], names=[*kept, "decision", "score"])
 
     schema = docs.select(*kept, F.lit(0.0).alias("decision"), F.lit(0.0).alias("score")).schema
-    return docs.select(*kept, "text").mapInArrow(run, schema)
+    return map_arrow(docs.select(*kept, "text"), run, schema)

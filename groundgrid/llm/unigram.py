@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 _loaded: dict = {}
 
 
@@ -104,4 +106,4 @@ def token_counts(docs: DataFrame, path: str | None = None, most_words: int = 300
 
     zero = F.lit(0).cast("long")
     schema = docs.select(*kept, zero.alias("n_words"), zero.alias("n_tokens"), zero.alias("n_unknown")).schema
-    return docs.select(*kept, F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(*kept, F.col("text").cast("binary").alias("text")), run, schema)
