@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import cell, distance
+from .components import written
 
 
 def within(a: DataFrame, b: DataFrame, radius: float, extra: Column | None = None, keys: tuple[str, ...] = ("raster_id",)) -> DataFrame:
@@ -31,15 +32,18 @@ def nearest(a: DataFrame, b: DataFrame, k: int = 1, start: float = 8.0, extra: C
     points of b has what there is. Empty sides give no rows.
     """
     w = Window.partitionBy("raster_id", "a_id").orderBy("d", "b_id")
+    a, b = written(a), written(b)
     found, rest, radius = None, a, start
     limits = b.groupBy("raster_id").agg(F.count("*").alias("n"), F.min("bx").alias("x0"), F.max("bx").alias("x1"), F.min("by").alias("y0"), F.max("by").alias("y1"))
     rest = rest.join(limits, "raster_id").withColumn("reach", F.greatest(F.abs(F.col("ax") - F.col("x0")), F.abs(F.col("ax") - F.col("x1"))) + F.greatest(F.abs(F.col("ay") - F.col("y0")), F.abs(F.col("ay") - F.col("y1")))).select(*a.columns, "reach")
+    rest = written(rest)
     for _ in range(rounds):
         hits = within(rest, b, radius, extra).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         full = hits.groupBy("raster_id", "a_id").agg(F.count("*").alias("have"), F.first("reach").alias("r")).where((F.col("have") >= k) | (F.col("r") < radius))
+        full = written(full)
         done = hits.join(full, ["raster_id", "a_id"], "left_semi").select("raster_id", "a_id", "b_id", "d", "rank")
         found = done if found is None else found.union(done)
-        rest = rest.join(full, ["raster_id", "a_id"], "left_anti").where(F.col("reach") >= radius)
+        rest = written(rest.join(full, ["raster_id", "a_id"], "left_anti").where(F.col("reach") >= radius))
         if rest.isEmpty():
             break
         radius *= 2
