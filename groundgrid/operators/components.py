@@ -38,8 +38,13 @@ def label_runs(pixels: DataFrame, connectivity: int = 8, by: tuple[str, ...] = (
     for overlap. Labels then take the least of their neighbours' and jump to their label's
     label, each round written out, until nothing changes.
     """
+    return label_given(runs(pixels, by), connectivity, by, rounds)
+
+
+def label_given(found: DataFrame, connectivity: int = 8, by: tuple[str, ...] = ("raster_id",), rounds: int = 60) -> DataFrame:
+    """label_runs over runs (by, y, x0, x1) that are known already."""
     reach = 1 if connectivity == 8 else 0
-    r = written(runs(pixels, by))
+    r = written(found)
     node = F.struct("y", "x0")
     a, b = r.alias("a"), r.alias("b")
     touch = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in by]
@@ -72,6 +77,14 @@ def stats(labelled: DataFrame, by: tuple[str, ...] = ("raster_id",)) -> DataFram
     )
 
 
+def large_regions(labelled: DataFrame, least: int, least_fat: int, by: tuple[str, ...] = ("raster_id",)) -> DataFrame:
+    """(by, comp_y, comp_x, area, fat): components of `least` pixels or more, of which least_fat or more lie in the square at the top left of their box, as wide as its shorter side."""
+    box = stats(labelled, by).select(*by, "comp_y", "comp_x", "left", "top", F.least("width", "height").alias("side"), "area")
+    inside = F.greatest(F.lit(0), F.least("x1", F.col("left") + F.col("side") - 1) - F.col("x0") + 1)
+    fat = labelled.join(box, [*by, "comp_y", "comp_x"]).groupBy(*by, "comp_y", "comp_x", "area").agg(F.sum(F.when(F.col("y") < F.col("top") + F.col("side"), inside).otherwise(0)).cast("long").alias("fat"))
+    return fat.where((F.col("area") >= least) & (F.col("fat") >= least_fat))
+
+
 def component_pixels(labelled: DataFrame, by: tuple[str, ...] = ("raster_id",)) -> DataFrame:
     return labelled.select(*by, "y", F.explode(F.sequence("x0", "x1")).alias("x"), "comp_y", "comp_x")
 
