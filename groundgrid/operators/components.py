@@ -35,8 +35,8 @@ def label_runs(pixels: DataFrame, connectivity: int = 8, by: tuple[str, ...] = (
     """Runs with comp_y, comp_x: the smallest (y, x0) of their component, which names it.
 
     Runs of neighbouring rows that touch (by a corner, too, for 8) are joined by row and checked
-    for overlap. Labels then take the least of their neighbours' and jump to their label's
-    label, each round written out, until nothing changes.
+    for overlap. Labels then take the least of their neighbours', tell it to the node they name and jump
+    to their label's label, each round written out, until nothing changes.
     """
     return label_given(runs(pixels, by), connectivity, by, rounds)
 
@@ -54,7 +54,11 @@ def label_given(found: DataFrame, connectivity: int = 8, by: tuple[str, ...] = (
     labels = r.select(*by, node.alias("u"), node.alias("label"))
     for _ in range(rounds):
         heard = both.join(labels.select(*by, F.col("u").alias("v"), "label"), [*by, "v"]).groupBy(*by, "u").agg(F.min("label").alias("heard"))
-        new = written(labels.join(heard, [*by, "u"], "left").select(*by, "u", F.col("label").alias("old"), F.least("label", F.coalesce("heard", "label")).alias("label")))
+        told = labels.join(heard, [*by, "u"], "left")
+        # What a node hears is told to the node that names it, too; otherwise a small label enters a part one node a round.
+        hook = told.groupBy(*by, F.col("label").alias("u")).agg(F.min("heard").alias("hook"))
+        least = F.least("label", F.coalesce("heard", "label"), F.coalesce("hook", "label"))
+        new = written(told.join(hook, [*by, "u"], "left").select(*by, "u", F.col("label").alias("old"), least.alias("label")))
         jump = new.select(*by, F.col("u").alias("label"), F.col("label").alias("further"))
         new = written(new.join(jump, [*by, "label"], "left").select(*by, "u", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
         changed = new.where("label != old").isEmpty()
