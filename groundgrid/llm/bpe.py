@@ -160,7 +160,7 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
             texts = [None if x is None else codec.decode(x) for x in b.column("ids").to_pylist()]
             yield b.append_column("decoded", pa.array(texts, pa.string()))
 
-    return map_arrow(tokens, run, tokens.withColumn("decoded", F.lit("")).schema)
+    return map_arrow(tokens, run, tokens.withColumn("decoded", F.lit(None).cast("string")).schema)
 
 
 def ids_digest(tokens: DataFrame) -> DataFrame:
