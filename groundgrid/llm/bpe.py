@@ -7,6 +7,7 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,9 +44,10 @@ class Codec:
         if any(file["model"]["vocab"]["".join(m)] != 256 + i for i, m in enumerate(merges)) or file.get("normalizer") or file["pre_tokenizer"].get("add_prefix_space"):
             raise ValueError("ids that follow the merges, no normaliser and no prefix space are needed")
         self.bpe = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        self.tokens = [b""] * (max([*ranks.values(), *special.values()]) + 1)
+        self.tokens: list[bytes] = [b""] * (max([*ranks.values(), *special.values()]) + 1)
         for b, i in [*ranks.items(), *((s.encode(), i) for s, i in special.items())]:
             self.tokens[i] = b
+        self.token_array = pa.array(self.tokens, pa.binary())
 
     @classmethod
     def at(cls, path: str) -> Codec:
@@ -57,12 +59,23 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         return self.bpe.encode(text, allowed_special="all")
 
+    def encode_array(self, text: str) -> np.ndarray:
+        return self.bpe.encode_to_numpy(text, allowed_special="all")
+
     def raw(self, ids) -> bytes:
         tokens = self.tokens
         return b"".join([tokens[i] for i in ids])
 
-    def decode(self, ids) -> str:
-        return self.raw(ids).decode("utf-8", "replace")
+    def decode_lists(self, lists: pa.ListArray) -> pa.StringArray:
+        """The text of each list of ids: the tokens' bytes taken in one go and cut where the lists end."""
+        raw = self.token_array.take(lists.flatten())
+        ends = np.frombuffer(raw.buffers()[1], "int32")[raw.offset : raw.offset + len(raw) + 1]
+        kept = pa.py_buffer(np.packbits(~lists.is_null().to_numpy(zero_copy_only=False), bitorder="little"))
+        texts = pa.Array.from_buffers(pa.binary(), len(lists), [kept, pa.py_buffer(ends[_ends(lists)]), raw.buffers()[2]])
+        try:
+            return texts.cast(pa.string())
+        except pa.ArrowInvalid:  # some list isn't UTF-8
+            return pa.array([None if x is None else x.decode("utf-8", "replace") for x in texts.to_pylist()], pa.string())
 
     def join(self, left: list[int], right: list[int], agree: int = 4) -> list[int]:
         """The encoding of two neighbouring texts' concatenation, from the encodings of each.
@@ -95,6 +108,12 @@ class Codec:
         return parts[0] if parts else []
 
 
+def _ends(lists: pa.ListArray) -> np.ndarray:
+    """Offsets of the lists in lists.flatten()."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return np.concatenate(([0], np.cumsum(sizes))).astype("int32")
+
+
 def cuts(text: str, part_chars: int) -> list[str]:
     """Halves of halves of a text until none is longer than part_chars (code points)."""
     if len(text) <= part_chars:
@@ -119,10 +138,11 @@ def encode(docs: DataFrame, path: str | None = None, part_chars: int = 65_536) -
     long = F.char_length("text") > part_chars
 
     def run(batches):
-        codec = Codec.at(path)
+        codec, none = Codec.at(path), np.empty(0, "uint32")
         for b in batches:
-            ids = [codec.encode(t) if t else [] for t in (x.as_py() for x in b.column("text"))]
-            yield b.append_column("ids", pa.array(ids, pa.list_(pa.int32())))
+            ids = [codec.encode_array(t) if t else none for t in (x.as_py() for x in b.column("text"))]
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype("int32")
+            yield b.append_column("ids", pa.ListArray.from_arrays(ends, np.concatenate([none, *ids]).view("int32")))
 
     whole = docs.where(~F.coalesce(long, F.lit(False)))
     whole = map_arrow(whole, run, whole.withColumn("ids", F.array().cast("array<int>")).schema)
@@ -137,8 +157,10 @@ def encode(docs: DataFrame, path: str | None = None, part_chars: int = 65_536) -
 
     def join(keys, table):
         codec = Codec.at(path)
-        rows = sorted(set(zip(table.column("part").to_pylist(), map(tuple, table.column("ids").to_pylist()))))
-        ids = codec.join_all([list(x) for _, x in rows])
+        # Repeated rows of a text bring the same parts again.
+        _, first = np.unique(table.column("part").to_numpy(), return_index=True)
+        ids = table.column("ids")
+        ids = codec.join_all([ids[int(i)].values.to_numpy().tolist() for i in first])
         return pa.Table.from_arrays([pa.array([keys[0].as_py()]), pa.array([ids], pa.list_(pa.int32()))], names=["joined_hash", "ids"])
 
     marked = docs.where(long).withColumn("text_hash", F.sha2("text", 256))
@@ -157,8 +179,7 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches):
         codec = Codec.at(path)
         for b in batches:
-            texts = [None if x is None else codec.decode(x) for x in b.column("ids").to_pylist()]
-            yield b.append_column("decoded", pa.array(texts, pa.string()))
+            yield b.append_column("decoded", codec.decode_lists(b.column("ids")))
 
     return map_arrow(tokens, run, tokens.withColumn("decoded", F.lit(None).cast("string")).schema)
 
@@ -168,8 +189,8 @@ def ids_digest(tokens: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            lists = [np.asarray(x, "<u4") for x in b.column("ids").to_pylist()]
-            b = b.drop_columns(["ids"]).append_column("n_tokens", pa.array([len(x) for x in lists], pa.int64()))
-            yield b.append_column("ids_sha256", pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in lists]))
+            ids, ends = b.column("ids").flatten().to_numpy().astype("<u4", copy=False), _ends(b.column("ids"))
+            b = b.drop_columns(["ids"]).append_column("n_tokens", pa.array(np.diff(ends), pa.int64()))
+            yield b.append_column("ids_sha256", pa.array([hashlib.sha256(ids[i:j]).hexdigest() for i, j in zip(ends[:-1], ends[1:])], pa.string()))
 
     return map_arrow(tokens, run, tokens.drop("ids").withColumns({"n_tokens": F.lit(0).cast("long"), "ids_sha256": F.lit("")}).schema)

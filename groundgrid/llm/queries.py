@@ -116,8 +116,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = bpe.ids_digest(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"))))
-    return done.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    tokens = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids")
+    done = bpe.decode(tokens).withColumn("decoded_sha256", F.sha2(F.col("decoded").cast("binary"), 256)).drop("decoded")
+    return bpe.ids_digest(done).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -161,6 +161,21 @@ def test_bpe_equals_the_library(spark):
     assert bpe.encode(docs_of(spark, [])).count() == 0
 
 
+def test_bpe_decodes_odd_lists(spark):
+    """Null and empty lists, bytes that are no UTF-8, and an empty table, as the library decodes them."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.default_vocabulary())
+    snow = t.encode("snow \u2603 and \U0001f600", add_special_tokens=False).ids
+    lists = [None, [], snow, snow[:-1], snow[1:], [0, 1], [50256, 11], None]
+    df = spark.createDataFrame(list(enumerate(lists)), "doc_id long, ids array<int>")
+    got = {r.doc_id: r.decoded for r in bpe.decode(df.coalesce(1)).collect()}
+    assert got == {i: None if x is None else t.decode(x, skip_special_tokens=False) for i, x in enumerate(lists)}
+    sizes = {r.doc_id: r.n_tokens for r in bpe.ids_digest(df).collect()}
+    assert sizes == {i: len(x or []) for i, x in enumerate(lists)}
+    assert bpe.ids_digest(bpe.decode(df.where("doc_id < 0"))).count() == 0
+
+
 def test_chat_parts_and_round_trip(spark):
     img = {"type": "image", "text": None, "ref": "a.png", "width": 28, "height": 15, "seconds": None, "pages": None}
     say = lambda s: {"type": "text", "text": s, "ref": None, "width": None, "height": None, "seconds": None, "pages": None}
