@@ -86,117 +86,177 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     return own.join(nodes, own["fp"] == nodes["node"]).select("doc_id", "fp", "component_id")
 
 
-def _wide(words: list[bytes]) -> np.ndarray:
-    """192-bit SimHash, as three int64, of a text's distinct words."""
+#: Bits of a set's parity map, as longs: each shingle flips one bit, so two maps differ in no more bits than the sets in shingles.
+_MAP = [f"p{k}" for k in range(8)]
+
+
+def _shingle_set(words: list[bytes], size: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of `size` words; of fewer words, of the whole sequence."""
     import xxhash
 
     if not words:
-        return np.zeros(3, "int64")
-    h = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in set(words)), "uint64")
-    made = []
-    for k in range(3):  # three independent hashes from one, by a finaliser of multiplications and shifts
-        z = h + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) % 2**64)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        z ^= z >> np.uint64(31)
-        total = np.unpackbits(z.view("uint8").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="int64")
-        made.append(np.packbits(2 * total > len(h), bitorder="little").view("int64")[0])
-    return np.array(made)
-
-
-def _signatures(batches):
+        return np.zeros(0, "uint64")
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), "uint64", len(words))
+    k = min(size, len(words))
+    n = len(words) - k + 1
+    z = np.full(n, 0x9E3779B97F4A7C15, "uint64")
+    for i in range(k):
+        z = (z ^ h[i : i + n]) * np.uint64(0xBF58476D1CE4E5B9)
+        z ^= z >> np.uint64(29)
+    return np.unique(z)
+
+
+def _words(text: bytes | None) -> tuple[list[bytes], np.ndarray]:
+    """A text's words (A-Z lower-cased), and the 128-bit hash of their sequence as two int64."""
     import xxhash
 
-    for b in batches:
-        rows = []
-        for t in b.column(1):
-            words = (t.as_py() or b"").translate(_LOWER).split()
-            digest = xxhash.xxh3_128_digest(b" ".join(words))
-            rows.append([*np.frombuffer(digest, "int64"), *_wide(words)])
-        cols = np.array(rows, "int64").reshape(-1, 5).T
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(x)) for x in cols)], names=["doc_id", "h1", "h2", "w0", "w1", "w2"])
+    words = (text or b"").translate(_LOWER).split()
+    return words, np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words)), "int64")
 
 
-def _shingle_sets(size: int):
-    def run(batches):
-        import xxhash
+def _prefix(found: np.ndarray, similarity: float, hot: np.ndarray, heat: np.ndarray) -> np.ndarray:
+    """The first n - ceil(similarity * n) + 1 shingles, the least frequent of `hot` first and those not in it before them.
+
+    Two sets of at least that Jaccard similarity share one of these, whatever the order, as long as it is the same for all sets.
+    """
+    take = len(found) - int(np.ceil(similarity * len(found) - 1e-9)) + 1
+    if not len(found):
+        return found
+    weight = np.zeros(len(found), "int64")
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, found), len(hot) - 1)
+        weight = np.where(hot[at] == found, heat[at], 0)
+    return found[np.lexsort((found, weight))[:take]]
+
 
+def _sketches(size: int, similarity: float, shared):
+    def run(batches):
+        hot, heat = shared.value
         for b in batches:
-            sets = []
+            heads, prefixes, maps = [], [], []
             for t in b.column(1):
-                words = (t.as_py() or b"").translate(_LOWER).split()
-                k = min(size, len(words)) or 1
-                sets.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + k])) for i in range(len(words) - k + 1)), "uint64")).view("int64"))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+                words, digest = _words(t.as_py())
+                found = _shingle_set(words, size)
+                heads.append([*digest, len(found)])
+                prefixes.append(_prefix(found, similarity, hot, heat).view("int64"))
+                odd = np.bincount((found >> np.uint64(55)).view("int64"), minlength=64 * len(_MAP)) & 1
+                maps.append(np.packbits(odd.astype("uint8"), bitorder="little").view("int64"))
+            heads, maps = np.array(heads, "int64").reshape(-1, 3).T, np.array(maps, "int64").reshape(-1, len(_MAP)).T
+            cols = [pa.array(np.ascontiguousarray(x)) for x in (*heads, *maps)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "h1", "h2", "n", *_MAP, "prefix"])
 
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose sets of word shingles have at least that Jaccard similarity."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary")).join(ids, "id", "left_semi")
-    sets = map_arrow(texts, _shingle_sets(words), "id long, shingles array<long>")
-    sets = cut(sets.dropDuplicates(["id"]))
-    left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+def _frequent(texts: DataFrame, size: int, least: int = 3, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that at least `least` texts of a sixteenth hold, at most `most` of them, with the number of texts.
+
+    They only order the prefixes: hot shingles last, so that few texts meet under them. No result depends on them.
+    """
+
+    def run(batches):
+        for b in batches:
+            sets = [_shingle_set(_words(t.as_py())[0], size).view("int64") for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(sets, pa.list_(pa.int64()))], names=["shingles"])
+
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(16)) == 0).select("text")
+    counts = map_arrow(some, run, "shingles array<long>").select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"))
+    counts = cut(counts.where(F.col("n") >= least))
+    total, floor = 0, least
+    for r in sorted(counts.groupBy("n").agg(F.count("*").alias("m")).collect(), key=lambda r: -r["n"]):
+        total += r["m"]
+        if total > most:
+            floor = r["n"] + 1
+            break
+    found = counts.where(F.col("n") >= floor).toArrow()  # at most `most` rows
+    shingle, n = found.column("shingle").to_numpy().view("uint64"), found.column("n").to_numpy()
+    order = np.argsort(shingle)
+    return shingle[order], n[order]
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets of word shingles have at least that Jaccard similarity."""
+
+    def run(batches):
+        for b in batches:
+            digests, sets = [], []
+            for t in b.column(1):
+                found, digest = _words(t.as_py())
+                digests.append(digest)
+                sets.append(_shingle_set(found, words).view("int64"))
+            h = np.array(digests, "int64").reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(x)) for x in h), pa.array(sets, pa.list_(pa.int64()))], names=["id", "h1", "h2", "shingles"])
+
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = cut(nodes.select("node", "id", "h1", "h2").join(wanted, "node", "left_semi"))
+    held = texts.withColumnRenamed("doc_id", "id").join(wanted.select("id").distinct(), "id", "left_semi")
+    # A doc_id may have several texts, so a set belongs to a text's hash.
+    sets = map_arrow(held.select("id", "text"), run, "id long, h1 long, h2 long, shingles array<long>").join(wanted, ["id", "h1", "h2"])
+    sets = cut(sets.select("node", "shingles").dropDuplicates(["node"]))
+    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return cut(pairs.join(left, "a").join(right, "b").where(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b"))
+    return cut(pairs.join(left, "a").join(right, "b").where(both >= similarity * (F.size("sa") + F.size("sb") - both) - 1e-9).select("a", "b"))
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, segments: int = 6, width: int = 24, max_differ: int = 14) -> DataFrame:
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of every distinct non-null doc_id: component_id is the smallest doc_id
     that links reach. Texts link if their sets of `words`-word shingles have Jaccard similarity >= `similarity`.
 
-    Two bits of 64 would miss most pairs of similarity 0.8, so candidates come from a 192-bit
-    SimHash of distinct words, of which an edited word changes few bits: `segments` segments of
-    `width` bits are indexed under their one-wildcard variants, joined by equality, sifted by
-    the last 64 bits (at most max_differ differ) and verified on the shingles themselves.
-    Texts with equal word sequences are one node. A first pass verifies each text against one
-    text of its buckets; a second only pairs of different components, so a group of n near
-    copies costs about n verifications and no link between components is lost.
+    No link is lost: two such sets share a shingle of their prefixes (see _prefix), which are
+    joined by equality. Pairs are sifted by bounds that no link exceeds: the sets' sizes, the
+    places of the shared shingle, and the bits in which parity maps differ; then verified on
+    the shingles themselves. Texts with equal word sequences are one node. A first pass verifies
+    each text against one text of its keys; a second only pairs of different components, so a
+    group of n near copies costs about n verifications and no link between components is lost.
 
     Rows of one doc_id are one document (linked through each of its texts); null doc_ids give
     no row; empty and null texts are equal; texts shorter than a shingle are one shingle.
     """
-    known = docs.where("doc_id IS NOT NULL")
-    own = cut(map_arrow(known.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")), _signatures, "doc_id long, h1 long, h2 long, w0 long, w1 long, w2 long"))
-    nodes = cut(own.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.min("w0").alias("w0"), F.min("w1").alias("w1"), F.min("w2").alias("w2")))
-    mask = (1 << width) - 1
-
-    def bits(at: int):
-        word, shift = divmod(at, 64)
-        low = F.shiftrightunsigned(f"w{word}", shift)
-        if shift + width > 64:
-            low = low.bitwiseOR(F.shiftleft(f"w{word + 1}", 64 - shift))
-        return low.bitwiseAND(F.lit(mask))
-
-    segs = F.array(*[bits(k * width) for k in range(segments)])
-    # One bit of a segment cleared; the bit's number is part of the key.
-    wild = F.array(*[F.lit(mask ^ (1 << i)) for i in range(width)])
-    variants = F.flatten(F.transform(segs, lambda s, k: F.transform(wild, lambda m, i: F.shiftleft((k * width + i).cast("long"), width).bitwiseOR(s.bitwiseAND(m)))))
-    index = nodes.select("id", F.col("w2").alias("check"), F.explode(variants).alias("key"))
-    close = lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= max_differ
-
-    hub = F.min(F.struct(F.xxhash64("id").alias("rank"), F.col("id").alias("hub"), F.col("check").alias("hub_check"))).alias("h")
-    hubs = cut(index.groupBy("key").agg(hub, F.count("*").alias("n")).where("n > 1").select("key", "h"))
-    near = index.join(hubs, "key").where((F.col("h.hub") != F.col("id")) & close(F.col("check"), F.col("h.hub_check")))
-    first = cut(near.groupBy("id").agg(F.min("h").alias("h")).select(F.least("id", "h.hub").alias("a"), F.greatest("id", "h.hub").alias("b")).distinct())
-    found = _verified(first, docs, words, similarity)
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(_frequent(texts, words))
+    schema = f"doc_id long, h1 long, h2 long, n long, {', '.join(f'{p} long' for p in _MAP)}, prefix array<long>"
+    own = cut(map_arrow(texts, _sketches(words, similarity, shared), schema))
+    sketch = F.first(F.struct("n", *_MAP, "prefix")).alias("s")  # equal for equal sequences
+    nodes = own.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), sketch).select("h1", "h2", "id", "s.*")
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
+
+    index = nodes.select("node", F.posexplode("prefix").alias("pos", "key"))
+    hub = F.min(F.struct(F.xxhash64("node").alias("rank"), F.col("node").alias("hub"))).alias("h")
+    keys = cut(index.groupBy("key").agg(hub, F.count("*").alias("m")).where("m > 1").select("key", "h"))
+    met = cut(index.join(keys, "key"))
+    met = cut(met.join(nodes.select("node", "n", *_MAP), "node"))
+
+    def close(x: str, y: str):
+        c = lambda side, name: F.col(f"{side}.{name}")
+        n = c(x, "n") + c(y, "n")
+        least = n * (similarity / (1 + similarity)) - 1e-9  # shingles in common
+        sizes = F.least(c(x, "n"), c(y, "n")) >= similarity * F.greatest(c(x, "n"), c(y, "n")) - 1e-9
+        # A pair's first common key leaves no more than this; its other keys may be dropped.
+        places = F.least(c(x, "n") - c(x, "pos"), c(y, "n") - c(y, "pos")) >= least
+        bits = sum((F.bit_count(c(x, p).bitwiseXOR(c(y, p))) for p in _MAP[1:]), F.bit_count(c(x, _MAP[0]).bitwiseXOR(c(y, _MAP[0]))))
+        return sizes & places & (bits <= n - 2 * least)
+
+    hubs = cut(met.where(F.col("node") == F.col("h.hub")).select("key", "pos", "n", *_MAP))
+    near = met.alias("x").join(hubs.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("x.h.hub")) & close("x", "y"))
+    near = near.groupBy(F.col("x.node").alias("node")).agg(F.min("x.h").alias("h"))
+    first = cut(near.select(F.least("node", "h.hub").alias("a"), F.greatest("node", "h.hub").alias("b")).distinct())
+    found = _verified(first, nodes, texts, words, similarity)
     roots = cut(components(found))
 
-    labelled = nodes.join(roots, nodes["id"] == roots["node"], "left").withColumn("comp", F.coalesce("root", "id")).drop("node", "root")
+    labelled = met.drop("h").join(roots.withColumnRenamed("node", "was"), F.col("node") == F.col("was"), "left").withColumn("comp", F.coalesce("root", "node")).drop("was", "root")
     labelled = cut(labelled)
-    mixed = labelled.select("id", "comp", F.col("w2").alias("check"), F.explode(variants).alias("key"))
-    several = cut(mixed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key"))
-    mixed = cut(mixed.join(several, "key", "left_semi"))
+    several = cut(labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key"))
+    mixed = cut(labelled.join(several, "key", "left_semi"))
     x, y = mixed.alias("x"), mixed.alias("y")
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & close(F.col("x.check"), F.col("y.check")))
-    rest = cut(rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
-    found = found.union(_verified(rest, docs, words, similarity))
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & close("x", "y"))
+    rest = cut(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
+    found = found.union(_verified(rest, nodes, texts, words, similarity))
 
     # All texts of a doc_id hang together, and so do all doc_ids of a text.
-    member = own.join(nodes.select("h1", "h2", "id"), ["h1", "h2"]).select("doc_id", "id")
-    roots = components(found.union(member.select("doc_id", "id").distinct()))
+    ids = nodes.select("node", "id")
+    found = found.join(ids.toDF("a", "ida"), "a").join(ids.toDF("b", "idb"), "b").select("ida", "idb").toDF("a", "b")
+    member = own.select("doc_id", "h1", "h2").join(nodes.select("h1", "h2", "id"), ["h1", "h2"]).select("doc_id", "id")
+    roots = components(found.union(member.distinct()))
     least = roots.groupBy("root").agg(F.min("node").alias("component_id"))
     roots = cut(cut(roots).join(cut(least), "root").select("node", "component_id"))
     every = own.select("doc_id").distinct()

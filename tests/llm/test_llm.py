@@ -115,6 +115,48 @@ def test_similar_documents_finds_edited_copies(spark):
     assert simhash.keep_one(docs_of(spark, rows)).where("doc_id IS NULL").count() == 1
 
 
+def jaccard_roots(rows, size=5, similarity=0.8):
+    """Smallest doc_id that links reach, by comparing all pairs."""
+    sets, root = {}, {}
+    for d, t in rows:
+        w = t.split()
+        k = min(size, len(w))
+        sets[d], root[d] = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}, d
+    find = lambda d: d if root[d] == d else find(root[d])
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) - 1e-9:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {d: find(d) for d in sets}
+
+
+def test_similar_documents_equal_brute_force(spark):
+    rng = random.Random(8)
+    made = iter(range(10**6))
+    new = lambda n: ["new%d" % next(made) for _ in range(n)]
+    texts = []
+    for _ in range(15):
+        w = new(204)
+        texts += [w, w + new(round(200 * x)) if (x := rng.uniform(0.1, 0.3)) else w]  # 200 shingles; similarity 1 / (1 + x)
+        few = [rng.choice(w[:100]) for _ in range(204)]  # few distinct words, all words appended new
+        texts += [few, few + new(25), few + new(48), few + new(52)]
+        short = new(20)
+        texts += [short, short[:-1] + new(1), short + new(4), short + new(5), short[:12], short[:13], new(2) + short]
+    rng.shuffle(texts)
+    rows = [(d, " ".join(w)) for d, w in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs_of(spark, rows)).collect()}
+    want = jaccard_roots(rows)
+    assert got == want and len(set(want.values())) < len(rows) - 60
+
+
+def test_sets_belong_to_texts_where_a_doc_id_repeats(spark):
+    w = ["w%d" % i for i in range(60)]
+    rows = [(1, " ".join(w)), (2, "other words that link with nothing at all"), (2, " ".join(w + ["more"])), (3, "other words that link with nothing at all in")]
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs_of(spark, rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1}  # 4 of 5 shingles are the same
+
+
 def brute_hits(text, items, length=10):
     words = [w.decode() for w in decontaminate.words_of((text or "").encode())]
     hit, names = set(), set()
