@@ -132,10 +132,9 @@ class Automaton:
                     u = near[link[u]] if u else -1
                 if longest:
                     first = at - longest + 1
-                    if spans and first <= spans[-1][1] + 1:
-                        spans[-1] = [min(spans[-1][0], first), at]
-                    else:
-                        spans.append([first, at])
+                    while spans and first <= spans[-1][1] + 1:  # a long window may hold several spans of short items
+                        first = min(first, spans.pop()[0])
+                    spans.append([first, at])
         return [tuple(x) for x in spans], items
 
 

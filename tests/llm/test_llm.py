@@ -189,6 +189,16 @@ def test_contamination_equals_brute_force(spark, block):
     assert decontaminate.contamination(docs_of(spark, rows), bench.limit(0)).where("size(hit_spans) > 0").count() == 0
 
 
+def test_contamination_of_short_items_inside_a_long_one(spark):
+    long = "l0 aa l2 l3 bb cc l6 aa l8 l9".split()
+    bench = spark.createDataFrame([("one", "aa"), ("two", "bb cc"), ("long", " ".join(long))], "item_id string, text string")
+    rows = [(1, " ".join(["x", "y", "z", "z", *long, "end"])), (2, "aa x aa bb cc y"), (3, "aa " + " ".join(long[1:]))]
+    got = {r.doc_id: [tuple(s) for s in r.hit_spans] for r in decontaminate.contamination(docs_of(spark, rows), bench).collect()}
+    assert got == {1: [(4, 13)], 2: [(0, 0), (2, 4)], 3: [(0, 1), (4, 5), (7, 7)]}
+    left = {r.doc_id: r.text for r in decontaminate.decontaminate(docs_of(spark, rows), bench).collect()}
+    assert left[1].split() == ["x", "y", "z", "z", "end"]
+
+
 def test_bpe_equals_the_library(spark):
     from tokenizers import Tokenizer
 
