@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import component_pixels, label_given, label_runs, runs
-from .pixels import KEY, close_rect, erode_rect
+from .pixels import KEY, close_rect, erode_rect, gray
 
 #: The derivative and smoothing taps of the gradient kernels, by size.
 SOBEL = {3: ([-1, 0, 1], [1, 2, 1]), 5: ([-1, -2, 0, 2, 1], [1, 4, 6, 4, 1])}
@@ -149,6 +149,21 @@ def near_offsets(reach: float, chamfer: bool = True) -> list[tuple[int, int]]:
     return [(dx, dy) for dx in range(-far, far + 1) for dy in range(-far, far + 1) if cost(dx, dy) <= reach]
 
 
+def _by_light(rgb: DataFrame, keep, width: int, height: int, size: int, iterations: int, close_size: int, close_iterations: int) -> DataFrame:
+    mask = gaussian_blur(gray(rgb), 5, 5, width, height).where(keep).withColumn("v", F.lit(255.0))
+    return close_rect(erode_rect(mask, size, iterations, width, height), close_size, close_iterations, width, height).select(*KEY)
+
+
+def filter_shadows(rgb: DataFrame, width: int, height: int, th: float = 100, size: int = 5, iterations: int = 3, close_size: int = 10, close_iterations: int = 3) -> DataFrame:
+    """Pixels of dark regions: blurred gray of at most th, small specks eroded away and gaps closed."""
+    return _by_light(rgb, F.col("v") <= th, width, height, size, iterations, close_size, close_iterations)
+
+
+def filter_bright(rgb: DataFrame, width: int, height: int, th: float, size: int = 5, iterations: int = 3, close_size: int = 10, close_iterations: int = 7) -> DataFrame:
+    """Pixels of bright regions: blurred gray above th, small specks eroded away and gaps closed."""
+    return _by_light(rgb, F.col("v") > th, width, height, size, iterations, close_size, close_iterations)
+
+
 def erase_border(p: DataFrame, width: int, height: int, reach: float = 5, chamfer: bool = True) -> DataFrame:
     """Pixels farther than reach from every absent one. Only absent pixels next to present ones are looked at: the nearest is one of them."""
     ring = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy]

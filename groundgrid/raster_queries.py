@@ -157,18 +157,44 @@ def _(t):
 GRAY = f"gray AS (SELECT {KEY}, r * CAST(0.299 AS DOUBLE) + g * CAST(0.587 AS DOUBLE) + b * CAST(0.114 AS DOUBLE) AS v FROM rgb)"
 
 
-def _by_light(name: str, keep: str) -> None:
+def _by_light(name: str, keep: str, f) -> None:
     sql = ", ".join([GRAY, blur_sql("soft", "gray", 5, 5), f"mask AS (SELECT {KEY}, CAST(255 AS DOUBLE) AS v FROM soft WHERE {keep})", shape_sql("thin", "mask", square(3), "min"), shape_sql("fat", "thin", square(3), "max"), shape_sql("closed", "fat", square(3), "min")])
 
     @query(name, f"WITH {sql} SELECT {KEY} FROM closed")
     def _(t):
         n = _n(t)
-        mask = focal.gaussian_blur(pixels.gray(t("rgb")), 5, 5, n, n).where(keep).withColumn("v", F.lit(255.0))
-        return pixels.close_rect(pixels.erode_rect(mask, 3, 1, n, n), 3, 1, n, n).select(*pixels.KEY)
+        return f(t("rgb"), n, n, size=3, iterations=1, close_size=3, close_iterations=1)
 
 
-_by_light("p16_filter_shadows", "v <= 130.5")
-_by_light("p17_filter_bright", "v > 150.5")
+_by_light("p16_filter_shadows", "v <= 130.5", lambda *a, **how: focal.filter_shadows(*a, 130.5, **how))
+_by_light("p17_filter_bright", "v > 150.5", lambda *a, **how: focal.filter_bright(*a, 150.5, **how))
+
+
+def mask_sql(name: str, src: str, before: int, after: int, how: str) -> str:
+    """Dilation or erosion of a set of pixels under a rectangle, as two common table expressions, one an axis."""
+    parts = []
+    for to, of, axis, other in ((f"{name}_1", src, "x", "y"), (name, f"{name}_1", "y", "x")):
+        if how == "max":
+            parts.append(f"{to} AS (SELECT DISTINCT raster_id, {other}, {axis} + o AS {axis} FROM {of} JOIN (SELECT unnest(range({-after}, {before + 1})) AS o) offs_ ON TRUE JOIN grid ON TRUE WHERE {axis} + o BETWEEN 0 AND w - 1)")
+        else:
+            count = f"count(*) OVER (PARTITION BY raster_id, {other} ORDER BY {axis} RANGE BETWEEN {before} PRECEDING AND {after} FOLLOWING)"
+            parts.append(f"{to} AS (SELECT {KEY} FROM (SELECT {KEY}, w, {count} AS n FROM {of} JOIN grid ON TRUE) WHERE n = least({after}, w - 1 - {axis}) + least({before}, {axis}) + 1)")
+    return ", ".join(parts)
+
+
+def _by_light_whole(name: str, keep: str, times: int, f) -> None:
+    """With the reference's sizes: erosion 5 x 5 three times, closing 10 x 10 `times` times."""
+    closing = (5 * times, 4 * times)
+    sql = ", ".join([GRAY, blur_sql("soft", "gray", 5, 5), f"mask AS (SELECT {KEY} FROM soft WHERE {keep})", mask_sql("thin", "mask", 6, 6, "min"), mask_sql("fat", "thin", *closing, "max"), mask_sql("closed", "fat", *closing, "min")])
+
+    @query(name, f"WITH {sql} SELECT CAST(raster_id AS INT) AS raster_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM closed")
+    def _(t):
+        n = _n(t)
+        return f(t("rgb"), n, n)
+
+
+_by_light_whole("p16_filter_shadows_whole", "v <= 130.5", 3, lambda *a: focal.filter_shadows(*a, 130.5))
+_by_light_whole("p17_filter_bright_whole", "v > 150.5", 7, lambda *a: focal.filter_bright(*a, 150.5))
 
 
 @query("w6_extend_floor", f"""WITH m AS (SELECT {KEY}, v, x // 100 AS wx, y // 100 AS wy FROM canopy), a AS (SELECT raster_id, wx, wy, coalesce(floor(avg(v) FILTER (v BETWEEN 1 AND 255 AND v < 6)), 0) AS f FROM m GROUP BY 1, 2, 3)

@@ -5,7 +5,7 @@ import random
 import pytest
 from test_operators import flood, test_query_equals_its_sql as equals_its_sql
 
-from groundgrid.operators import focal, tops
+from groundgrid.operators import focal, pixels, tops
 from groundgrid.sources import files
 
 
@@ -69,3 +69,30 @@ def test_manifest_boxes_matrix_and_lines(spark, tmp_path):
     assert [tuple(r) for r in files.read_boxes(spark, str(tmp_path / "b.txt")).collect()] == [(1, 2, 3, 4), (5, 6, 7, 8)]
     (tmp_path / "x.txt").write_text("head\nc1 0.5 oops 2\n")
     assert [(r.config_ord, r.mosaic, r.value) for r in files.read_metric_matrix(spark, str(tmp_path / "x.txt"), 1).collect()] == [(1, 1, 0.5), (1, 3, 2.0)]
+
+
+def plain_mask(cells, n, before, after, iterations, grow):
+    for _ in range(iterations):
+        frame = lambda c: range(max(0, c - before), min(n, c + after + 1))
+        some = any if grow else all
+        cells = {(y, x) for y in range(n) for x in range(n) if some((v, u) in cells for v in frame(y) for u in frame(x))}
+    return cells
+
+
+@pytest.mark.parametrize("dark, closings", [(True, 3), (False, 7)])
+def test_light_filters_erode_and_close_with_the_sizes_of_the_reference(spark, dark, closings):
+    n = 44
+    shape = {(y, x) for y in range(n) for x in range(n) if (4 <= y < 40 and (3 <= x < 19 or 26 <= x < 43)) or (y < 3 and x < 3)}
+    light = [(1, y, x, *[(60 if ((y, x) in shape) == dark else 200)] * 3) for y in range(n) for x in range(n)]
+    rgb = spark.createDataFrame(light, "raster_id int, y int, x int, r int, g int, b int")
+    got = {(r.y, r.x) for r in (focal.filter_shadows(rgb, n, n) if dark else focal.filter_bright(rgb, n, n, 100)).collect()}
+    soft = focal.gaussian_blur(pixels.gray(rgb), 5, 5, n, n).collect()
+    want = plain_mask({(r.y, r.x) for r in soft if (r.v <= 100) == dark}, n, 2, 2, 3, False)
+    for grow in (True, False):
+        want = plain_mask(want, n, 5, 4, closings, grow)
+    assert got == want and got
+
+
+@pytest.mark.parametrize("name", ["p16_filter_shadows", "p16_filter_shadows_whole", "p17_filter_bright", "p17_filter_bright_whole"])
+def test_light_query_equals_its_sql(spark, name):
+    equals_its_sql(spark, name)
