@@ -17,11 +17,13 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset and Spark runs in this process."""
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     _own_dir = _own_dir or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return _own_dir
 
@@ -31,7 +33,28 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._cut_path = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote, once nothing that is still to be computed reads them."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._cut_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns, each with as many underscores before it as columns of docs of that name need."""
+    taken, made = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        made.append(name)
+    return made
 
 
 def map_arrow(df: DataFrame, run, schema, rows: int = 512) -> DataFrame:
@@ -71,9 +94,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         best = e.groupBy("a").agg(F.min(rank(F.col("b"))).alias("m"))
         move = cut(best.select(F.col("a").alias("was"), F.least("m", rank(F.col("a")))["to"].alias("now")))
         moves.append(move)
-        e = e.join(move, F.col("a") == F.col("was")).select(F.col("now").alias("a"), "b")
-        e = e.join(move, F.col("b") == F.col("was")).select("a", F.col("now").alias("b"))
-        e = cut(e.where("a != b").distinct())
+        moved = e.join(move, F.col("a") == F.col("was")).select(F.col("now").alias("a"), "b")
+        moved = moved.join(move, F.col("b") == F.col("was")).select("a", F.col("now").alias("b"))
+        moved = cut(moved.where("a != b").distinct())
+        drop(e)
+        e = moved
     else:
         raise RuntimeError("the contraction of components did not end")
     if not moves:

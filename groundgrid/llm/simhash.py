@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, components, cut, map_arrow
+from .common import LOWER, UPPER, components, cut, drop, map_arrow
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
@@ -195,19 +197,26 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int,
     sets = cut(sets.select("node", "shingles").dropDuplicates(["node"]))
     left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return cut(pairs.join(left, "a").join(right, "b").where(both >= similarity * (F.size("sa") + F.size("sb") - both) - 1e-9).select("a", "b"))
+    found = cut(pairs.join(left, "a").join(right, "b").where(both >= similarity * (F.size("sa") + F.size("sb") - both) - 1e-9).select("a", "b"))
+    drop(wanted, sets)
+    return found
 
 
-def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, hubs: int = 8, few: int = 32) -> DataFrame:
     """(doc_id, component_id) of every distinct non-null doc_id: component_id is the smallest doc_id
     that links reach. Texts link if their sets of `words`-word shingles have Jaccard similarity >= `similarity`.
 
     No link is lost: two such sets share a shingle of their prefixes (see _prefix), which are
     joined by equality. Pairs are sifted by bounds that no link exceeds: the sets' sizes, the
     places of the shared shingle, and the bits in which parity maps differ; then verified on
-    the shingles themselves. Texts with equal word sequences are one node. A first pass verifies
-    each text against one text of its keys; a second only pairs of different components, so a
-    group of n near copies costs about n verifications and no link between components is lost.
+    the shingles themselves. Texts with equal word sequences are one node.
+
+    A first pass verifies each text against one text of its keys, so a group of n near copies
+    costs about n verifications. As long as the texts of shared keys that hang together by no
+    link yet make more than `few` pairs a row, a round compares `hubs` texts of each key with
+    the others, which is linear; what is left is compared pair by pair. Rounds also end when
+    one has not halved the pairs: many texts that share a rare shingle and aren't similar then
+    cost a sifted comparison of each pair, in place of a lost link.
 
     Rows of one doc_id are one document (linked through each of its texts); null doc_ids give
     no row; empty and null texts are equal; texts shorter than a shingle are one shingle.
@@ -221,10 +230,9 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
 
     index = nodes.select("node", F.posexplode("prefix").alias("pos", "key"))
-    hub = F.min(F.struct(F.xxhash64("node").alias("rank"), F.col("node").alias("hub"))).alias("h")
-    keys = cut(index.groupBy("key").agg(hub, F.count("*").alias("m")).where("m > 1").select("key", "h"))
-    met = cut(index.join(keys, "key"))
-    met = cut(met.join(nodes.select("node", "n", *_MAP), "node"))
+    keys = cut(index.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub != other").select("key", "hub"))
+    met = cut(index.join(keys, "key").join(nodes.select("node", "n", *_MAP), "node"))
+    drop(keys)
 
     def close(x: str, y: str):
         c = lambda side, name: F.col(f"{side}.{name}")
@@ -236,21 +244,42 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
         bits = sum((F.bit_count(c(x, p).bitwiseXOR(c(y, p))) for p in _MAP[1:]), F.bit_count(c(x, _MAP[0]).bitwiseXOR(c(y, _MAP[0]))))
         return sizes & places & (bits <= n - 2 * least)
 
-    hubs = cut(met.where(F.col("node") == F.col("h.hub")).select("key", "pos", "n", *_MAP))
-    near = met.alias("x").join(hubs.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("x.h.hub")) & close("x", "y"))
-    near = near.groupBy(F.col("x.node").alias("node")).agg(F.min("x.h").alias("h"))
-    first = cut(near.select(F.least("node", "h.hub").alias("a"), F.greatest("node", "h.hub").alias("b")).distinct())
-    found = _verified(first, nodes, texts, words, similarity)
-    roots = cut(components(found))
-
-    labelled = met.drop("h").join(roots.withColumnRenamed("node", "was"), F.col("node") == F.col("was"), "left").withColumn("comp", F.coalesce("root", "node")).drop("was", "root")
-    labelled = cut(labelled)
-    several = cut(labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key"))
-    mixed = cut(labelled.join(several, "key", "left_semi"))
-    x, y = mixed.alias("x"), mixed.alias("y")
+    first = met.where("node = hub").select("key", "pos", "n", *_MAP)
+    near = met.alias("x").join(first.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("x.hub")) & close("x", "y"))
+    near = near.groupBy(F.col("x.node").alias("node")).agg(F.min("x.hub").alias("hub"))
+    tried = cut(near.select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    found = _verified(tried, nodes, texts, words, similarity)
+    live, left = met.drop("hub"), None
+    for turn in itertools.count():
+        roots = cut(components(found))
+        named = live.join(roots.withColumnRenamed("node", "was"), F.col("node") == F.col("was"), "left")
+        named = cut(named.withColumn("comp", F.coalesce("root", "node")).drop("was", "root"))
+        drop(roots, *([live] if turn else [met]))
+        sides = named.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"))
+        sides = cut(sides.where("m * m > q"))
+        live = cut(named.join(sides.select("key"), "key", "left_semi"))
+        pairs, rows = sides.agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2), F.sum("m")).first()
+        drop(named, sides)
+        if not rows or pairs <= few * rows or (left and 2 * pairs > left):
+            break
+        left = pairs
+        # A hub is compared with all texts of its bucket that hang together with it by no link yet, and is done with there.
+        rank = F.struct(F.xxhash64(F.lit(turn), "node").alias("rank"), F.col("node").alias("hub"))
+        chosen = live.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(hubs)).alias("salt")).agg(F.min(rank)["hub"].alias("node"))
+        chosen = cut(live.join(chosen.select("key", "node"), ["key", "node"]))
+        x, y = live.alias("x"), chosen.alias("y")
+        more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & close("x", "y"))
+        more = more.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        more = cut(more.join(tried, ["a", "b"], "left_anti"))
+        found, tried = found.union(_verified(more, nodes, texts, words, similarity)), tried.union(more)
+        rest = cut(live.join(chosen.select("key", "node"), ["key", "node"], "left_anti").drop("comp"))
+        drop(live, chosen)
+        live = rest
+    x, y = live.alias("x"), live.alias("y")
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & close("x", "y"))
-    rest = cut(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
+    rest = cut(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
     found = found.union(_verified(rest, nodes, texts, words, similarity))
+    drop(live)
 
     # All texts of a doc_id hang together, and so do all doc_ids of a text.
     ids = nodes.select("node", "id")
