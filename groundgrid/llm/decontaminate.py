@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import LOWER, UPPER, cut, map_arrow
+from .common import LOWER, UPPER, cut, fresh, map_arrow
 
 #: A-Z to a-z, digits, a-z and all bytes of non-ASCII characters stay; the rest parts words.
 _WORDS = bytes(b if b >= 0x80 or chr(b).isdigit() or chr(b) in LOWER else ord(chr(b).lower()) if chr(b) in UPPER else 0x20 for b in range(256))
@@ -29,6 +30,10 @@ class Automaton:
     substring of an item (the matching length), and which items have a window ending there.
     A window is `length` consecutive words of an item; an item that is shorter must be covered
     by the share `coverage` of its words, as a run that it begins with (1.0: whole).
+
+    It is built with a table a state and then frozen into flat arrays, some 30 bytes a
+    transition, so that each worker holds little: transitions sorted by state and word, and
+    the marked states with the range of their marks.
     """
 
     def __init__(self, items: list[tuple[str | None, bytes | None]], length: int, coverage: float = 1.0):
@@ -40,10 +45,9 @@ class Automaton:
             last = 0
             for w in s:
                 last = self._extend(last, w)
-        #: state: [(matching length from which it counts, item)]
-        self.marks: dict[int, set[tuple[int, str | None]]] = {}
-        self.least = length
-        for name, s in seqs:
+        marks: dict[int, set[tuple[int, int]]] = {}  # state: matching lengths from which it counts, and items
+        self.names, self.least = [name for name, _ in seqs], length
+        for item, (_, s) in enumerate(seqs):
             need = min(length, max(1, int(np.ceil(coverage * len(s)))))
             self.least = min(self.least, need)
             at = 0
@@ -53,16 +57,32 @@ class Automaton:
                     u = at
                     while self.size[self.link[u]] >= need:
                         u = self.link[u]
-                    self.marks.setdefault(u, set()).add((need, name))
+                    marks.setdefault(u, set()).add((need, item))
         order = sorted(range(len(self.size)), key=self.size.__getitem__)
-        self.near = [-1] * len(order)  # the nearest state on the suffix path, itself included, that has marks
+        near = [-1] * len(order)  # the nearest state on the suffix path, itself included, that has marks
         for u in order:
-            self.near[u] = u if u in self.marks else self.near[self.link[u]] if u else -1
+            near[u] = u if u in marks else near[self.link[u]] if u else -1
         pairs = {(a, b) for _, s in seqs for a, b in zip(s, s[1:])}
         self.seen = np.zeros(1 << 22, bool)
         if pairs:
             a = np.array(sorted(pairs), "uint64")
             self.seen[self._slot(a[:, 0], a[:, 1])] = True
+        keys = np.fromiter((u << 32 | w for u, t in enumerate(self.next) for w in t), "int64")
+        to = np.fromiter((v for t in self.next for v in t.values()), "int32", len(keys))
+        order = np.argsort(keys)
+        self.keys, self.to = array("q", keys[order].tobytes()), array("i", to[order].tobytes())
+        del self.next
+        self.link, self.size, self.near = array("i", self.link), array("i", self.size), array("i", near)
+        self.marked = array("i", sorted(marks))
+        self.first_mark = array("i", np.cumsum([0, *(len(marks[u]) for u in self.marked)]).astype("int32").tobytes())
+        self.need = array("i", (n for u in self.marked for n, _ in sorted(marks[u])))
+        self.item = array("i", (i for u in self.marked for _, i in sorted(marks[u])))
+
+    def step(self, state: int, w: int) -> int:
+        """The state after a word, or 0."""
+        key = state << 32 | w
+        at = bisect_left(self.keys, key)
+        return self.to[at] if at < len(self.keys) and self.keys[at] == key else 0
 
     @staticmethod
     def _slot(a, b):
@@ -113,22 +133,23 @@ class Automaton:
         keep = end - begin + 1 >= self.least
         spans: list[list[int]] = []
         items: set = set()
-        nxt, link, size, near, marks = self.next, self.link, self.size, self.near, self.marks
+        step, link, size, near = self.step, self.link, self.size, self.near
         for b, e in zip(begin[keep].tolist(), end[keep].tolist()):
             state, length = 0, 0
             for at, w in enumerate(found[b : e + 1].tolist(), b):
-                while state and w not in nxt[state]:
+                while not (to := step(state, w)) and state:
                     state = link[state]
                     length = size[state]
-                state = nxt[state].get(w, 0)
+                state = to
                 length = length + 1 if state else 0
                 u, most, longest = near[state], length, 0
                 while u != -1:
                     most = min(length, size[u])
-                    for need, name in marks[u]:
-                        if need <= most:
-                            items.add(name)
-                            longest = max(longest, need)
+                    m = bisect_left(self.marked, u)
+                    for i in range(self.first_mark[m], self.first_mark[m + 1]):
+                        if self.need[i] <= most:
+                            items.add(self.names[self.item[i]])
+                            longest = max(longest, self.need[i])
                     u = near[link[u]] if u else -1
                 if longest:
                     first = at - longest + 1
@@ -139,58 +160,83 @@ class Automaton:
 
 
 def _blocks(benchmark: DataFrame, block_words: int):
-    """The items as lists of bounded size: a whole number of hash blocks, each collected by itself."""
+    """The items as lists of bounded size, each with the number of lists: hash blocks, collected one by one."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).where("text IS NOT NULL")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-chars // (8 * block_words)))
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
-        yield [(r["item_id"], bytes(r["text"])) for r in rows.collect()]
+        yield [(r["item_id"], bytes(r["text"])) for r in rows.collect()], n
+
+
+_HITS = [("n_words", pa.int64()), ("hit_spans", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), ("hit_items", pa.list_(pa.string()))]
+
+
+def _marked(shared, kept: list[str], sparse: bool):
+    """Batches (kept..., text as bytes) with the three results in place of the text; sparse: only rows with a hit."""
+
+    def run(batches):
+        automaton = shared.value
+        for b in batches:
+            counts, spans, names = [], [], []
+            for t in b.column(len(kept)):
+                words = words_of(t.as_py())
+                new, items = automaton.stream(words)
+                counts.append(len(words))
+                spans.append([{"first": x, "last": y} for x, y in new])
+                names.append(sorted(x for x in items if x is not None))
+            made = [pa.array(col, kind) for col, (_, kind) in zip((counts, spans, names), _HITS)]
+            b = pa.RecordBatch.from_arrays([*b.columns[: len(kept)], *made], names=[*kept, *(n for n, _ in _HITS)])
+            yield b.filter(pa.array([bool(x) for x in spans], pa.bool_())) if sparse else b
+
+    return run
+
 
+def _merged(lists):
+    """The spans of several blocks as one merged list."""
+    return lists.map(lambda spans: [{"first": x, "last": y} for x, y in merged(sorted((s["first"], s["last"]) for part in spans for s in part))])
 
-def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, coverage: float = 1.0, block_words: int = 500_000) -> DataFrame:
+
+def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, coverage: float = 1.0, block_words: int = 200_000) -> DataFrame:
     """docs with n_words, hit_spans (words first..last, merged, in order) and hit_items (sorted item ids as strings).
 
     Words: whole text, A-Z lower-cased, runs of digits, a-z and non-ASCII characters. A word is
     hit inside any occurrence of `length` consecutive words of an item, or of a shorter item's
-    first words that make up the share `coverage` of it (1.0: the whole item). No shuffle: the
-    texts stream past automata broadcast in blocks of about block_words words, however large the
-    benchmark is; the narrow result of one block is written before the next block's pass.
+    first words that make up the share `coverage` of it (1.0: the whole item). The texts stream
+    past automata of about block_words words each, however large the benchmark is. One block:
+    no shuffle. Several: each pass writes only the hits, keyed by a hash of the text so that
+    copies count once, and the hits are joined to docs at the end.
 
     Null or empty texts have no words; items without words or with a null text match nothing;
     items with a null id mark words but aren't listed; repeated ids are listed once; repeated
     rows are marked each. An empty benchmark marks nothing. Columns of docs named like the
     three results are replaced.
     """
-    out = docs.drop("n_words", "hit_spans", "hit_items", "text_bytes")
-    out = out.withColumns({"n_words": F.lit(0).cast("long"), "hit_spans": F.array().cast(_SPANS), "hit_items": F.array().cast("array<string>"), "text_bytes": F.col("text").cast("binary")})
-    schema = T.StructType([f for f in out.schema if f.name != "text_bytes"])
+    docs = docs.drop(*(n for n, _ in _HITS))
+    as_bytes, h1, h2 = fresh(docs, "text_bytes", "text_h1", "text_h2")
+    content = F.col("text").cast("binary").alias(as_bytes)
+    results = {"n_words": F.lit(0).cast("long"), "hit_spans": F.array().cast(_SPANS), "hit_items": F.array().cast("array<string>")}
     sc = docs.sparkSession.sparkContext
-    for k, items in enumerate(_blocks(benchmark, block_words)):
-        shared = sc.broadcast(Automaton(items, length, coverage))
-        out = cut(out.drop("text_bytes")).withColumn("text_bytes", F.col("text").cast("binary")) if k else out
-
-        def run(batches, shared=shared):
-            automaton = shared.value
-            for b in batches:
-                texts = b.column("text_bytes")
-                before = list(zip(b.column("hit_spans").to_pylist(), b.column("hit_items").to_pylist()))
-                counts, spans, names = [], [], []
-                for t, (old, known) in zip(texts, before):
-                    words = words_of(t.as_py())
-                    new, items = automaton.stream(words)
-                    if old:
-                        new = merged(sorted([*new, *((x["first"], x["last"]) for x in old)]))
-                    counts.append(len(words))
-                    spans.append([{"first": x, "last": y} for x, y in new])
-                    names.append(sorted({*known, *(x for x in items if x is not None)}))
-                kept = b.drop_columns(["n_words", "hit_spans", "hit_items", "text_bytes"])
-                for name, col, kind in zip(("n_words", "hit_spans", "hit_items"), (counts, spans, names), (pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])), pa.list_(pa.string()))):
-                    kept = kept.append_column(name, pa.array(col, kind))
-                yield kept
-
-        out = map_arrow(out, run, schema)
-    return out
+    parts, total = [], None
+    for items, blocks in _blocks(benchmark, block_words):
+        shared = sc.broadcast(Automaton(items, length, coverage))  # bounded by block_words
+        if blocks == 1:
+            return map_arrow(docs.select("*", content), _marked(shared, docs.columns, False), docs.withColumns(results).schema)
+        keyed = docs.select(*_text_hash(h1, h2), content)
+        hits = map_arrow(keyed, _marked(shared, [h1, h2], True), keyed.drop(as_bytes).withColumns(results).schema)
+        parts.append(cut(hits.dropDuplicates([h1, h2])))
+        shared.destroy()
+        total = parts[-1] if total is None else total.union(parts[-1])
+    hits = total.groupBy(h1, h2).agg(F.collect_list("hit_spans").alias("hit_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_items")))).alias("hit_items"))
+    hits = cut(hits.withColumn("hit_spans", F.pandas_udf(_merged, _SPANS)("hit_spans")))
+    empty = sc.broadcast(Automaton([], length, coverage))
+    counted = map_arrow(docs.select("*", *_text_hash(h1, h2), content), _marked(empty, [*docs.columns, h1, h2], False), docs.select("*", *_text_hash(h1, h2)).withColumns(results).schema)
+    both = counted.drop("hit_spans", "hit_items").join(hits, [h1, h2], "left")
+    return both.select(*docs.columns, "n_words", *(F.coalesce(n, results[n]).alias(n) for n in ("hit_spans", "hit_items")))
+
+
+def _text_hash(h1: str, h2: str) -> list[Column]:
+    return [F.xxhash64("text").alias(h1), F.xxhash64(F.lit(1), "text").alias(h2)]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -207,14 +253,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 10, cover
     """docs without the hit spans: the text from a span's first to its last word goes.
 
     Texts without a hit stay as they are, also empty and null ones; a document that had words
-    and has none left goes. Same columns as docs.
+    and has none left goes. Same columns as docs, whatever they are named; a count of the
+    text's characters, say, is as it was.
     """
-    marked = contamination(docs, benchmark, length, coverage)
+    held = fresh(docs, *(n for n, _ in _HITS))
+    plain = docs.select(*(F.col(c).alias(f"c{i}") if c != "text" else F.col(c) for i, c in enumerate(docs.columns)))  # no clash with the results' names
+    marked = contamination(plain, benchmark, length, coverage).select(*(F.col(f"c{i}" if c != "text" else c).alias(c) for i, c in enumerate(docs.columns)), *(F.col(n).alias(h) for (n, _), h in zip(_HITS, held)))
 
     def run(batches):
         for b in batches:
             texts, gone = b.column("text").to_pylist(), []
-            for i, spans in enumerate(b.column("hit_spans").to_pylist()):
+            for i, spans in enumerate(b.column(held[1]).to_pylist()):
                 left = True
                 if spans:
                     raw = texts[i].encode()
@@ -228,7 +277,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 10, cover
                     left = bool(words_of(kept))
                     texts[i] = kept.decode("utf-8", "replace")
                 gone.append(left)
-            b = b.set_column(b.schema.get_field_index("text"), "text", pa.array(texts, pa.string())).drop_columns(["n_words", "hit_spans", "hit_items"])
+            b = b.set_column(b.schema.get_field_index("text"), "text", pa.array(texts, pa.string())).drop_columns(held)
             yield b.filter(pa.array(gone, pa.bool_()))
 
     return map_arrow(marked, run, docs.schema)
