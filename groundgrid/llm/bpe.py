@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import fresh, map_arrow
 
 #: The pattern by which byte-level BPE of this family parts a text before the merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -135,6 +135,7 @@ def encode(docs: DataFrame, path: str | None = None, part_chars: int = 65_536) -
     """
     path = path or default_vocabulary()
     docs = docs.drop("ids")
+    (mark,) = fresh(docs, "text_hash")
     long = F.char_length("text") > part_chars
 
     def run(batches):
@@ -156,18 +157,17 @@ def encode(docs: DataFrame, path: str | None = None, part_chars: int = 65_536) -
                     yield pa.RecordBatch.from_arrays([pa.array([h] * len(some), pa.string()), pa.array(range(i, i + len(some)), pa.int32()), pa.array(some, pa.string())], names=["text_hash", "part", "text"])
 
     def join(keys, table):
-        codec = Codec.at(path)
-        # Repeated rows of a text bring the same parts again.
-        _, first = np.unique(table.column("part").to_numpy(), return_index=True)
         ids = table.column("ids")
-        ids = codec.join_all([ids[int(i)].values.to_numpy().tolist() for i in first])
+        ids = Codec.at(path).join_all([ids[int(i)].values.to_numpy().tolist() for i in np.argsort(table.column("part").to_numpy())])
         return pa.Table.from_arrays([pa.array([keys[0].as_py()]), pa.array([ids], pa.list_(pa.int32()))], names=["joined_hash", "ids"])
 
-    marked = docs.where(long).withColumn("text_hash", F.sha2("text", 256))
-    parts = map_arrow(marked.select("text_hash", "text"), split, "text_hash string, part int, text string")
+    marked = docs.where(long).withColumn(mark, F.sha2("text", 256))
+    # Of copies of a text one is encoded, so that a group never holds more than one text's ids.
+    single = marked.select(F.col(mark).alias("text_hash"), "text").dropDuplicates(["text_hash"])
+    parts = map_arrow(single, split, "text_hash string, part int, text string")
     parts = map_arrow(parts.repartition("text_hash", "part"), run, "text_hash string, part int, text string, ids array<int>")
     joined = parts.select("text_hash", "part", "ids").groupBy("text_hash").applyInArrow(join, "joined_hash string, ids array<int>")
-    back = marked.join(joined, marked["text_hash"] == joined["joined_hash"]).select(*(marked[c] for c in docs.columns), "ids")
+    back = marked.join(joined, marked[mark] == joined["joined_hash"]).select(*(marked[c] for c in docs.columns), "ids")
     return whole.union(back)
 
 
