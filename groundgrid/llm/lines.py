@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower, cut, map_arrow
+from .common import SPACE, ascii_lower, cut, fresh, map_arrow
 
 
 def _first_occurrences(batches):
@@ -66,13 +66,13 @@ def _pack(n_lines, dropped):
 
 def _apply(batches):
     for b in batches:
-        texts, maps = b.column("text").to_pylist(), b.column("keep").to_pylist()
+        texts, maps = b.column("text").to_pylist(), b.column(b.num_columns - 1).to_pylist()
         for i, (t, m) in enumerate(zip(texts, maps)):
             if m is not None:
                 lines = t.split("\n")
                 keep = np.unpackbits(np.frombuffer(zlib.decompress(m), "uint8"), count=len(lines))
                 texts[i] = "\n".join(x for x, k in zip(lines, keep) if k)
-        yield b.set_column(b.schema.get_field_index("text"), "text", pa.array(texts, pa.string())).drop_columns(["keep"])
+        yield b.set_column(b.schema.get_field_index("text"), "text", pa.array(texts, pa.string())).select(range(b.num_columns - 1))
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
@@ -116,13 +116,13 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
     """docs with the bitmaps applied to text, plus n_lines (before) and n_dropped.
 
     A text of which all lines go becomes empty; a null text stays null. Columns of docs named
-    like the helpers (text_hash, keep, n_lines, n_dropped) are replaced.
+    n_lines or n_dropped are replaced.
     """
-    docs = docs.drop("text_hash", "keep", "n_lines", "n_dropped")
-    maps = keep_bitmaps(docs, min_chars).withColumnRenamed("doc_id", "map_id").withColumnRenamed("text_hash", "map_hash")
+    docs = docs.drop("n_lines", "n_dropped")
+    map_id, map_hash, own_hash, keep = fresh(docs, "map_id", "map_hash", "text_hash", "keep")
+    maps = keep_bitmaps(docs, min_chars).toDF(map_id, map_hash, "n_dropped", keep)
     text = F.coalesce("text", F.lit(""))
-    rows = docs.withColumn("n_lines", F.size(F.split(text, "\n", -1)).cast("long")).withColumn("text_hash", F.xxhash64(text))
-    rows = rows.join(maps, rows["doc_id"].eqNullSafe(maps["map_id"]) & (rows["text_hash"] == maps["map_hash"]), "left").drop("map_id", "map_hash", "text_hash")
-    rows = rows.withColumn("n_dropped", F.coalesce("n_dropped", F.lit(0)).cast("long"))
-    out = rows.drop("keep").schema
-    return map_arrow(rows, _apply, out)
+    rows = docs.withColumn("n_lines", F.size(F.split(text, "\n", -1)).cast("long")).withColumn(own_hash, F.xxhash64(text))
+    rows = rows.join(maps, rows["doc_id"].eqNullSafe(maps[map_id]) & (rows[own_hash] == maps[map_hash]), "left").drop(map_id, map_hash, own_hash)
+    rows = rows.withColumn("n_dropped", F.coalesce("n_dropped", F.lit(0)).cast("long")).select(*docs.columns, "n_lines", "n_dropped", keep)
+    return map_arrow(rows, _apply, rows.drop(keep).schema)

@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow
+from .common import cut, fresh, map_arrow
 
 #: Statistics of a text; all are 0 for a null or empty one.
 STATISTICS = ["log_chars", "upper", "digits", "spaces", "newlines", "symbols", "bangs", "stops", "pipes", "non_ascii", "word_chars", "distinct_words", "distinct_lines", "symbol_words"]
@@ -37,16 +37,16 @@ def _of(text: bytes | None) -> list[float]:
 def with_statistics(docs: DataFrame) -> DataFrame:
     """docs with one double column stat_<name> for each of STATISTICS, over the whole text; columns so named are replaced."""
     names = ["stat_" + s for s in STATISTICS]
-    docs = docs.drop("text_bytes", *names).withColumn("text_bytes", F.col("text").cast("binary"))
-    kept = [c for c in docs.columns if c != "text_bytes"]
+    docs = docs.drop(*names)
+    kept = docs.columns
 
     def run(batches):
         for b in batches:
-            rows = np.array([_of(t.as_py()) for t in b.column("text_bytes")], "float64").reshape(-1, len(names))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *(pa.array(np.ascontiguousarray(x)) for x in rows.T)], names=[*kept, *names])
+            rows = np.array([_of(t.as_py()) for t in b.column(len(kept))], "float64").reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], *(pa.array(np.ascontiguousarray(x)) for x in rows.T)], names=[*kept, *names])
 
-    schema = docs.select(*kept, *(F.lit(0.0).alias(n) for n in names)).schema
-    return map_arrow(docs, run, schema)
+    schema = docs.select("*", *(F.lit(0.0).alias(n) for n in names)).schema
+    return map_arrow(docs.select("*", F.col("text").cast("binary").alias(*fresh(docs, "text_bytes"))), run, schema)
 
 
 def sample_labels(labels: DataFrame, label: str, learn: Column, rows: int) -> DataFrame:
