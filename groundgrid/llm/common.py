@@ -57,11 +57,11 @@ def fresh(docs: DataFrame, *names: str) -> list[str]:
     return made
 
 
-def map_arrow(df: DataFrame, run, schema, rows: int = 512) -> DataFrame:
-    """df.mapInArrow(run, schema) with record batches of at most `rows` rows, for this session, as a row holds a whole text."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(name)) <= rows:
-        df.sparkSession.conf.set(name, str(rows))
+def map_arrow(df: DataFrame, run, schema, size: int = 512 << 10) -> DataFrame:
+    """df.mapInArrow(run, schema) with record batches of about `size` bytes at most (or one row), for this session, as a row holds a whole text."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(name) != f"{size}b":
+        df.sparkSession.conf.set(name, f"{size}b")
     return df.mapInArrow(run, schema)
 
 

@@ -249,35 +249,45 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return done
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 10, coverage: float = 1.0) -> DataFrame:
+def _without(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, bool]:
+    """The text without what lies from a span's first to its last word, and whether a word is left."""
+    at = [m.span() for m in _WORD.finditer(text.translate(_WORDS))]
+    parts, last = [], 0
+    for x, y in spans:
+        parts.append(text[last : at[x][0]])
+        last = at[y][1]
+    kept = b"".join([*parts, text[last:]])
+    return kept, bool(words_of(kept))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 10, coverage: float = 1.0, block_words: int = 200_000) -> DataFrame:
     """docs without the hit spans: the text from a span's first to its last word goes.
 
     Texts without a hit stay as they are, also empty and null ones; a document that had words
     and has none left goes. Same columns as docs, whatever they are named; a count of the
-    text's characters, say, is as it was.
+    text's characters, say, is as it was. With one block of items the texts are read once.
     """
-    held = fresh(docs, *(n for n, _ in _HITS))
-    plain = docs.select(*(F.col(c).alias(f"c{i}") if c != "text" else F.col(c) for i, c in enumerate(docs.columns)))  # no clash with the results' names
-    marked = contamination(plain, benchmark, length, coverage).select(*(F.col(f"c{i}" if c != "text" else c).alias(c) for i, c in enumerate(docs.columns)), *(F.col(n).alias(h) for (n, _), h in zip(_HITS, held)))
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    text = own[[c.lower() for c in docs.columns].index("text")]
+    plain = docs.toDF(*own)
+    items, blocks = next(_blocks(benchmark, block_words))
+    shared = docs.sparkSession.sparkContext.broadcast(Automaton(items, length, coverage)) if blocks == 1 else None
+    if blocks > 1:
+        plain = contamination(plain.withColumnRenamed(text, "text"), benchmark, length, coverage, block_words)
+        plain = plain.withColumnRenamed("text", text).select(*own, "hit_spans")
 
     def run(batches):
         for b in batches:
-            texts, gone = b.column("text").to_pylist(), []
-            for i, spans in enumerate(b.column(held[1]).to_pylist()):
-                left = True
+            texts, stay = b.column(text).to_pylist(), []
+            known = b.column("hit_spans").to_pylist() if shared is None else None
+            for i, t in enumerate(texts):
+                raw, left = (t or "").encode(), True
+                spans = shared.value.stream(words_of(raw))[0] if known is None else [(s["first"], s["last"]) for s in known[i]]
                 if spans:
-                    raw = texts[i].encode()
-                    plain = raw.translate(_WORDS)
-                    at = [m.span() for m in _WORD.finditer(plain)]
-                    parts, last = [], 0
-                    for x in spans:
-                        parts.append(raw[last : at[x["first"]][0]])
-                        last = at[x["last"]][1]
-                    kept = b"".join([*parts, raw[last:]])
-                    left = bool(words_of(kept))
-                    texts[i] = kept.decode("utf-8", "replace")
-                gone.append(left)
-            b = b.set_column(b.schema.get_field_index("text"), "text", pa.array(texts, pa.string())).drop_columns(held)
-            yield b.filter(pa.array(gone, pa.bool_()))
-
-    return map_arrow(marked, run, docs.schema)
+                    raw, left = _without(raw, spans)
+                    texts[i] = raw.decode("utf-8", "replace")
+                stay.append(left)
+            b = b.select(own)
+            yield b.set_column(b.schema.get_field_index(text), text, pa.array(texts, pa.string())).filter(pa.array(stay, pa.bool_()))
+
+    return map_arrow(plain, run, docs.toDF(*own).schema).toDF(*docs.columns)

@@ -318,3 +318,14 @@ def test_classifiers_hold_out(spark):
 
 def test_digest_of_ids():
     assert hashlib.sha256(np.asarray([1, 50256], "<u4").tobytes()).hexdigest() == hashlib.sha256(b"\x01\0\0\0" + (50256).to_bytes(4, "little")).hexdigest()
+
+
+def test_decontamination_with_several_blocks_equals_one(spark):
+    rng = random.Random(12)
+    items = [(str(i), " ".join(f"w{rng.randrange(40)}" for _ in range(14))) for i in range(30)]
+    rows = [(i, "start. " + rng.choice(items)[1].title() + ", end!") for i in range(12)] + [(20, None), (21, ""), (22, "clean text"), (23, items[0][1]), (None, items[1][1] + " x")]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    odd = docs_of(spark, rows).toDF("doc_id", "text", "n_words", "hit_spans", "text_bytes")
+    one, many = (sorted(decontaminate.decontaminate(odd, bench, block_words=b).collect(), key=str) for b in (10_000, 40))
+    assert one == many and decontaminate.decontaminate(odd, bench, block_words=40).columns == odd.columns
+    assert {r.doc_id for r in one} == {*range(12), 20, 21, 22, None} and all(r.text.split() == ["start.", ",", "end!"] for r in one if r.doc_id is not None and r.doc_id < 12)
