@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +70,34 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where value is computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def scan(rows: Column, begin: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """What a pass over the array emits: step(state, row) gives the next state and an array of `kind`.
+
+    Arrays are copied when they grow, so the pass goes by chunks of the square root of the rows,
+    and n rows cost n to the power 1.5 at most instead of the square.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def one(acc, row):
+        state, new = step(acc["state"], row)
+        return F.struct(state.alias("state"), F.concat(acc["out"], new).alias("out"))
+
+    def chunks(r):
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(r))).cast("int"))
+        return F.when(F.size(r) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(r) - 1) / width).cast("int")), lambda i: F.slice(r, i * width + 1, width))).otherwise(F.slice(F.array(r), F.lit(1), F.lit(0)))
+
+    def chunk(acc, part):
+        return F.concat(acc, F.array(F.aggregate(part, F.struct(F.element_at(acc, -1)["state"].alias("state"), none.alias("out")), one)))
+
+    start = F.array(F.struct(begin.alias("state"), none.alias("out")))
+    return F.flatten(F.transform(F.aggregate(let(rows, chunks), start, chunk), lambda d: d["out"]))
+
+
 def crc_mod(c: Column, n: int) -> Column:
     """crc32 of an id's text, modulo n (null for a null id)."""
     return F.crc32(c.cast("string").cast("binary")) % n
