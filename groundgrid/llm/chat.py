@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import scan
+
 OPEN, BODY, CLOSE = "<turn>", "<text>", "</turn>"
 PART = "struct<type:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>"
 #: Tokens that an attachment expands to: an image by patches of 14 pixels (one at least), audio by 25 a second, a document by 256 a page.
@@ -56,7 +58,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     i-th placeholder of the text belongs to the i-th attachment. A turn is
     <turn>role<text>content</turn>; an assistant's content is under the loss mask.
 
-    Turns are ordered by turn (null first), then role, then parts, so ties and repeated rows have
+    Turns are ordered by turn (null first), then role, then text (placeholders in it), so ties and repeated rows have
     one order and all stay. Null role and text are empty; a part without a type is a text; an
     unknown type is a <file> of one token; null or empty parts give an empty content. Null conv_ids are
     one conversation. What meets in one task is one conversation, which is one row of the result.
@@ -64,24 +66,24 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     content = F.array_join(F.transform("parts", lambda p: F.when(_is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(_placeholder(p))), "")
     files = F.filter(F.transform("parts", lambda p, i: F.when(~_is_text(p), F.struct((i + 1).alias("part_no"), p["type"].alias("type"), p["ref"].alias("ref"), _tokens(p).alias("n_tokens")))), lambda x: x.isNotNull())
     role = F.coalesce("role", F.lit(""))
-    one = turns.select("conv_id", F.struct("turn", role.alias("role"), F.coalesce(content, F.lit("")).alias("content"), F.coalesce(files, F.array().cast("array<struct<part_no:int,type:string,ref:string,n_tokens:bigint>>")).alias("files")).alias("t"))
+    said = F.array_join(F.transform("parts", lambda p: F.when(_is_text(p), F.coalesce(p["text"], F.lit(""))).otherwise(_placeholder(p))), "")
+    one = turns.select("conv_id", F.struct("turn", role.alias("role"), said.alias("said"), F.coalesce(content, F.lit("")).alias("content"), F.coalesce(files, F.array().cast("array<struct<part_no:int,type:string,ref:string,n_tokens:bigint>>")).alias("files")).alias("t"))
     convs = one.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
     head = lambda t: F.concat(F.lit(OPEN), escape(t["role"]), F.lit(BODY))
     span = "struct<start:bigint,end:bigint>"
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{span}>").alias("spans"))
 
-    def step(s, t):
-        begin = s["at"] + F.char_length(head(t))
+    def step(at, t):
+        begin = at + F.char_length(head(t))
         end = begin + F.char_length(t["content"])
         new = F.when(t["role"] == "assistant", F.array(F.struct(begin.cast("long").alias("start"), end.cast("long").alias("end")))).otherwise(F.array().cast(f"array<{span}>"))
-        return F.struct((end + len(CLOSE)).cast("long").alias("at"), F.concat(s["spans"], new).alias("spans"))
+        return (end + len(CLOSE)).cast("long"), new
 
     attached = F.flatten(F.transform("ts", lambda t, i: F.transform(t["files"], lambda f: F.struct((i + 1).alias("turn_no"), f["part_no"].alias("part_no"), f["type"].alias("type"), f["ref"].alias("ref"), f["n_tokens"].alias("n_tokens")))))
     return convs.select(
         "conv_id",
         F.size("ts").cast("long").alias("n_turns"),
         F.array_join(F.transform("ts", lambda t: F.concat(head(t), t["content"], F.lit(CLOSE))), "").alias("formatted"),
-        F.aggregate("ts", start, step)["spans"].alias("loss_spans"),
+        scan(F.col("ts"), F.lit(0).cast("long"), span, step).alias("loss_spans"),
         attached.alias("attachments"),
     ).withColumn("expanded_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda n, a: n + a["n_tokens"]))
 

@@ -382,3 +382,38 @@ def test_secrets_in_a_long_blob_take_seconds(spark):
     assert time.time() - began < 60
     spans = {r.doc_id: r.spans for r in got}
     assert sum(s.end - s.start for s in spans[1] if s.kind == 5) > 900_000 and len(spans[2]) == 20_000
+
+
+def test_chat_on_odd_rows(spark):
+    part = lambda **k: {f: k.get(f) for f in ("type", "text", "ref", "width", "height", "seconds", "pages")}
+    rows = [
+        (None, 0, "user", [part(type="text", text="hi")]), (3, 1, "user", [part(type="audio", ref="a.wav", seconds=2.1), part(type="document", ref="d.pdf", pages=3), part(type="hologram", ref="h")]),
+        (3, 0, "assistant", [part(text="~[b")]), (3, 0, "assistant", [part(text="~<a")]), (3, 0, "assistant", [part(text="~<a")]), (3, 2, "assistant", []), (4, None, None, None),
+    ]
+    t = spark.createDataFrame(rows, f"conv_id long, turn int, role string, parts array<{chat.PART}>")
+    got = {r.conv_id: r for r in chat.format_conversations(t).withColumns({"back": chat.read_turns(F.col("formatted")), "loss": chat.loss_text(F.col("formatted"), F.col("loss_spans"))}).collect()}
+    assert set(got) == {None, 3, 4} and got[3].n_turns == 5 and got[4].n_turns == 1 and got[4].loss == ""
+    assert [b.text for b in got[3].back[:3]] == ["~<a", "~<a", "~[b"] and got[3].loss == "~<a~<a~[b" and len(got[3].loss_spans) == 4
+    assert [(a.turn_no, a.part_no, a.type, a.n_tokens) for a in got[3].attachments] == [(4, 1, "audio", 53), (4, 2, "document", 768), (4, 3, "hologram", 1)] and got[3].expanded_tokens == 822
+    assert chat.format_conversations(t.limit(0)).count() == 0
+
+
+def test_similar_documents_of_a_large_group_and_odd_tables(spark):
+    """Near copies of one text, of which many pairs are below the threshold: rounds of hubs, then pairs, as by all pairs."""
+    rng = random.Random(13)
+    base = ["g%d" % i for i in range(60)]
+    texts = []
+    for i in range(120):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3])):
+            w[rng.randrange(5, 60)] = "x%d" % rng.randrange(10**6)
+        texts.append(w)
+    rows = [(d, " ".join(w)) for d, w in enumerate(texts)]
+    want = jaccard_roots(rows)
+    for few in (0, 32):
+        got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs_of(spark, rows), few=few, hubs=2).collect()}
+        assert got == want
+    assert simhash.similar_documents(docs_of(spark, [])).count() == 0
+    twice = simhash.near_duplicates(docs_of(spark, [(1, "a b c"), (1, "a b c"), (None, "a b c"), (9, None)]), 3).collect()
+    assert sorted((str(r.doc_id), r.component_id) for r in twice) == [("1", 1), ("1", 1), ("9", 9), ("None", 1)]
+    assert simhash.near_duplicates(docs_of(spark, []), 3).count() == 0
