@@ -7,6 +7,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import written
+
 
 def histogram(p: DataFrame) -> DataFrame:
     return p.groupBy("raster_id", "v").agg(F.count("*").alias("n"))
@@ -28,6 +30,60 @@ def gmm_pixels(p: DataFrame, k: int, iterations: int = 25, seed: int = 21) -> Da
     return p.join(_fitted(p, GaussianMixture(k=k, maxIter=iterations, seed=seed)), ["raster_id", "v"])
 
 
+def fuzzy_cmeans(p: DataFrame, k: int, m: float = 3.0, error: float = 0.05, rounds: int = 100) -> DataFrame:
+    """p with the likeliest of k fuzzy clusters of heights over all rasters, numbered by rising centre.
+
+    Works on the heights' histogram; k centres are all that reaches the driver. Memberships are
+    inverse distances to the power 2 / (m - 1); centres are means weighted by memberships to the
+    power m; rounds end when no centre moves by more than `error`.
+    """
+    h = written(p.groupBy("v").agg(F.count("*").alias("n")))
+    low, high = h.agg(F.min("v"), F.max("v")).first()
+    if low is None:
+        return p.withColumn("label", F.lit(None).cast("int"))
+    centres = [low + (high - low) * (i + 0.5) / k for i in range(k)]
+    far = lambda c: F.greatest(F.abs(F.col("v") - c), F.lit(1e-9))
+    for _ in range(rounds):
+        total = sum((far(c) ** (-2 / (m - 1)) for c in centres[1:]), far(centres[0]) ** (-2 / (m - 1)))
+        weight = [F.col("n") * (far(c) ** (-2 / (m - 1)) / total) ** m for c in centres]
+        new = list(h.agg(*[F.sum(w * F.col("v")) / F.sum(w) for w in weight]).first())
+        moved = max(abs(a - b) for a, b in zip(new, centres))
+        centres = new
+        if moved <= error:
+            break
+    ranked = F.array_sort(F.array(*[F.struct(far(c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(sorted(centres))]))
+    return p.withColumn("label", ranked[0]["i"])
+
+
+def meanshift_1d(p: DataFrame, bandwidth: float, least: int = 5, rounds: int = 300) -> DataFrame:
+    """p with a label by mean shift over the heights of each raster: 0 for the densest mode.
+
+    Seeds are the bins of the bandwidth with `least` pixels or more. Each moves to the mean of the
+    pixels within the bandwidth until none moves by a thousandth of it; of modes closer than the
+    bandwidth the one with more pixels stays, and a pixel takes the nearest mode.
+    """
+    h = written(histogram(p))
+    to = lambda c: F.floor(F.col(c) / bandwidth)
+    near = F.explode(F.array(*[F.col("bin") + i for i in (-1, 0, 1)]))
+    cells = written(h.withColumn("bin", to("v")))
+    seeds = h.groupBy("raster_id", F.round(F.col("v") / bandwidth).alias("b")).agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    seeds = written(seeds.select("raster_id", F.col("b").alias("seed"), (F.col("b") * bandwidth).alias("at"), F.lit(0).cast("long").alias("size")))
+    for _ in range(rounds):
+        met = seeds.withColumn("bin", to("at")).withColumn("bin", near).join(cells, ["raster_id", "bin"]).where(F.abs(F.col("v") - F.col("at")) <= bandwidth)
+        moved = written(met.groupBy("raster_id", "seed", "at").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("new"), F.sum("n").alias("size")))
+        seeds = moved.select("raster_id", "seed", F.col("new").alias("at"), "size")
+        if moved.where(F.abs(F.col("new") - F.col("at")) > 1e-3 * bandwidth).isEmpty():
+            break
+    # Modes are as few as the bins; the larger of two close ones stays (ties: the lower).
+    modes = seeds.groupBy("raster_id", F.round("at", 6).alias("at")).agg(F.max("size").alias("size"))
+    every = modes.groupBy("raster_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("less"), "at"))).alias("all"))
+    far = lambda kept, m: F.forall(kept, lambda x: F.abs(x - m["at"]) >= bandwidth)
+    kept = F.aggregate("all", F.array().cast("array<double>"), lambda acc, m: F.when(far(acc, m), F.concat(acc, F.array(m["at"]))).otherwise(acc))
+    nearest = lambda modes: F.array_min(F.transform(modes, lambda x, i: F.struct(F.abs(F.col("v") - x).alias("d"), i.alias("i"))))["i"]
+    named = h.join(every.select("raster_id", kept.alias("modes")), "raster_id").select("raster_id", "v", nearest(F.col("modes")).alias("label"))
+    return p.join(named, ["raster_id", "v"])
+
+
 def dbscan_1d(p: DataFrame, eps: float, least: int = 10) -> DataFrame:
     """(raster_id, v, n, label): clusters of heights by density, labelled from 1 by rising height; 0 is noise.
 

@@ -5,21 +5,28 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own: list[str] = []
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the folder of spark.checkpoint.dir, which cuts its lineage; a temporary folder only where that is unset."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession) -> str:
+    """A path not in use yet in the folder of spark.checkpoint.dir; a temporary folder only where that is unset and Spark runs in this process."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         folder = _own[0]
-    path = f"{folder.rstrip('/')}/runs-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the folder of spark.checkpoint.dir, which cuts its lineage."""
+    spark = df.sparkSession
+    path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -34,41 +41,56 @@ def runs(pixels: DataFrame, by: tuple[str, ...] = ("raster_id",)) -> DataFrame:
 def label_runs(pixels: DataFrame, connectivity: int = 8, by: tuple[str, ...] = ("raster_id",), rounds: int = 60) -> DataFrame:
     """Runs with comp_y, comp_x: the smallest (y, x0) of their component, which names it.
 
-    Runs of neighbouring rows that touch (by a corner, too, for 8) are joined by row and checked
-    for overlap. Labels then take the least of their neighbours', tell it to the node they name and jump
-    to their label's label, each round written out, until nothing changes.
+    Runs of neighbouring rows that touch (by a corner, too, for 8) are edges of a graph, which
+    is contracted: see contracted().
     """
     return label_given(runs(pixels, by), connectivity, by, rounds)
 
 
-def label_given(found: DataFrame, connectivity: int = 8, by: tuple[str, ...] = ("raster_id",), rounds: int = 60) -> DataFrame:
-    """label_runs over runs (by, y, x0, x1) that are known already."""
+def contracted(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, root) for every node of edges (a, b): nodes that hang together share a root.
+
+    Each round every node moves to whichever of itself and its neighbours has the least
+    pseudo-random rank, and the edges move along, so the graph shrinks by a constant factor a
+    round, whatever its diameter. Moves are put together backwards at the end.
+    """
+    left = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a != b").distinct())
+    moves: list[DataFrame] = []
+    while not left.isEmpty():
+        if len(moves) == rounds:
+            raise RuntimeError("labels of connected components did not settle")
+        rank = lambda c, turn=len(moves): F.struct(F.xxhash64(F.lit(turn), c), c.alias("id"))
+        best = left.groupBy("a").agg(F.min(rank(F.col("b"))).alias("best"))
+        move = written(best.select("a", F.least("best", rank(F.col("a")))["id"].alias("to")))
+        moves.append(move)
+        ends = move.select(F.col("a").alias("b"), F.col("to").alias("end"))
+        left = written(left.join(move, "a").join(ends, "b").select(F.col("to").alias("a"), F.col("end").alias("b")).where("a != b").distinct())
+    if not moves:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
+    out = moves[-1].toDF("node", "root")
+    for move in reversed(moves[:-1]):
+        further = out.select(F.col("node").alias("to"), "root")
+        out = written(move.join(further, "to", "left").select(F.col("a").alias("node"), F.coalesce("root", "to").alias("root")))
+    return out
+
+
+def label_given(found: DataFrame, connectivity: int = 8, by: tuple[str, ...] = ("raster_id",), rounds: int = 60, tile: int = 256) -> DataFrame:
+    """label_runs over runs (by, y, x0, x1) that are known already.
+
+    Runs meet by row and tile of `tile` pixels, so a row of many runs isn't compared run by run;
+    a pair counts in the tile where its overlap begins.
+    """
     reach = 1 if connectivity == 8 else 0
-    r = written(found)
-    node = F.struct("y", "x0")
-    a, b = r.alias("a"), r.alias("b")
-    touch = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in by]
-    edges = a.join(b, [*touch, F.col("a.y") + 1 == F.col("b.y"), F.col("a.x0") <= F.col("b.x1") + reach, F.col("b.x0") <= F.col("a.x1") + reach])
-    one = edges.select(*[F.col(f"a.{k}").alias(k) for k in by], F.struct("a.y", "a.x0").alias("u"), F.struct("b.y", "b.x0").alias("v"))
-    both = written(one.union(one.select(*by, F.col("v").alias("u"), F.col("u").alias("v"))))
-    labels = r.select(*by, node.alias("u"), node.alias("label"))
-    for _ in range(rounds):
-        heard = both.join(labels.select(*by, F.col("u").alias("v"), "label"), [*by, "v"]).groupBy(*by, "u").agg(F.min("label").alias("heard"))
-        told = labels.join(heard, [*by, "u"], "left")
-        # What a node hears is told to the node that names it, too; otherwise a small label enters a part one node a round.
-        hook = told.groupBy(*by, F.col("label").alias("u")).agg(F.min("heard").alias("hook"))
-        least = F.least("label", F.coalesce("heard", "label"), F.coalesce("hook", "label"))
-        new = written(told.join(hook, [*by, "u"], "left").select(*by, "u", F.col("label").alias("old"), least.alias("label")))
-        jump = new.select(*by, F.col("u").alias("label"), F.col("label").alias("further"))
-        new = written(new.join(jump, [*by, "label"], "left").select(*by, "u", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
-        changed = new.where("label != old").isEmpty()
-        labels = new.select(*by, "u", "label")
-        if changed:
-            break
-    else:
-        raise RuntimeError("labels of connected components did not settle")
-    out = labels.select(*by, F.col("u.y").alias("y"), F.col("u.x0").alias("x0"), F.col("label.y").alias("comp_y"), F.col("label.x0").alias("comp_x"))
-    return r.join(out, [*by, "y", "x0"])
+    r = written(found.withColumn("node", F.monotonically_increasing_id()))
+    at = lambda c: F.floor(c / tile).cast("int")
+    cells = lambda first, last: F.explode(F.sequence(at(first), at(last))).alias("tile")
+    a = r.select(*by, (F.col("y") + 1).alias("y"), F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("node").alias("a"), cells(F.col("x0") - reach, F.col("x1") + reach))
+    b = r.select(*by, "y", F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("node").alias("b"), cells(F.col("x0"), F.col("x1")))
+    begins = F.greatest(F.col("a0") - reach, F.col("b0"))
+    edges = a.join(b, [*by, "y", "tile"]).where((begins <= F.least(F.col("a1") + reach, F.col("b1"))) & (at(begins) == F.col("tile"))).select("a", "b")
+    named = r.join(contracted(edges, rounds).withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").withColumn("root", F.coalesce("root", "node"))
+    first = named.groupBy("root").agg(F.min(F.struct("y", "x0")).alias("least"))
+    return named.join(first, "root").select(*[c for c in r.columns if c != "node"], F.col("least.y").alias("comp_y"), F.col("least.x0").alias("comp_x"))
 
 
 def stats(labelled: DataFrame, by: tuple[str, ...] = ("raster_id",)) -> DataFrame:

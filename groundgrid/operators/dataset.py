@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,7 +49,7 @@ def plan(points: DataFrame, key: str, important: list[str], unimportant: list[st
 
 
 def turn(patch: DataFrame, code: int, size: int, alpha: float = 1.25) -> DataFrame:
-    """0: turned by 90 degrees clockwise; 1: upside down; 5: contrast alpha round 128. Columns px, py, v."""
+    """0: turned by 90 degrees clockwise; 1: upside down; 5: contrast alpha round 128. Columns px, py, v; soften() and rotate() are the codes 2 and 3."""
     last = size - 1
     if code == 0:
         return patch.withColumns({"px": F.lit(last) - F.col("py"), "py": F.col("px")})
@@ -58,6 +60,26 @@ def turn(patch: DataFrame, code: int, size: int, alpha: float = 1.25) -> DataFra
     raise ValueError("codes are 0, 1 and 5")
 
 
+def soften(patch: DataFrame, key: list[str], size: int, sigma: float = 0.5) -> DataFrame:
+    """Code 2: (key, px, py, v) blurred within each patch, three pixels wide."""
+    from .focal import gaussian_blur
+
+    p = patch.select(F.struct(*key).alias("raster_id"), F.col("py").alias("y"), F.col("px").alias("x"), "v")
+    return gaussian_blur(p, 3, sigma, size, size).select(*[F.col(f"raster_id.{k}").alias(k) for k in key], F.col("x").alias("px"), F.col("y").alias("py"), "v")
+
+
+def rotate(patch: DataFrame, key: list[str], size: int, degrees: float) -> DataFrame:
+    """Code 3: (key, px, py, v) turned round the middle; each pixel takes the nearest one of the source, and those from outside are left out."""
+    side = F.explode(F.sequence(F.lit(0), F.lit(size - 1)))
+    to = patch.select(*key).distinct().withColumn("px", side).withColumn("py", side)
+    c, s, mid = math.cos(math.radians(degrees)), math.sin(math.radians(degrees)), (size - 1) / 2
+    dx, dy = F.col("px") - mid, F.col("py") - mid
+    near = lambda v: F.floor(v + mid + 0.5).cast("int")
+    to = to.withColumns({"sx": near(dx * c + dy * s), "sy": near(dy * c - dx * s)})
+    source = patch.select(*key, F.col("px").alias("sx"), F.col("py").alias("sy"), "v")
+    return to.join(source, [*key, "sx", "sy"]).select(*key, "px", "py", "v")
+
+
 def all_labels_in(labels: Column, names: list[str]) -> Column:
     return F.size(F.array_except(labels, F.array(*map(F.lit, names)))) == 0
 
@@ -85,11 +107,13 @@ def label_stats(rows: DataFrame) -> DataFrame:
 
 
 def label_pairs(rows: DataFrame) -> DataFrame:
-    """(first, second, n): labels of one image in listed order."""
+    """(first, second, n, pct): labels of one image in listed order, and the share of rows that hold them."""
     at = F.posexplode("labels")
     first = rows.select("image", "labels", at.alias("i", "first"))
     second = first.select("image", "first", F.explode(F.slice("labels", F.col("i") + 2, F.size("labels"))).alias("second"))
-    return second.groupBy("first", "second").agg(F.count("*").alias("n"))
+    total = rows.agg(F.count("*").alias("total"))
+    pairs = second.groupBy("first", "second").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total))
+    return pairs.select("first", "second", "n", (F.col("n") * 100.0 / F.col("total")).alias("pct"))
 
 
 def health_category(white_pct: Column) -> Column:
@@ -110,5 +134,17 @@ def split(items: DataFrame, key: str) -> DataFrame:
 
 
 def numbered(points: DataFrame, order: list[str], first: int, last: int) -> DataFrame:
-    """Points numbered from 1 within their raster, those from first to last."""
-    return points.withColumn("number", F.row_number().over(Window.partitionBy("raster_id").orderBy(*order))).where(F.col("number").between(first, last))
+    """Points numbered from 1 within their raster, those from first to last.
+
+    Rows are dealt by ranges of raster and order; a row's number is its place in its partition
+    and raster plus the raster's rows in the partitions before.
+    """
+    from .components import written
+
+    dealt = points.repartitionByRange("raster_id", *order).sortWithinPartitions("raster_id", *order).withColumn("at", F.monotonically_increasing_id())
+    dealt = written(dealt.withColumn("part", F.shiftright("at", 33)))
+    sizes = dealt.groupBy("raster_id", "part").agg(F.min("at").alias("begin"), F.count("*").alias("n"))  # one row a partition and raster
+    before = Window.partitionBy("raster_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    out = dealt.join(F.broadcast(sizes), ["raster_id", "part"]).withColumn("number", F.col("at") - F.col("begin") + F.col("before") + 1)
+    return out.where(F.col("number").between(first, last)).drop("at", "part", "begin", "before")

@@ -42,7 +42,7 @@ def param_grid(configs: dict[str, list[int]], spark) -> DataFrame:
     return out.withColumn("config", F.concat(F.lit("s"), F.col(a).cast("string"), F.lit("mpt"), F.col(b).cast("string"), F.lit("ts"), F.col(c).cast("string")))
 
 
-def best_config(metrics: DataFrame, threshold: float, by: tuple[str, ...] = ("mosaic",), order: tuple[str, ...] = ("config_ord",), values: tuple[str, ...] = ("match", "point_diff", "euc", "haus")) -> DataFrame:
+def best_config(metrics: DataFrame, threshold: float, by: tuple[str, ...] = ("mosaic",), order: tuple[str, ...] = ("config_ord",), values: tuple[str, ...] = ("match", "point_diff", "euc", "euc_matched", "haus", "repeats")) -> DataFrame:
     """The row of the best match among those with |point_diff| < threshold; ties by `order`; zeros where no row has a match above 0."""
     w = Window.partitionBy(*by).orderBy(F.desc("match"), *order)
     ok = metrics.where((F.abs("point_diff") < threshold) & (F.col("match") > 0))
@@ -59,7 +59,7 @@ def zip_lines(a: DataFrame, b: DataFrame, drop: int) -> DataFrame:
 
 
 #: What a line of a training log must hold, or begin with, to be read.
-LOG_PHRASES = ["models", "sensitivity", "specificity", "accuracy", "training site"]
+LOG_PHRASES = ["models", "all sites", "training site 3 done", "sensitivity", "exp4UNF"]
 LOG_START = "9 "
 
 
@@ -70,21 +70,31 @@ def select_log(log: DataFrame, phrases: list[str] = LOG_PHRASES, start: str = LO
     return log.where(keep)
 
 
-def log_metrics(log: DataFrame) -> DataFrame:
-    """(log_id, line_no, model, sensitivity, specificity, accuracy) of metric lines; the model is that of the last line that names one."""
-    model = F.regexp_extract("line", r"model(\S+?)epochs", 1)
-    name = F.when(F.col("line").contains("models"), model)
-    value = lambda m: F.regexp_extract("line", m + r" : ([0-9.]+)", 1).try_cast("double").alias(m)
+def log_metrics(log: DataFrame, classes: list[str] | None = None) -> DataFrame:
+    """(log_id, line_no, model, cls, sensitivity, specificity, accuracy) of the lines "<class> sensitivity : ...".
+
+    The model is that of the last line that names one, after the augmentation that was named
+    last before it, if any; the class is the word before "sensitivity".
+    """
     w = Window.partitionBy("log_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    out = log.withColumn("model", F.last(name, ignorenulls=True).over(w)).where(F.col("line").contains("sensitivity") & F.col("model").isNotNull())
-    return out.select("log_id", "line_no", "model", value("sensitivity"), value("specificity"), value("accuracy"))
+    carried = lambda c: F.last(c, ignorenulls=True).over(w)
+    tag = F.concat(F.lit("augm"), F.regexp_extract("line", r"exp4UNF[^Fa]*a.{6}([^Fa]*)", 1))
+    named = F.concat(F.coalesce("augm", F.lit("")), F.regexp_extract("line", r"model(\S+?)epochs", 1))
+    out = log.withColumn("augm", carried(F.when(F.col("line").contains("exp4UNF"), tag)))
+    out = out.withColumn("model", carried(F.when(F.col("line").contains("models"), named))).withColumn("cls", F.regexp_extract("line", r"(\S+) sensitivity", 1))
+    value = lambda m: F.regexp_extract("line", m + r" : ([0-9.]+)", 1).try_cast("double").alias(m)
+    out = out.where((F.col("cls") != "") & F.col("model").isNotNull())
+    out = out if classes is None else out.where(F.col("cls").isin(classes))
+    return out.select("log_id", "line_no", "model", "cls", value("sensitivity"), value("specificity"), value("accuracy"))
 
 
 def mean_triplets(m: DataFrame) -> DataFrame:
-    return m.groupBy("model").agg(*[F.avg(c).alias(c) for c in ("sensitivity", "specificity", "accuracy")])
+    return m.groupBy("model", "cls").agg(*[F.avg(c).alias(c) for c in ("sensitivity", "specificity", "accuracy")])
 
 
 def weighted_average(values: DataFrame, weights: dict[int, float], key: str = "site") -> DataFrame:
-    """(model, value): mean over sites, weighted; sites without a weight don't count."""
+    """(model, value, best): mean over sites, weighted; sites without a weight don't count. best marks the largest mean, the first by name of equal ones."""
     w = F.create_map(*[F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1]))])[F.col(key)]
-    return values.withColumn("w", w).where("w IS NOT NULL").groupBy("model").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value"))
+    means = values.withColumn("w", w).where("w IS NOT NULL").groupBy("model").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value"))
+    top = means.agg(F.min(F.struct(-F.round("value", 9), F.col("model").alias("model")))["model"].alias("top"))
+    return means.join(F.broadcast(top), means["model"] == top["top"], "left").select("model", "value", F.col("top").isNotNull().alias("best"))

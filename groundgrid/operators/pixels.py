@@ -21,9 +21,28 @@ def percentiles(p: DataFrame, *shares: float, by: tuple[str, ...] = ("raster_id"
     return p.groupBy(*by).agg(*[F.percentile("v", F.lit(s)).alias(f"p{i}") for i, s in enumerate(shares)])
 
 
+def raster_percentiles(p: DataFrame, *shares: float) -> DataFrame:
+    """percentiles() of whole rasters: heights are counted first and the running count, which
+    spills, tells the two neighbours of each percentile, so no raster's heights meet in a buffer."""
+    h = p.groupBy("raster_id", "v").agg(F.count("*").alias("n"))
+    total = h.groupBy("raster_id").agg(F.sum("n").alias("total"))
+    upto = F.sum("n").over(Window.partitionBy("raster_id").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    h = h.withColumn("upto", upto).join(total, "raster_id")
+
+    def at(k):
+        return F.max(F.when((F.col("upto") - F.col("n") <= k) & (k < F.col("upto")), F.col("v")))
+
+    def one(share):
+        place = F.lit(float(share)) * (F.col("total") - 1)
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        return low + F.max(place - F.floor(place)) * (high - low)
+
+    return h.groupBy("raster_id").agg(*[one(s).alias(f"p{i}") for i, s in enumerate(shares)])
+
+
 def subtract_floor(p: DataFrame, share: float = 0.01) -> DataFrame:
     """v less its percentile over the raster, clipped at 0 (such pixels go)."""
-    low = percentiles(p, share)
+    low = raster_percentiles(p, share)
     return p.join(low, "raster_id").withColumn("v", F.col("v") - F.col("p0")).drop("p0").where("v > 0")
 
 

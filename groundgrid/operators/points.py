@@ -95,3 +95,30 @@ def matched_counts(truth: DataFrame, pred: DataFrame, eps: list[float], by: tupl
     out = n.join(hit, [*keys, "eps"], "left").withColumn("n_matched", F.coalesce("n_matched", F.lit(0)).cast("long"))
     empty = (F.col("n_truth") == 0) | (F.col("n_pred") == 0)
     return out.withColumn("matched_pct", F.when(empty, -1.0).otherwise(100.0 * F.col("n_matched") / F.col("n_truth"))).drop("n_pred")
+
+
+def class_eval(truth: DataFrame, said: DataFrame, eps: float) -> DataFrame:
+    """(raster_id, mosaic, cls, n_truth, matched_any, matched_own, n_pred, pred_matched): truth (a_id, ax, ay, cls)
+    near a prediction (b_id, bx, by, said) of any or its own class, and predictions near truth of their class."""
+    key = ["raster_id", "mosaic"]
+    hit = within(truth, said, eps, keys=tuple(key))
+    own = hit.groupBy(*key, "a_id").agg(F.max((F.col("said") == F.col("cls")).cast("int")).alias("own"))
+    right = hit.where("said = cls").select(*key, "b_id").distinct().withColumn("right", F.lit(1))
+    a = truth.join(own, [*key, "a_id"], "left").groupBy(*key, "cls").agg(F.count("*").alias("n_truth"), F.count("own").alias("matched_any"), F.sum("own").alias("matched_own"))
+    b = said.join(right, [*key, "b_id"], "left").groupBy(*key, F.col("said").alias("cls")).agg(F.count("*").alias("n_pred"), F.count("right").alias("pred_matched"))
+    counts = ("n_truth", "matched_any", "matched_own", "n_pred", "pred_matched")
+    return a.join(b, [*key, "cls"], "full").select(*key, "cls", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts])
+
+
+def evaluate_grid(truth: DataFrame, found: DataFrame, eps: list[float]) -> DataFrame:
+    """(config, mosaic, eps, n_truth, n_pred, n_matched, matched_pct, point_diff) for every configuration of found
+    (config, b_id, bx, by), mosaic and distance, in one distance join of the largest."""
+    every = truth.join(F.broadcast(found.select("config").distinct()))  # configurations are a parameter grid
+    key = ["config", "raster_id", "mosaic"]
+    near = within(every, found, float(max(eps)), keys=tuple(key)).groupBy(*key, "a_id").agg(F.min("d").alias("d"))
+    steps = F.explode(F.array(*[F.lit(float(e)) for e in eps])).alias("eps")
+    hits = near.select("config", "mosaic", "d", steps).groupBy("config", "mosaic", "eps").agg(F.count_if(F.col("d") < F.col("eps")).alias("n_matched"))
+    sizes = found.groupBy("config", "mosaic").agg(F.count("*").alias("n_pred")).join(truth.groupBy("mosaic").agg(F.count("*").alias("n_truth")), "mosaic")
+    out = sizes.select("*", steps).join(hits, ["config", "mosaic", "eps"], "left").withColumn("n_matched", F.coalesce("n_matched", F.lit(0)))
+    n = F.col("n_truth")
+    return out.select("config", "mosaic", "eps", "n_truth", "n_pred", "n_matched", (100.0 * F.col("n_matched") / n).alias("matched_pct"), (100.0 * (n - F.col("n_pred")) / n).alias("point_diff"))

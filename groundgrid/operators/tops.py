@@ -30,14 +30,16 @@ def window_stretch(p: DataFrame, low: float, high: float = 0.99) -> DataFrame:
     return p.join(q, "raster_id").where("p1 > p0").withColumn("v", v).where("v > 0").select(*pixels.KEY, F.col("v").cast("double").alias("v"))
 
 
-def sweep(cells: list[tuple[int, int, float]], step: float, eps: float, min_pix: int) -> list[tuple[int, int, float]]:
+def sweep(cells: list[tuple[int, int, float]], step: float, eps: float, min_pix: int, centroid: bool = False) -> list[tuple[int, int, float]]:
     """Tops (y, x, v) of one component by lowering a threshold in bands of `step`.
 
     In every band the tops are thinned within each part of what lies above it (a top goes if a
     higher one of its part is closer than 2 eps), then parts of more than min_pix pixels that
     have no top add their highest pixel (the first by y, x). Parts grow by merging, so a pixel
-    is added once.
+    is added once. centroid: parts add their centroid, rounded down, with the height of the
+    component there (0 outside it), in place of the highest pixel.
     """
+    heights = {(y, x): v for y, x, v in cells} if centroid else {}
     top, low = max(c[2] for c in cells), min(c[2] for c in cells)
     if top == low:
         return []
@@ -45,7 +47,7 @@ def sweep(cells: list[tuple[int, int, float]], step: float, eps: float, min_pix:
     for c in cells:
         bands.setdefault(max(0, math.ceil((top - c[2]) / step) - 1), []).append(c)
     parent: dict[tuple[int, int], tuple[int, int]] = {}
-    parts: dict[tuple[int, int], list] = {}  # root: [pixels, (-height, y, x) of the highest, tops]
+    parts: dict[tuple[int, int], list] = {}  # root: [pixels, (-height, y, x) of the highest, tops, sum of y, sum of x]
 
     def root(p):
         while parent[p] != p:
@@ -56,44 +58,55 @@ def sweep(cells: list[tuple[int, int, float]], step: float, eps: float, min_pix:
     for k in range(max(1, math.trunc((top - step - low) / step) - 1)):
         for y, x, v in bands.get(k, ()):
             here = (y, x)
-            parent[here], parts[here] = here, [1, (-v, y, x), []]
+            parent[here], parts[here] = here, [1, (-v, y, x), [], y, x]
             for n in ((y + dy, x + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx):
                 if n in parent and (a := root(n)) != (b := root(here)):
                     if parts[a][0] < parts[b][0]:
                         a, b = b, a
-                    size, high, tops = parts.pop(b)
+                    size, high, tops, sum_y, sum_x = parts.pop(b)
                     parent[b] = a
                     parts[a][0] += size
                     parts[a][1] = min(parts[a][1], high)
                     parts[a][2] += tops
+                    parts[a][3] += sum_y
+                    parts[a][4] += sum_x
         for part in parts.values():
             ranked = sorted(part[2])
             part[2] = [t for i, t in enumerate(ranked) if all((t[1] - u[1]) ** 2 + (t[2] - u[2]) ** 2 >= 4 * eps * eps for u in ranked[:i])]
             if not part[2] and part[0] > min_pix:
-                part[2] = [part[1]]
+                middle = (part[3] // part[0], part[4] // part[0])
+                part[2] = [(-heights.get(middle, 0.0), *middle)] if centroid else [part[1]]
     return sorted((y, x, -v) for part in parts.values() for v, y, x in part[2])
 
 
-def find_tops(p: DataFrame, labelled: DataFrame, step: float, eps: float, min_pix: int) -> DataFrame:
-    """(raster_id, y, x, v) by sweep() in each component; use it on windows, whose size bounds a component's."""
+def find_tops(p: DataFrame, labelled: DataFrame, params: DataFrame, centroid: bool = False) -> DataFrame:
+    """(raster_id, y, x, v) by sweep() in each component, with the parameters (raster_id, step, eps, min_pix) of its raster; use it on windows, whose size bounds a component's."""
     # raster_id may be a struct, so its JSON text keys the groups.
     inner = f"raster_id {p.schema['raster_id'].dataType.simpleString()}"
-    cells = components.component_pixels(labelled).join(p, pixels.KEY).select(F.to_json(F.struct("raster_id")).alias("k"), "comp_y", "comp_x", "y", "x", F.col("v").cast("double").alias("v"))
+    cells = components.component_pixels(labelled).join(p, pixels.KEY).join(params, "raster_id")
+    cells = cells.select(F.to_json(F.struct("raster_id")).alias("k"), "comp_y", "comp_x", "y", "x", *[F.col(c).cast("double").alias(c) for c in ("v", "step", "eps", "min_pix")])
 
     def one(keys, pdf: pd.DataFrame) -> pd.DataFrame:
-        tops = sweep(list(zip(pdf["y"].tolist(), pdf["x"].tolist(), pdf["v"].tolist(), strict=True)), step, eps, min_pix)
+        step, eps, least = (float(pdf[c].iloc[0]) for c in ("step", "eps", "min_pix"))
+        tops = sweep(list(zip(pdf["y"].tolist(), pdf["x"].tolist(), pdf["v"].tolist(), strict=True)), step, eps, least, centroid)
         return pd.DataFrame([(keys[0], *t) for t in tops], columns=["k", "y", "x", "v"])
 
     found = cells.groupBy("k", "comp_y", "comp_x").applyInPandas(one, "k string, y int, x int, v double")
     return found.select(F.from_json("k", inner)["raster_id"].alias("raster_id"), "y", "x", "v")
 
 
-def process_windows(windowed: DataFrame, extent, low: float, k: int, iterations: int, min_area: int, step: float, eps: float) -> DataFrame:
-    """Tops of every window of keyed_by_window(): stretch, erode, components above min_area, band sweep."""
-    clean = components.written(pixels.erode_rect(window_stretch(windowed, low), k, iterations, *extent))
+def same_params(p: DataFrame, step: float, eps: float, min_pix: int) -> DataFrame:
+    """The same sweep parameters for every raster of p."""
+    return p.select("raster_id").distinct().select("raster_id", F.lit(step).alias("step"), F.lit(eps).alias("eps"), F.lit(min_pix).alias("min_pix"))
+
+
+def process_windows(windowed: DataFrame, extent, low: float, k: int, iterations: int, params: DataFrame, centroid: bool = False) -> DataFrame:
+    """Tops of every window of keyed_by_window() that has parameters (raster_id, step, eps, min_pix): stretch, erode, components above min_pix, band sweep."""
+    params = components.written(params)
+    clean = components.written(pixels.erode_rect(window_stretch(windowed.join(params, "raster_id", "left_semi"), low), k, iterations, *extent))
     labelled = components.label_runs(clean)
-    large = components.stats(labelled).where(F.col("area") > min_area).select("raster_id", "comp_y", "comp_x")
-    return find_tops(clean, labelled.join(large, ["raster_id", "comp_y", "comp_x"], "left_semi"), step, eps, min_area)
+    large = components.stats(labelled).join(params, "raster_id").where(F.col("area") > F.col("min_pix")).select("raster_id", "comp_y", "comp_x")
+    return find_tops(clean, labelled.join(large, ["raster_id", "comp_y", "comp_x"], "left_semi"), params, centroid)
 
 
 def to_global(tops: DataFrame) -> DataFrame:
@@ -106,15 +119,16 @@ def trim_canopy(p: DataFrame, tops: DataFrame, radius: int, cutoff: float) -> Da
 
     Tops fall into ten equal bands of height from the highest (one band if all are equal). Of the
     disks round a band's tops the pixels stay that are no higher than its highest top and no lower
-    than its lowest less 1.5 (2.25 where its highest is below the cutoff).
+    than its lowest less 1.5 (2.25 where its first top, by y and x, is below the cutoff).
     """
     ends = tops.groupBy("raster_id").agg(F.max("h").alias("hi"), F.min("h").alias("lo"))
     step = (F.col("hi") - F.col("lo")) / 10
     band = F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.least(F.floor((F.col("hi") - F.col("h")) / F.nullif(step, F.lit(0.0))).cast("int"), F.lit(9)))
     banded = tops.join(ends, "raster_id").select("raster_id", "y", "x", "h", band.alias("band"))
-    limits = banded.groupBy("raster_id", "band").agg(F.max("h").alias("top"), F.min("h").alias("low")).withColumn("low", F.col("low") - F.when(F.col("top") < cutoff, 2.25).otherwise(1.5))
+    limits = banded.groupBy("raster_id", "band").agg(F.max("h").alias("top"), F.min("h").alias("low"), F.min_by("h", F.struct("y", "x")).alias("first")).withColumn("low", F.col("low") - F.when(F.col("first") < cutoff, 2.25).otherwise(1.5))
     side = F.explode(F.sequence(F.lit(-radius), F.lit(radius)))
     disk = banded.withColumn("dx", side).withColumn("dy", side).where(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") <= radius * radius)
+    limits = limits.drop("first")
     disk = disk.select("raster_id", "band", (F.col("y") + F.col("dy")).cast("int").alias("y"), (F.col("x") + F.col("dx")).cast("int").alias("x")).distinct()
     return p.join(disk, pixels.KEY).join(limits, ["raster_id", "band"]).where(F.col("v").between(F.col("low"), F.col("top"))).select(*pixels.KEY, "v").distinct()
 
@@ -137,7 +151,7 @@ def detect_tops(p: DataFrame, width: int, height: int, size: int = 500, overlap:
     windowed = keyed_by_window(clean, size, int(size * (1 - overlap)))
     full = windowed.groupBy("raster_id").count().where(F.col("count") > gate)
     windowed = windowed.join(full, "raster_id", "left_semi")
-    tops = process_windows(windowed, window_extent(size, width, height), low, k, iterations, min_area, step, eps)
+    tops = process_windows(windowed, window_extent(size, width, height), low, k, iterations, same_params(windowed, step, eps, min_area))
     return refine_global(clean, to_global(tops), radius, cutoff)
 
 
@@ -173,3 +187,45 @@ def extend_floor(p: DataFrame, floor: DataFrame, size: int, margin: float) -> Da
     on = F.when((F.col("on") == 1) & F.col("v").between(1, 255), F.col("v"))
     mean = F.coalesce(F.floor(F.avg(on).over(Window.partitionBy("raster_id", "wx", "wy"))), F.lit(0))
     return marked.withColumn("m", mean).where(F.col("v") < F.col("m") + margin).select(*pixels.KEY).union(floor.select(*pixels.KEY)).distinct()
+
+
+def detect_tops_boxes(p: DataFrame, boxes: DataFrame, width: int, height: int, size: int = 500, overlap: float = 0.2, low: float = 0.5, k: int = 3, iterations: int = 1, radius: int = 10, cutoff: float = 10.0) -> DataFrame:
+    """(raster_id, x, y, v) from windows that hold boxes: the boxes' centres are seeds, and so are
+    the centroids that a sweep with parameters from the window's boxes finds; then the refinement
+    over the whole raster."""
+    clean = components.written(pixels.subtract_floor(pixels.clip_negative(p)))
+    step = int(size * (1 - overlap))
+    windowed = components.written(keyed_by_window(clean, size, step))
+    within = windows.boxes_in(boxes, size, step).select("raster_id", "win_x", "win_y", "box_id")
+    key = F.struct(F.col("raster_id").alias("r"), F.col("win_x").alias("wx"), F.col("win_y").alias("wy"))
+    measured = within.join(box_stats(clean, boxes), ["raster_id", "box_id"])
+    params = window_params(measured.withColumn("raster_id", key), ("raster_id",)).withColumnRenamed("radius", "eps")
+    tops = process_windows(windowed, window_extent(size, width, height), low, k, iterations, params, centroid=True)
+    centres = boxes.select("raster_id", F.floor((F.col("y1") + F.col("y2")) / 2).cast("int").alias("y"), F.floor((F.col("x1") + F.col("x2")) / 2).cast("int").alias("x"))
+    return refine_global(clean, to_global(tops).union(centres), radius, cutoff)
+
+
+def flatten_tops(by_component: DataFrame, column: str = "tops") -> DataFrame:
+    """One row per top of a map from components to arrays of tops (structs)."""
+    rest = [c for c in by_component.columns if c != column]
+    return by_component.select(*rest, F.explode(F.flatten(F.map_values(column))).alias("top")).select(*rest, "top.*")
+
+
+def window_clean(p: DataFrame, size: int, low: float, k: int, iterations: int, width: int, height: int, gate: int = 50) -> DataFrame:
+    """In windows side by side of more than `gate` pixels: pixels below the low percentile go, the
+    rest is cut at the 99th, scaled to 255 above the low one, and eroded. Other windows stay as they are."""
+    windowed = keyed_by_window(p, size, size)
+    full = windowed.groupBy("raster_id").count().where(F.col("count") > gate).select("raster_id")
+    q = pixels.percentiles(windowed.join(full, "raster_id", "left_semi"), low, 0.99)
+    scaled = windowed.join(q, "raster_id").where("p1 > p0").withColumn("v", (F.least("v", "p1") - F.col("p0")) * (F.lit(255.0) / (F.col("p1") - F.col("p0")))).where("v > 0").select(*pixels.KEY, "v")
+    done = pixels.erode_rect(scaled, k, iterations, *window_extent(size, width, height)).union(windowed.join(full, "raster_id", "left_anti").select(*pixels.KEY, "v"))
+    return done.select(F.col("raster_id.r").alias("raster_id"), (F.col("y") + F.col("raster_id.wy")).cast("int").alias("y"), (F.col("x") + F.col("raster_id.wx")).cast("int").alias("x"), "v")
+
+
+def floor_mask(p: DataFrame, rgb: DataFrame, low: float, shadow: float, bright: float, margin: float, size: int, width: int, height: int, rounds: int = 5) -> DataFrame:
+    """Pixels of the floor: low, dark or bright ones, extended `rounds` times in windows of size, 1.5 and 2 times that in turn."""
+    found = pixels.union_masks(p.where(F.col("v") < low), focal.filter_shadows(rgb, width, height, shadow), focal.filter_bright(rgb, width, height, bright))
+    found = components.written(found)
+    for i in range(rounds):
+        found = components.written(extend_floor(p, found, int(size * (1, 1.5, 2)[i % 3]), margin))
+    return found

@@ -82,7 +82,8 @@ FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
 SELECT l_linestatus AS exp, CAST(l_linenumber * 10 + CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS INT) AS config_ord,
        concat('s', CAST(l_linenumber AS STRING), 'mpt', l_returnflag) AS config, CAST(l_suppkey % 9 + 1 AS INT) AS mosaic,
        round(avg(l_quantity) * 2, 2) AS match, round(avg(l_discount) * 1000 - 50, 2) AS point_diff,
-       round(avg(l_tax) * 100, 2) AS euc, round(max(l_quantity), 2) AS haus
+       round(avg(l_tax) * 100, 2) AS euc, round(max(l_quantity), 2) AS haus,
+       round(avg(l_extendedprice) / 1000, 2) AS euc_matched, round(min(l_quantity), 2) AS repeats
 FROM lineitem GROUP BY l_linestatus, l_linenumber, l_returnflag, l_suppkey % 9
 """,
     "rated": """
@@ -94,8 +95,8 @@ FROM lineitem
 SELECT user_id AS log_id, event_id AS line_no,
        CASE event_type
          WHEN 'signup' THEN concat('models for modelresLR0.0', CAST(event_id % 9 + 1 AS STRING), 'epochs10frozenFalse')
-         WHEN 'view' THEN concat('class sickfir sensitivity : 0.', CAST(event_id % 90 + 10 AS STRING), ', specificity : 0.', CAST(event_id % 80 + 10 AS STRING), ', accuracy : 0.', CAST(event_id % 70 + 20 AS STRING), ',')
-         WHEN 'error' THEN 'training site 3 done in 12'
+         WHEN 'view' THEN concat('class ', CASE event_id % 3 WHEN 0 THEN 'deciduous' WHEN 1 THEN 'sickfir' ELSE 'healthyfir' END, ' sensitivity : 0.', CAST(event_id % 90 + 10 AS STRING), ', specificity : 0.', CAST(event_id % 80 + 10 AS STRING), ', accuracy : 0.', CAST(event_id % 70 + 20 AS STRING), ',')
+         WHEN 'error' THEN CASE event_id % 4 WHEN 0 THEN concat('exp4UNFaugment', CAST(event_id % 5 AS STRING)) WHEN 1 THEN concat('training site ', CAST(event_id % 5 AS STRING), ' done in 12') WHEN 2 THEN 'all sites' ELSE concat('9 ', CAST(event_id AS STRING)) END
          ELSE concat('epoch ', CAST(event_id AS STRING)) END AS line
 FROM events
 """,

@@ -218,9 +218,9 @@ def _(t):
     return windows.boxes_in(t("boxes"), 100, 80)
 
 
-@query("w8_to_global", f"WITH {WIN} SELECT raster_id, win_x + lx AS x, win_y + ly AS y, count(*) AS n FROM (SELECT raster_id, win_x, win_y, x - win_x AS lx, y - win_y AS ly FROM win WHERE v >= 45) GROUP BY 1, 2, 3")
+@query("w8_to_global", f"WITH {WIN} SELECT raster_id, win_x + lx AS x, win_y + ly AS y, count(*) AS n FROM (SELECT raster_id, win_x, win_y, x - win_x AS lx, y - win_y AS ly FROM win) GROUP BY 1, 2, 3")
 def _(t):
-    local = windows.assign(t("canopy").where("v >= 45"), 100, 80).select("raster_id", "win_x", "win_y", (F.col("x") - F.col("win_x")).alias("lx"), (F.col("y") - F.col("win_y")).alias("ly"))
+    local = windows.assign(t("canopy"), 100, 80).select("raster_id", "win_x", "win_y", (F.col("x") - F.col("win_x")).alias("lx"), (F.col("y") - F.col("win_y")).alias("ly"))
     return local.groupBy("raster_id", (F.col("win_x") + F.col("lx")).alias("x"), (F.col("win_y") + F.col("ly")).alias("y")).agg(F.count("*").alias("n"))
 
 
@@ -312,14 +312,15 @@ def _(t):
     return both.select("raster_id", pct(F.col("found"), "found_pct"), pct(F.col("on") - F.col("found"), "repeated_pct"), pct(n - F.col("found"), "missed_pct"), pct(F.col("all") - F.col("on"), "background_pct"))
 
 
-@query("h14_class_eval", """WITH hit AS (SELECT a.raster_id, a.mosaic, a.cls, a.tid, coalesce(bool_or(b.cls = a.cls), FALSE) AS own, count(b.pid) > 0 AS any_ FROM trees a LEFT JOIN preds b ON b.raster_id = a.raster_id AND b.mosaic = a.mosaic AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 25 GROUP BY 1, 2, 3, 4)
-SELECT raster_id, mosaic, cls, count(*) AS n_truth, count(*) FILTER (any_) AS matched_any, count(*) FILTER (own) AS matched_own FROM hit GROUP BY raster_id, mosaic, cls""")
+@query("h14_class_eval", """WITH hit AS (SELECT a.raster_id, a.mosaic, a.cls, a.tid, coalesce(bool_or(b.cls = a.cls), FALSE) AS own, count(b.pid) > 0 AS any_ FROM trees a LEFT JOIN preds b ON b.raster_id = a.raster_id AND b.mosaic = a.mosaic AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 25 GROUP BY 1, 2, 3, 4),
+said AS (SELECT b.raster_id, b.mosaic, b.cls, b.pid, count(a.tid) > 0 AS hit FROM preds b LEFT JOIN trees a ON b.raster_id = a.raster_id AND b.mosaic = a.mosaic AND b.cls = a.cls AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 25 GROUP BY 1, 2, 3, 4),
+truth AS (SELECT raster_id, mosaic, cls, count(*) AS n_truth, count(*) FILTER (any_) AS matched_any, count(*) FILTER (own) AS matched_own FROM hit GROUP BY ALL), pred AS (SELECT raster_id, mosaic, cls, count(*) AS n_pred, count(*) FILTER (hit) AS pred_matched FROM said GROUP BY ALL)
+SELECT coalesce(t.raster_id, p.raster_id) AS raster_id, coalesce(t.mosaic, p.mosaic) AS mosaic, coalesce(t.cls, p.cls) AS cls, coalesce(n_truth, 0) AS n_truth, coalesce(matched_any, 0) AS matched_any, coalesce(matched_own, 0) AS matched_own, coalesce(n_pred, 0) AS n_pred, coalesce(pred_matched, 0) AS pred_matched
+FROM truth t FULL JOIN pred p ON p.raster_id = t.raster_id AND p.mosaic = t.mosaic AND p.cls = t.cls""")
 def _(t):
     a = t("trees").select("raster_id", "mosaic", F.col("tid").alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay"), "cls")
     b = t("preds").select("raster_id", "mosaic", F.col("pid").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("cls").alias("said"))
-    hit = points.within(a, b, 5.0, keys=("raster_id", "mosaic")).groupBy("raster_id", "a_id").agg(F.max((F.col("said") == F.col("cls")).cast("int")).alias("own"))
-    every = a.join(hit, ["raster_id", "a_id"], "left")
-    return every.groupBy("raster_id", "mosaic", "cls").agg(F.count("*").alias("n_truth"), F.count("own").alias("matched_any"), F.coalesce(F.sum("own"), F.lit(0)).cast("long").alias("matched_own"))
+    return points.class_eval(a, b, 5.0)
 
 
 @query("h15_caught_before_classification", "SELECT raster_id, cls, count(*) AS n_truth, count(*) FILTER (hit) AS n_matched FROM (SELECT a.raster_id, a.cls, EXISTS (SELECT 1 FROM preds b WHERE b.raster_id = a.raster_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 9) AS hit FROM trees a) q GROUP BY raster_id, cls")
@@ -388,12 +389,6 @@ def _(t):
     return _kept(t, t("canopy").select("raster_id").distinct().select("raster_id", F.explode(F.array(*map(F.lit, (10.0, 25.0, 40.0)))).alias("th")))
 
 
-@query("r6_decile_report", "WITH q AS (SELECT raster_id, unnest(quantile_cont(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS th FROM canopy GROUP BY raster_id), ths AS (SELECT DISTINCT th FROM q) " + R5)
-def _(t):
-    shares = F.array(*[F.lit(i / 10) for i in range(1, 10)])
-    return _kept(t, t("canopy").groupBy("raster_id").agg(F.percentile("v", shares).alias("p")).select("raster_id", F.explode("p").alias("th")).distinct())
-
-
 @query("r7_paint_disks", "SELECT DISTINCT raster_id, y + dy AS y, x + dx AS x FROM trees CROSS JOIN offs CROSS JOIN grid WHERE d2 <= 25 AND x + dx BETWEEN 0 AND w - 1 AND y + dy BETWEEN 0 AND w - 1")
 def _(t):
     w = side(t)
@@ -435,11 +430,6 @@ def _ann(t) -> DataFrame:
 ANN = "ann AS (SELECT image, list_filter(string_split(label_text, ' '), lambda x: x <> '') AS labels FROM annotations)"
 
 
-@query("s5_read_annotations", f"WITH {ANN} SELECT image, len(labels) AS n, array_to_string(labels, '|') AS joined FROM ann")
-def _(t):
-    return _ann(t).select("image", F.size("labels").cast("long").alias("n"), F.array_join("labels", "|").alias("joined"))
-
-
 @query("d5_all_labels_in", f"WITH {ANN} SELECT image, len(list_filter(labels, lambda x: x NOT IN ('en', 'good', 'long'))) = 0 AS ok FROM ann")
 def _(t):
     return _ann(t).select("image", dataset.all_labels_in(F.col("labels"), ["en", "good", "long"]).alias("ok"))
@@ -457,9 +447,9 @@ def _(t):
     return dataset.label_stats(_ann(t)).withColumn("pct", round6(F.col("pct")))
 
 
-@query("d7_label_pairs", f"WITH {ANN}, listed AS (SELECT image, unnest(labels) AS label, generate_subscripts(labels, 1) AS i FROM ann) SELECT a.label AS \"first\", b.label AS second, count(*) AS n FROM listed a JOIN listed b ON a.image = b.image AND a.i < b.i GROUP BY 1, 2")
+@query("d7_label_pairs", f"WITH {ANN}, listed AS (SELECT image, unnest(labels) AS label, generate_subscripts(labels, 1) AS i FROM ann) SELECT a.label AS \"first\", b.label AS second, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM ann), 6) AS pct FROM listed a JOIN listed b ON a.image = b.image AND a.i < b.i GROUP BY 1, 2")
 def _(t):
-    return dataset.label_pairs(_ann(t))
+    return dataset.label_pairs(_ann(t)).withColumn("pct", round6(F.col("pct")))
 
 
 @query("d9_leave_site_out", "SELECT s.site, CASE WHEN f.mosaic IS NULL THEN 'train' ELSE 'test' END AS part, t.tid FROM trees t CROSS JOIN (SELECT DISTINCT site FROM folds) s LEFT JOIN folds f ON f.site = s.site AND f.mosaic = t.mosaic")
@@ -490,11 +480,11 @@ def _(t):
     return evaluation.coverage(evaluation.accept(t("predictions")))
 
 
-@query("m4_class_masks", "SELECT cls, p.raster_id, y + dy AS y, x + dx AS x, count(*) AS n FROM preds p CROSS JOIN offs CROSS JOIN grid WHERE d2 <= 100 AND x + dx BETWEEN 0 AND w - 1 AND y + dy BETWEEN 0 AND w - 1 AND cls = 'sickfir' GROUP BY 1, 2, 3, 4")
+@query("m4_class_masks", "SELECT cls, p.raster_id, y + dy AS y, x + dx AS x, count(*) AS n FROM preds p CROSS JOIN offs CROSS JOIN grid WHERE d2 <= 100 AND x + dx BETWEEN 0 AND w - 1 AND y + dy BETWEEN 0 AND w - 1 GROUP BY 1, 2, 3, 4")
 def _(t):
     o = t("offs").where("d2 <= 100")
     w = side(t)
-    spread = t("preds").where("cls = 'sickfir'").crossJoin(F.broadcast(o)).select("cls", "raster_id", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"))
+    spread = t("preds").crossJoin(F.broadcast(o)).select("cls", "raster_id", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"))
     return spread.where(F.col("x").between(0, w - 1) & F.col("y").between(0, w - 1)).groupBy("cls", "raster_id", "y", "x").agg(F.count("*").alias("n"))
 
 
@@ -513,15 +503,23 @@ def _(t):
 # Experiments
 
 
-@query("e2_evaluate_grid", f"WITH {NEAREST} SELECT t.mosaic, eps, count(*) AS n_truth, count(*) FILTER (d < eps) AS n_matched FROM near n JOIN trees t ON t.tid = n.tid CROSS JOIN (SELECT CAST(unnest([5, 10, 20]) AS DOUBLE) AS eps) GROUP BY t.mosaic, eps")
+CONFIGS = "configs AS (SELECT * FROM (VALUES (2, 's500mpt30ts1'), (3, 's750mpt50ts2'), (5, 's1000mpt80ts3')) AS t(skip, config)), found AS (SELECT c.config, p.* FROM configs c JOIN preds p ON p.pid % 7 <> c.skip)"
+
+
+@query("e2_evaluate_grid", f"""WITH {CONFIGS}, near AS (SELECT f.config, a.raster_id, a.tid, a.mosaic, min(sqrt((a.x - f.x) * (a.x - f.x) + (a.y - f.y) * (a.y - f.y))) AS d FROM trees a JOIN found f ON f.raster_id = a.raster_id AND f.mosaic = a.mosaic GROUP BY 1, 2, 3, 4),
+sizes AS (SELECT config, mosaic, count(*) AS n_pred FROM found GROUP BY 1, 2), truth AS (SELECT mosaic, count(*) AS n_truth FROM trees GROUP BY 1)
+SELECT s.config, s.mosaic, eps, n_truth, n_pred, coalesce(h.n, 0) AS n_matched, round(100.0 * coalesce(h.n, 0) / n_truth, 6) AS matched_pct, round(100.0 * (n_truth - n_pred) / n_truth, 6) AS point_diff FROM sizes s JOIN truth t ON t.mosaic = s.mosaic CROSS JOIN (SELECT CAST(unnest([5, 10, 20]) AS DOUBLE) AS eps) e
+LEFT JOIN (SELECT config, mosaic, eps AS e, count(*) FILTER (d < eps) AS n FROM near CROSS JOIN (SELECT CAST(unnest([5, 10, 20]) AS DOUBLE) AS eps) GROUP BY 1, 2, 3) h ON h.config = s.config AND h.mosaic = s.mosaic AND h.e = e.eps""")
 def _(t):
-    mosaic = t("trees").select("raster_id", F.col("tid").alias("a_id"), "mosaic", F.explode(F.array(*map(F.lit, (5.0, 10.0, 20.0)))).alias("eps"))
-    d = points.within(points.as_a(t("trees"), "tid"), points.as_b(t("preds"), "pid"), 20.0).groupBy("raster_id", "a_id").agg(F.min("d").alias("d"))
-    return mosaic.join(d, ["raster_id", "a_id"], "left").groupBy("mosaic", "eps").agg(F.count("*").alias("n_truth"), F.count_if(F.col("d") < F.col("eps")).alias("n_matched"))
+    configs = F.explode(F.array(*[F.struct(F.lit(k).alias("skip"), F.lit(c).alias("config")) for k, c in ((2, "s500mpt30ts1"), (3, "s750mpt50ts2"), (5, "s1000mpt80ts3"))]))
+    found = t("preds").select("*", configs.alias("c")).where("pid % 7 != c.skip").select("raster_id", "mosaic", "c.config", F.col("pid").alias("b_id"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    truth = t("trees").select("raster_id", "mosaic", F.col("tid").alias("a_id"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    done = points.evaluate_grid(truth, found, [5, 10, 20])
+    return done.withColumns({c: round6(F.col(c)) for c in ("matched_pct", "point_diff")})
 
 
 @query("e4_best_config_per_mosaic", """WITH b AS (SELECT *, row_number() OVER (PARTITION BY exp, mosaic ORDER BY match DESC, config_ord) AS rn FROM metrics WHERE abs(point_diff) < 3 AND match > 0)
-SELECT m.exp, m.mosaic, coalesce(b.config, '') AS config, coalesce(b.match, 0) AS match, coalesce(b.point_diff, 0) AS point_diff, coalesce(b.euc, 0) AS euc, coalesce(b.haus, 0) AS haus FROM (SELECT DISTINCT exp, mosaic FROM metrics) m LEFT JOIN b ON b.exp = m.exp AND b.mosaic = m.mosaic AND b.rn = 1""")
+SELECT m.exp, m.mosaic, coalesce(b.config, '') AS config, coalesce(b.match, 0) AS match, coalesce(b.point_diff, 0) AS point_diff, coalesce(b.euc, 0) AS euc, coalesce(b.euc_matched, 0) AS euc_matched, coalesce(b.haus, 0) AS haus, coalesce(b.repeats, 0) AS repeats FROM (SELECT DISTINCT exp, mosaic FROM metrics) m LEFT JOIN b ON b.exp = m.exp AND b.mosaic = m.mosaic AND b.rn = 1""")
 def _(t):
     return evaluation.best_config(t("metrics"), 3, by=("exp", "mosaic"))
 
@@ -539,13 +537,14 @@ def _(t):
     return evaluation.zip_lines(t("log").withColumn("line_no", F.struct("log_id", "line_no")), t("log").withColumn("line_no", F.struct("log_id", "line_no")), 1).select("line_no.log_id", "line_no.line_no", "line")
 
 
-@query("e6_log_select", "SELECT log_id, line_no, line FROM log WHERE line LIKE '%models%' OR line LIKE '%sensitivity%' OR line LIKE '%specificity%' OR line LIKE '%accuracy%' OR line LIKE '%training site%' OR line LIKE '9 %'")
+@query("e6_log_select", "SELECT log_id, line_no, line FROM log WHERE line LIKE '%models%' OR line LIKE '%all sites%' OR line LIKE '%training site 3 done%' OR line LIKE '%sensitivity%' OR line LIKE '%exp4UNF%' OR line LIKE '9 %'")
 def _(t):
     return evaluation.select_log(t("log"))
 
 
-LOGM = """m AS (SELECT log_id, line_no, line, last_value(CASE WHEN line LIKE '%models%' THEN regexp_extract(line, 'model(\\S+?)epochs', 1) END IGNORE NULLS) OVER (PARTITION BY log_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS model FROM log),
-lm AS (SELECT log_id, line_no, model, CAST(regexp_extract(line, 'sensitivity : ([0-9.]+)', 1) AS DOUBLE) AS sensitivity, CAST(regexp_extract(line, 'specificity : ([0-9.]+)', 1) AS DOUBLE) AS specificity, CAST(regexp_extract(line, 'accuracy : ([0-9.]+)', 1) AS DOUBLE) AS accuracy FROM m WHERE line LIKE '%sensitivity%' AND model IS NOT NULL)"""
+LOGM = """a AS (SELECT *, last_value(CASE WHEN line LIKE '%exp4UNF%' THEN 'augm' || regexp_extract(line, 'exp4UNF[^Fa]*a.{6}([^Fa]*)', 1) END IGNORE NULLS) OVER (PARTITION BY log_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS augm FROM log),
+m AS (SELECT log_id, line_no, line, last_value(CASE WHEN line LIKE '%models%' THEN coalesce(augm, '') || regexp_extract(line, 'model(\\S+?)epochs', 1) END IGNORE NULLS) OVER (PARTITION BY log_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS model FROM a),
+lm AS (SELECT log_id, line_no, model, regexp_extract(line, '(\\S+) sensitivity', 1) AS cls, CAST(regexp_extract(line, 'sensitivity : ([0-9.]+)', 1) AS DOUBLE) AS sensitivity, CAST(regexp_extract(line, 'specificity : ([0-9.]+)', 1) AS DOUBLE) AS specificity, CAST(regexp_extract(line, 'accuracy : ([0-9.]+)', 1) AS DOUBLE) AS accuracy FROM m WHERE line LIKE '% sensitivity%' AND model IS NOT NULL)"""
 
 
 @query("e7_log_to_metrics", f"WITH {LOGM} SELECT * FROM lm")
@@ -553,24 +552,19 @@ def _(t):
     return evaluation.log_metrics(t("log"))
 
 
-@query("e8_weighted_site_average", f"WITH {LOGM} SELECT model, round(sum(w * sensitivity) / sum(w), 6) AS value FROM (SELECT model, sensitivity, CASE log_id % 3 + 1 WHEN 1 THEN 45.0 WHEN 2 THEN 44.0 ELSE 80.0 END AS w FROM lm) q GROUP BY model")
+@query("e8_weighted_site_average", f"WITH {LOGM}, w AS (SELECT model, round(sum(w * sensitivity) / sum(w), 6) AS value FROM (SELECT model, sensitivity, CASE log_id % 3 + 1 WHEN 1 THEN 45.0 WHEN 2 THEN 44.0 ELSE 80.0 END AS w FROM lm WHERE cls = 'sickfir') q GROUP BY model) SELECT model, value, row_number() OVER (ORDER BY value DESC, model) = 1 AS best FROM w")
 def _(t):
-    m = evaluation.log_metrics(t("log")).select("model", (F.col("log_id") % 3 + 1).alias("site"), F.col("sensitivity").alias("value"))
+    m = evaluation.log_metrics(t("log"), ["sickfir"]).select("model", (F.col("log_id") % 3 + 1).alias("site"), F.col("sensitivity").alias("value"))
     return evaluation.weighted_average(m, {1: 45, 2: 44, 3: 80}).withColumn("value", round6(F.col("value")))
 
 
-@query("e9_mean_triplets", f"WITH {LOGM} SELECT model, round(avg(sensitivity), 6) AS sensitivity, round(avg(specificity), 6) AS specificity, round(avg(accuracy), 6) AS accuracy FROM lm GROUP BY model")
+@query("e9_mean_triplets", f"WITH {LOGM} SELECT model, cls, round(avg(sensitivity), 6) AS sensitivity, round(avg(specificity), 6) AS specificity, round(avg(accuracy), 6) AS accuracy FROM lm GROUP BY model, cls")
 def _(t):
     m = evaluation.mean_triplets(evaluation.log_metrics(t("log")))
-    return m.select("model", *[round6(F.col(c)).alias(c) for c in ("sensitivity", "specificity", "accuracy")])
+    return m.select("model", "cls", *[round6(F.col(c)).alias(c) for c in ("sensitivity", "specificity", "accuracy")])
 
 
 @query("e10_metric_pivot", "SELECT exp, config, " + ", ".join(f"max(match) FILTER (mosaic = {i}) AS m{i}" for i in range(1, 10)) + " FROM metrics GROUP BY exp, config")
 def _(t):
     p = t("metrics").groupBy("exp", "config").pivot("mosaic", list(range(1, 10))).agg(F.max("match"))
     return p.select("exp", "config", *[F.col(str(i)).alias(f"m{i}") for i in range(1, 10)])
-
-
-@query("s8_read_series", "SELECT exp, config_ord, mosaic, name, value FROM (SELECT exp, config_ord, mosaic, match, euc, haus FROM metrics) UNPIVOT (value FOR name IN (match, euc, haus))")
-def _(t):
-    return t("metrics").unpivot(["exp", "config_ord", "mosaic"], ["match", "euc", "haus"], "name", "value")

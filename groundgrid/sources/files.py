@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +15,13 @@ def read_image_pixels(spark: SparkSession, path: str) -> DataFrame:
     def unpack(batches):
         for pdf in batches:
             for origin, width, height, n, data in pdf.itertuples(index=False):
-                flat = list(data)
-                plane = [flat[c::n] for c in ((0, 1, 2) if n >= 3 else (0, 0, 0))]
-                yield pd.DataFrame({"path": origin, "y": [i // width for i in range(width * height)], "x": [i % width for i in range(width * height)], "b": plane[0], "g": plane[1], "r": plane[2]})
+                flat = np.frombuffer(data, "uint8").reshape(height, width, n)
+                rows = max(1, 1_000_000 // max(1, width))
+                for y0 in range(0, height, rows):
+                    part = flat[y0 : y0 + rows]
+                    y, x = np.indices(part.shape[:2])
+                    plane = dict(zip("bgr", (part[:, :, c].ravel().astype("int32") for c in ((0, 1, 2) if n >= 3 else (0, 0, 0)))))
+                    yield pd.DataFrame({"path": origin, "y": (y + y0).ravel().astype("int32"), "x": x.ravel().astype("int32"), **plane})
 
     return images.mapInPandas(unpack, "path string, y int, x int, b int, g int, r int")
 
@@ -72,7 +77,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def metric_matrix(lines: DataFrame, offset: int = 6) -> DataFrame:
     """(path, config_ord, mosaic, value): cells of a matrix with a header line and `offset` tokens before the values; what isn't a number is left out."""
-    rows = lines.where("line_no > 1").select("path", (F.col("line_no") - 1).alias("config_ord"), F.slice(F.split("line", " "), offset + 1, 1000).alias("cells"))
+    rows = lines.where("line_no > 1").select("path", (F.col("line_no") - 1).alias("config_ord"), F.slice(F.split("line", " "), F.lit(offset + 1), F.size(F.split("line", " "))).alias("cells"))
     cells = rows.select("path", "config_ord", F.posexplode("cells").alias("i", "cell"))
     return cells.select("path", "config_ord", (F.col("i") + 1).alias("mosaic"), F.col("cell").try_cast("double").alias("value")).where("value IS NOT NULL")
 
