@@ -19,9 +19,9 @@ SPAN, DECAY = 5, 0.7
 RIDGE = 0.1
 _SPLIT = re.compile(r"[^\W_]+(?:['.*_\-+~^|][^\W_]+)*")
 _INSIDE = re.compile(r"[\W_]+")
-_LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâäçèéêëìíîïñòóôöùúûüœ0"
-_CODE = {c: i + 2 for i, c in enumerate(_LETTERS)} | {str(d): _LETTERS.index("0") + 2 for d in range(10)}
-_SIZE = 64
+#: Features are hashed into so many slots, whatever the script.
+_SLOTS = 1 << 20
+_DIGITS = {ord(c): "0" for c in "123456789"}
 
 
 def strings_of(text: str | None) -> list[str]:
@@ -44,13 +44,13 @@ def strings_of(text: str | None) -> list[str]:
 def features(words: list[str], most: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sparse kernel features of words, of unit length: (word number, feature, value), by word.
 
-    A feature is a subsequence of three characters that lie within SPAN, ends marked; its value
-    sums DECAY to the number of characters skipped. Of strings over `most` characters each
-    stretch of `most` is a string of its own to the caller (see pieces()).
+    A feature is a subsequence of three characters that lie within SPAN, ends marked and digits
+    alike; its value sums DECAY to the number of characters skipped. Of strings over `most`
+    characters each stretch of `most` is a string of its own to the caller (see pieces()).
     """
-    coded = [[0, *(_CODE.get(c, 2 + len(_LETTERS) + ord(c) % (_SIZE - 2 - len(_LETTERS))) for c in w), 1] for w in words]
+    coded = [[0, *map(ord, w.translate(_DIGITS)), 1] for w in words]
     lengths = np.array([len(c) for c in coded], "int64")
-    flat = np.concatenate([np.array(c, "int64") for c in coded]) if coded else np.zeros(0, "int64")
+    flat = np.concatenate([np.array(c, "uint64") for c in coded]) if coded else np.zeros(0, "uint64")
     owner = np.repeat(np.arange(len(coded)), lengths)
     keys, values = [], []
     for j in range(1, SPAN - 1):
@@ -59,7 +59,8 @@ def features(words: list[str], most: int = 40) -> tuple[np.ndarray, np.ndarray,
             if n <= 0:
                 continue
             same = owner[:n] == owner[k:]
-            key = ((owner[:n] * _SIZE + flat[:n]) * _SIZE + flat[j : j + n]) * _SIZE + flat[k:]
+            mixed = ((flat[:n] << np.uint64(42)) ^ (flat[j : j + n] << np.uint64(21)) ^ flat[k:]) * np.uint64(0x9E3779B97F4A7C15)
+            key = owner[:n] * _SLOTS + ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(44)).astype("int64")
             keys.append(key[same])
             values.append(np.full(int(same.sum()), DECAY ** (k - 2)))
     key, value = np.concatenate(keys or [np.zeros(0, "int64")]), np.concatenate(values or [np.zeros(0)])
@@ -68,9 +69,9 @@ def features(words: list[str], most: int = 40) -> tuple[np.ndarray, np.ndarray,
     start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, "int64")
     value = np.add.reduceat(value, start) if len(start) else value
     key = key[start]
-    word = key // _SIZE**3
+    word = key // _SLOTS
     norm = np.sqrt(np.bincount(word, value * value, minlength=len(coded)))
-    return word, key % _SIZE**3, value / norm[word]
+    return word, key % _SLOTS, value / norm[word]
 
 
 def pieces(word: str, most: int = 40) -> list[str]:
@@ -95,8 +96,9 @@ class Toxicity:
 
 
 def gapped(word: str) -> list[str]:
-    """A word with one character inserted, or one doubled, at each inner place."""
-    return [word[:i] + c + word[i:] for i in range(1, len(word)) for c in ("xqzkvw"[(i + len(word)) % 6], word[i])] if 3 < len(word) <= 40 else []
+    """A word with one letter inserted, or one character doubled, at each inner place."""
+    letter = lambda i: "abcdefghijklmnopqrstuvwxyz"[(7 * i + sum(map(ord, word))) % 26]
+    return [word[:i] + c + word[i:] for i in range(1, len(word)) for c in (letter(i), word[i])] if 3 < len(word) <= 40 else []
 
 
 def _newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, rounds: int = 40) -> np.ndarray:
@@ -115,69 +117,62 @@ def _newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, roun
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", sample_rows: int = 20_000, landmarks: int = 240, most_strings: int = 30_000) -> Toxicity:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", sample_rows: int = 20_000, landmarks: int = 320, most_strings: int = 30_000, rounds: int = 2) -> Toxicity:
     """Learn from the sentences of at most sample_rows labelled documents for which learn holds.
 
-    A sentence has its document's label. A toxic sentence is toxic by one string in it, so its
-    kernel is that of this string: one that toxic sentences hold far oftener than others, in
-    many contexts. The strings of clean sentences are negatives, and in a second round those
-    that the machine scores highest besides. Each side is bounded by most_strings; the kernel
-    is reduced to `landmarks` of them by the Nyström method. The decision value is made a probability by logistic
-    regression on the documents' strongest strings. With no rows or one class the score is constant.
+    A sentence has its document's label, and is clean if a clean document holds it, too. It is a
+    bag of strings; a toxic document holds an insult somewhere. A first machine takes each string
+    with the weight of the toxic sentences that hold it as a positive and all strings of clean
+    sentences as negatives. In each of `rounds` further ones the positives are, for each toxic
+    document, the string that the machine before scores highest, and the strings of clean
+    sentences that it scores highest join the negatives. Each side is bounded by most_strings;
+    the kernel is reduced to `landmarks` of them by the Nyström method. The decision value is
+    made a probability by logistic regression on the documents' strongest strings. With no rows
+    or one class the score is constant.
     """
     import pandas as pd
 
-    spark = docs.sparkSession
     # Bounded by sample_rows.
     ids = cut(sample_labels(labels, label, learn, sample_rows))
-    sample = cut(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("label", "text"))
+    sample = cut(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "label", "text"))
 
     def explode(batches):
         for b in batches:
             rows = [sorted({p for w in strings_of(t) for p in pieces(w) if len(w) > 1}) for t in b.column("sentence").to_pylist()]
-            label = np.repeat(b.column("label").to_numpy(), [len(r) for r in rows])
-            yield pa.RecordBatch.from_arrays([pa.array(label), pa.array([w for r in rows for w in r], pa.string())], names=["label", "w"])
+            which = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+            kept = b.drop_columns(["sentence"]).take(pa.array(which))
+            yield kept.append_column("w", pa.array([w for r in rows for w in r], pa.string()))
 
-    # Copies of a document repeat its sentences, so each distinct sentence counts once; one that a clean document holds is clean.
-    sentences = sample.select("label", F.explode(F.split("text", r"(?<=[.!?])\s+|\n")).alias("sentence")).groupBy("sentence").agg(F.min("label").alias("label"))
+    sentences = sample.select("doc_id", "label", F.explode(F.split("text", r"(?<=[.!?])\s+|\n")).alias("sentence"))
+    # Copies of a document repeat its sentences, so each distinct sentence counts once.
+    single = cut(sentences.groupBy("sentence").agg(F.min("label").alias("label"), F.min("doc_id").alias("doc_id")))
     sides = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     pos, neg = sides.get(1.0, 0), sides.get(0.0, 0)
     if not pos or not neg:
-        return Toxicity(np.zeros(_SIZE**3), 0.0, 0.0, 0.0 if pos == neg else 4.0 if pos else -4.0)
-    words = map_arrow(sentences, explode, "label double, w string")
+        return Toxicity(np.zeros(_SLOTS), 0.0, 0.0, 0.0 if pos == neg else 4.0 if pos else -4.0)
+    words = cut(map_arrow(single, explode, "label double, doc_id long, w string"))
     counts = cut(words.groupBy("w").agg(F.sum("label").cast("long").alias("p"), F.sum(1 - F.col("label")).cast("long").alias("n")))
+    bags = words.where("label = 1").select("doc_id", "w").distinct()
     odds = F.log((F.col("p") + 0.5) / (pos + 1)) - F.log((F.col("n") + 0.5) / (neg + 1))
-    often = max(3, min(20, pos // 30))
-    seeds = counts.where(F.col("p") >= often).withColumn("odds", odds).where(odds >= float(np.log(20))).orderBy(F.desc(F.col("p") * F.col("odds")), "w").limit(most_strings).toPandas()
-    # Edited copies repeat a rare string between the same words; an insult stands between many.
-    sought = spark.sparkContext.broadcast(set(seeds.w))
-
-    def contexts(batches):
-        for b in batches:
-            found = []
-            for t in b.column("sentence").to_pylist():
-                words = ["", *strings_of(t), ""]
-                found += [(p, f"{x} {z}") for x, w, z in zip(words, words[1:], words[2:]) for p in pieces(w) if p in sought.value]
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.string()) for i in (0, 1)], names=["w", "context"])
-
-    places = map_arrow(sentences.where("label = 1"), contexts, "w string, context string").groupBy("w").agg(F.countDistinct("context").alias("places"))
-    seeds = seeds.merge(places.where(F.col("places") >= often).toPandas(), on="w").drop(columns="places")
-    plain = counts.where("n > 0").orderBy(F.desc("n"), F.xxhash64("w")).limit(most_strings // 2)
-    rare = counts.where("n > 0").orderBy(F.xxhash64("w"), "w").limit(most_strings // 2)
-    negatives = pd.concat([plain.toPandas(), rare.toPandas()]).drop_duplicates("w")
-    negatives = negatives[~negatives.w.isin(set(seeds.w))]
+    counts = counts.withColumn("odds", odds)
+    # A clean document may hold an insult, too: a string is of the side whose sentences hold it oftener.
+    clean = counts.where("n > 0 AND odds <= 0")
+    seeds = counts.where("p > 0 AND odds > 0").orderBy(F.desc(F.col("p") * F.col("odds")), "w").limit(most_strings // 10).toPandas()
+    plain = clean.orderBy(F.desc("n"), F.xxhash64("w")).limit(most_strings // 2)
+    rare = clean.orderBy(F.xxhash64("w"), "w").limit(most_strings // 2)
+    negatives = pd.concat([plain.toPandas(), rare.toPandas()]).drop_duplicates("w")[["w"]]
     if not len(seeds):
         p = pos / (pos + neg)
-        return Toxicity(np.zeros(_SIZE**3), 0.0, 0.0, float(np.log(p / (1 - p))))
+        return Toxicity(np.zeros(_SLOTS), 0.0, 0.0, float(np.log(p / (1 - p))))
 
     def machine(seeds: list[str], share: np.ndarray) -> tuple[np.ndarray, float]:
-        variants = [(v, w) for w, w_share in zip(seeds, share) for v, w in ((v, w_share) for v in gapped(w))][:most_strings]
+        variants = [(v, w_share / len(made)) for w, w_share in zip(seeds, share) for made in [gapped(w)] for v in made][:most_strings]
         positive = [*seeds, *(v for v, _ in variants)]
-        share = np.concatenate([share, [w / 8 for _, w in variants]])
+        share = np.concatenate([share, [2 * w for _, w in variants]])
         every = [*positive, *negatives.w]
         marks = [*seeds[: landmarks * 3 // 4], *list(negatives.w)[: landmarks // 4]]
         used = np.unique(features(marks)[1])
-        column = np.full(_SIZE**3, -1)
+        column = np.full(_SLOTS, -1)
         column[used] = np.arange(len(used))
 
         def rows(words: list[str]) -> np.ndarray:
@@ -194,19 +189,27 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
         y = np.concatenate([np.ones(len(positive)), -np.ones(len(negatives))])
         weight = np.concatenate([share / share.sum(), np.full(len(negatives), 2.0 / len(negatives))]) * 4000
         w = _newton(near @ root, y, weight, RIDGE)
-        weights = np.zeros(_SIZE**3)
+        weights = np.zeros(_SLOTS)
         weights[used] = (root @ w[:-1]) @ own
         return weights, float(w[-1])
 
-    model = Toxicity(*machine(list(seeds.w), np.sqrt(seeds.p.to_numpy("float64"))), 1.0, 0.0)
-    # Second round: the strings of clean sentences that the machine scores highest join the negatives.
-    mined = score_strings(counts.where("n > 0 AND n * 20 > p"), model)
-    hard = mined.orderBy(F.desc("decision"), "w").limit(most_strings // 2).toPandas()
-    negatives = pd.concat([negatives[["w"]], hard[["w"]]]).drop_duplicates("w")
-    negatives = negatives[~negatives.w.isin(set(seeds.w))]
-    model = Toxicity(*machine(list(seeds.w), np.sqrt(seeds.p.to_numpy("float64"))), 1.0, 0.0)
+    model = Toxicity(*machine(list(seeds.w), (seeds.p * seeds.odds).to_numpy("float64")), 1.0, 0.0)
+    for _ in range(rounds):
+        # As many strings as toxic documents at most, and bounded by sample_rows.
+        scored = score_strings(counts.where("p > 0 AND odds > 0").select("w"), model)
+        chosen = bags.join(scored, "w").groupBy("doc_id").agg(F.max(F.struct("decision", "w"))["w"].alias("w")).groupBy("w").agg(F.count("*").alias("docs"))
+        seeds = chosen.orderBy(F.desc("docs"), "w").limit(most_strings // 10).toPandas()
+        mined = score_strings(clean.select("w"), model)
+        hard = mined.orderBy(F.desc("decision"), "w").limit(most_strings // 2).toPandas()
+        negatives = pd.concat([negatives, hard[["w"]]]).drop_duplicates("w")
+        negatives = negatives[~negatives.w.isin(set(seeds.w))]
+        model = Toxicity(*machine(list(seeds.w), np.sqrt(seeds.docs.to_numpy("float64"))), 1.0, 0.0)
     best = score(sample, model).select("label", "decision").toPandas()  # at most sample_rows
-    model.slope, model.offset = _platt(best.decision.to_numpy(), best.label.to_numpy())
+    # Strings with an inserted letter are as toxic as those they are made of, so the threshold has to let them pass, too.
+    gapped_too = [v for w in seeds.w[: landmarks // 20] for v in gapped(w)[::2]]
+    gapped_too = gapped_too[:: max(1, 4 * len(gapped_too) // pos)]
+    x = np.concatenate([best.decision.to_numpy(), model.strings(gapped_too)])
+    model.slope, model.offset = _platt(x, np.concatenate([best.label.to_numpy(), np.ones(len(gapped_too))]))
     return model
 
 

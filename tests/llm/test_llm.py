@@ -417,3 +417,34 @@ def test_similar_documents_of_a_large_group_and_odd_tables(spark):
     twice = simhash.near_duplicates(docs_of(spark, [(1, "a b c"), (1, "a b c"), (None, "a b c"), (9, None)]), 3).collect()
     assert sorted((str(r.doc_id), r.component_id) for r in twice) == [("1", 1), ("1", 1), ("9", 9), ("None", 1)]
     assert simhash.near_duplicates(docs_of(spark, []), 3).count() == 0
+
+
+def test_string_kernel_equals_brute_force():
+    """The product of two words' features is the kernel: common subsequences of three characters within the span, decayed by what is skipped."""
+
+    def brute(word):
+        import itertools
+
+        s, found = "\0" + re.sub("[0-9]", "0", word) + "\1", {}
+        for i, j, k in itertools.combinations(range(len(s)), 3):
+            if k - i < toxicity.SPAN:
+                found[s[i], s[j], s[k]] = found.get((s[i], s[j], s[k]), 0) + toxicity.DECAY ** (k - i - 2)
+        n = sum(v * v for v in found.values()) ** 0.5
+        return {f: v / n for f, v in found.items()}
+
+    words = ["idiot", "idxiot", "идиот", "бидиот", "a", "aaaa", "n0t17", "日本語です", "größe"]
+    word, feature, value = toxicity.features(words)
+    own = [dict(zip(feature[word == i].tolist(), value[word == i].tolist())) for i in range(len(words))]
+    for a, x in zip(words, own):
+        for b, y in zip(words, own):
+            p, q = brute(a), brute(b)
+            assert abs(sum(v * y.get(f, 0) for f, v in x.items()) - sum(v * q.get(f, 0) for f, v in p.items())) < 1e-9
+    assert sum(v * own[3].get(f, 0) for f, v in own[2].items()) > 0.5 > 0.01 > sum(v * own[7].get(f, 0) for f, v in own[2].items())
+
+
+def test_toxicity_without_labels_or_with_one_class(spark):
+    docs = docs_of(spark, [(1, "you idiot"), (2, "fine text"), (3, None), (4, "")])
+    none = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"), F.lit(True))
+    one = toxicity.fit(docs, spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, toxic int"), F.lit(True))
+    assert {r.score for r in toxicity.score(docs, none).collect()} == {0.5} and all(r.score > 0.9 for r in toxicity.score(docs, one).collect())
+    assert toxicity.score(docs.limit(0), none).count() == 0
