@@ -101,16 +101,20 @@ def gapped(word: str) -> list[str]:
     return [word[:i] + c + word[i:] for i in range(1, len(word)) for c in (letter(i), word[i])] if 3 < len(word) <= 40 else []
 
 
-def _newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, rounds: int = 40) -> np.ndarray:
-    """Weights of a linear SVM of squared hinge loss (y in -1, 1), the last one a bias."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
+def _newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, rounds: int = 40, block: int = 4096) -> np.ndarray:
+    """Weights of a linear SVM of squared hinge loss (y in -1, 1), the last one a bias; sums go by blocks of rows."""
+    n = x.shape[1]
+    w = np.zeros(n + 1)
     for _ in range(rounds):
-        gap = 1 - y * (x @ w)
-        on = gap > 0
-        xo, c = x[on], weight[on]
-        gradient = ridge * w - 2 * xo.T @ (c * y[on] * gap[on])
-        step = np.linalg.solve(ridge * np.eye(len(w)) + 2 * (xo * c[:, None]).T @ xo, gradient)
+        gradient, hessian = ridge * w, ridge * np.eye(n + 1)
+        for at in range(0, len(x), block):
+            part, side, c = x[at : at + block], y[at : at + block], weight[at : at + block]
+            gap = 1 - side * (part @ w[:n] + w[n])
+            on = gap > 0
+            rows, c = np.hstack([part[on], np.ones((int(on.sum()), 1))]), c[on]
+            gradient = gradient - 2 * rows.T @ (c * side[on] * gap[on])
+            hessian += 2 * (rows * c[:, None]).T @ rows
+        step = np.linalg.solve(hessian, gradient)
         w = w - step
         if np.abs(step).max() < 1e-7:
             break
@@ -183,12 +187,16 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
             return dense
 
         own = rows(marks)
-        near = np.concatenate([rows(every[i : i + 2000]) @ own.T for i in range(0, len(every), 2000)]).astype("float64")
+        near = np.empty((len(every), len(marks)), "float32")
+        for i in range(0, len(every), 500):
+            near[i : i + 500] = rows(every[i : i + 500]) @ own.T
         spectrum, vectors = np.linalg.eigh((own @ own.T).astype("float64"))
         root = vectors / np.sqrt(np.maximum(spectrum, 1e-3)) @ vectors.T  # Nyström: kernel to the power -1/2
         y = np.concatenate([np.ones(len(positive)), -np.ones(len(negatives))])
         weight = np.concatenate([share / share.sum(), np.full(len(negatives), 2.0 / len(negatives))]) * 4000
-        w = _newton(near @ root, y, weight, RIDGE)
+        for i in range(0, len(near), 4096):  # in place
+            near[i : i + 4096] = near[i : i + 4096] @ root
+        w = _newton(near, y, weight, RIDGE)
         weights = np.zeros(_SLOTS)
         weights[used] = (root @ w[:-1]) @ own
         return weights, float(w[-1])
