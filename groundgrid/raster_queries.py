@@ -248,8 +248,9 @@ def _(t):
 
 
 @query("t6_trim_canopy", f"""WITH b AS (SELECT raster_id, y, x, h, CASE WHEN hi = lo THEN 0 ELSE least(CAST(floor((hi - h) / ((hi - lo) / 10)) AS INT), 9) END AS band FROM trees JOIN (SELECT raster_id, max(h) AS hi, min(h) AS lo FROM trees GROUP BY raster_id) USING (raster_id)),
-ends AS (SELECT raster_id, band, max(h) AS top, min(h) - CASE WHEN arg_min(h, struct_pack(y := y, x := x)) < 20 THEN 2.25 ELSE 1.5 END AS low FROM b GROUP BY 1, 2)
-SELECT DISTINCT c.raster_id, c.y, c.x, c.v FROM b JOIN offs ON d2 <= 100 JOIN canopy c ON c.raster_id = b.raster_id AND c.y = b.y + dy AND c.x = b.x + dx JOIN ends e ON e.raster_id = b.raster_id AND e.band = b.band WHERE c.v BETWEEN e.low AND e.top""")
+ends AS (SELECT raster_id, band, max(h) AS top, min(h) - CASE WHEN arg_min(h, struct_pack(y := y, x := x)) < 20 THEN 2.25 ELSE 1.5 END AS low FROM b GROUP BY 1, 2),
+near AS MATERIALIZED (SELECT DISTINCT raster_id, band, y + dy AS y, x + dx AS x FROM b JOIN offs ON d2 <= 100)
+SELECT DISTINCT c.raster_id, c.y, c.x, c.v FROM near n JOIN canopy c ON c.raster_id = n.raster_id AND c.y = n.y AND c.x = n.x JOIN ends e ON e.raster_id = n.raster_id AND e.band = n.band WHERE c.v BETWEEN e.low AND e.top""")
 def _(t):
     return tops.trim_canopy(t("canopy"), t("trees"), 10, 20)
 
