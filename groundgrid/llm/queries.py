@@ -1,4 +1,4 @@
-"""The corpus queries op1 to op10 and their SQL."""
+"""The corpus queries op1 to op13 and their SQL."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, embeddings, lines, quality, secrets, simhash, toxicity, unigram
+from . import bpe, chat, decontaminate, embeddings, lines, negatives, quality, secrets, simhash, toxicity, unigram
 from .common import crc_mod
 
 
@@ -135,6 +135,25 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(secrets.written(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
 
 
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(negatives.prepared(vectors.withColumn("label", moved)), F.col("vec_id") % 100 == 0)
+
+
+OP13_SQL = """
+WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL),
+ok AS (SELECT vec_id, label, list_transform(e, lambda x: CAST(floor(256 * x) AS BIGINT)) AS c FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(CAST(a.c AS DOUBLE[]), CAST(b.c AS DOUBLE[])) AS BIGINT) AS score
+  FROM ok a JOIN ok b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) <= 10
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat": op1_chat,
     "op2_unigram": op2_unigram,
@@ -146,6 +165,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
+    "op13_negatives": op13_negatives,
 }
 
-ORACLES: dict[str, str] = {"op1_chat": OP1_SQL, "op5_embeddings": OP5_SQL, "op4_decontamination": OP4_SQL, "op6_line_dedup": OP6_SQL}
+ORACLES: dict[str, str] = {"op1_chat": OP1_SQL, "op5_embeddings": OP5_SQL, "op4_decontamination": OP4_SQL, "op6_line_dedup": OP6_SQL, "op13_negatives": OP13_SQL}
