@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, embeddings, lines, negatives, quality, secrets, simhash, toxicity, unigram
+from . import bpe, chat, decontaminate, embeddings, lines, negatives, quality, secrets, simhash, toxicity, trie, unigram
 from .common import crc_mod
 
 
@@ -135,6 +135,29 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(secrets.written(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("conv_id")
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"), c - c % 100, crc_mod(c, 6), 5)
+
+
+OP11_SQL = """
+WITH turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS n FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY n) AS l FROM turns GROUP BY conv_id),
+steps AS (SELECT conv_id, flatten(list_transform(str_split(CAST(conv_id AS VARCHAR), ''), lambda ch: [CAST(ord(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])) AS s FROM own),
+heads AS (SELECT conv_id, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), s), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, CAST(3988292384 AS BIGINT)) ELSE a >> 1 END), CAST(4294967295 AS BIGINT)) % 6 AS h FROM steps),
+rebuilt AS (SELECT o.conv_id, list_concat(coalesce(b.l[1:h.h], []), o.l[h.h + 1:len(o.l)]) AS l
+  FROM own o JOIN heads h ON h.conv_id = o.conv_id LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 100),
+path AS (SELECT conv_id, len(l) AS total, d, sha256(CAST(l[1:d] AS JSON)) AS node, CASE WHEN d > 0 THEN sha256(CAST(l[1:d - 1] AS JSON)) END AS parent, CASE WHEN d > 0 THEN length(l[d].t) ELSE 0 END AS chars
+  FROM (SELECT conv_id, l, unnest(range(0, len(l) + 1)) AS d FROM rebuilt)),
+nodes AS (SELECT node, d, min(conv_id) AS conv_id, max(parent) AS parent, count(*) AS n_convs, max(chars) AS chars, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (total = d) AS ends FROM path GROUP BY node, d),
+children AS (SELECT parent, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+above AS (SELECT DISTINCT a.node AS up, b.node FROM path a JOIN path b ON a.conv_id = b.conv_id AND a.d <= b.d),
+sums AS (SELECT up, count(*) FILTER (c.n IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.chars) AS saved FROM above JOIN nodes n ON n.node = above.node LEFT JOIN children c ON c.parent = n.node GROUP BY up)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(n.ends, '')) AS ends_sha256
+FROM nodes n LEFT JOIN nodes p ON p.node = n.parent LEFT JOIN children c ON c.parent = n.node JOIN sums s ON s.up = n.node
+"""
+
+
 def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -165,7 +188,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
+    "op11_trie": op11_trie,
     "op13_negatives": op13_negatives,
 }
 
-ORACLES: dict[str, str] = {"op1_chat": OP1_SQL, "op5_embeddings": OP5_SQL, "op4_decontamination": OP4_SQL, "op6_line_dedup": OP6_SQL, "op13_negatives": OP13_SQL}
+ORACLES: dict[str, str] = {"op1_chat": OP1_SQL, "op5_embeddings": OP5_SQL, "op4_decontamination": OP4_SQL, "op6_line_dedup": OP6_SQL, "op11_trie": OP11_SQL, "op13_negatives": OP13_SQL}
