@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, embeddings, lines, negatives, quality, secrets, simhash, toxicity, trie, unigram
+from . import bpe, chat, decontaminate, embeddings, lines, negatives, quality, secrets, simhash, suffixes, toxicity, trie, unigram
 from .common import crc_mod
 
 
@@ -158,6 +158,27 @@ FROM nodes n LEFT JOIN nodes p ON p.node = n.parent LEFT JOIN children c ON c.pa
 """
 
 
+def op12_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffixes.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), 100)
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP12_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+pieces AS (SELECT doc_id, k, substr(h, 1000 * k + 1, 1198) AS p FROM (SELECT doc_id, h, unnest(range(0, (len(h) // 2 - 100) // 500 + 1)) AS k FROM d WHERE len(h) >= 200)),
+windows AS (SELECT doc_id, 500 * k + i AS j, md5(substr(p, 2 * i + 1, 200)) AS w FROM (SELECT *, unnest(range(0, len(p) // 2 - 99)) AS i FROM pieces)),
+firsts AS (SELECT w, min({'d': doc_id, 'j': j}) AS f FROM windows GROUP BY w HAVING count(*) > 1),
+again AS (SELECT doc_id, j FROM windows JOIN firsts USING (w) WHERE f.d <> doc_id OR f.j <> j),
+begun AS (SELECT doc_id, j, coalesce(lag(j) OVER (PARTITION BY doc_id ORDER BY j) + 100 < j, true) AS new FROM again),
+runs AS (SELECT doc_id, min(j) AS a, max(j) + 100 AS z FROM (SELECT doc_id, j, sum(CAST(new AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY j) AS g FROM begun) GROUP BY doc_id, g),
+kept AS (SELECT doc_id, z AS a, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY a), 1000000000) AS z FROM (SELECT doc_id, a, z FROM runs UNION ALL SELECT doc_id, -1, 0 FROM d)),
+texts AS (SELECT d.doc_id, string_agg(substr(h, 2 * a + 1, 2 * (z - a)), '' ORDER BY a) AS h FROM kept JOIN d USING (doc_id) GROUP BY d.doc_id),
+counts AS (SELECT doc_id, sum(z - a) AS n, count(*) AS spans FROM runs GROUP BY doc_id)
+SELECT d.doc_id, len(d.h) // 2 AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(t.h)) AS kept_sha256
+FROM d JOIN texts t USING (doc_id) LEFT JOIN counts c USING (doc_id)
+"""
+
+
 def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -189,7 +210,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
     "op11_trie": op11_trie,
+    "op12_suffixes": op12_suffixes,
     "op13_negatives": op13_negatives,
 }
 
-ORACLES: dict[str, str] = {"op1_chat": OP1_SQL, "op5_embeddings": OP5_SQL, "op4_decontamination": OP4_SQL, "op6_line_dedup": OP6_SQL, "op11_trie": OP11_SQL, "op13_negatives": OP13_SQL}
+ORACLES: dict[str, str] = {"op1_chat": OP1_SQL, "op5_embeddings": OP5_SQL, "op4_decontamination": OP4_SQL, "op6_line_dedup": OP6_SQL, "op11_trie": OP11_SQL, "op12_suffixes": OP12_SQL, "op13_negatives": OP13_SQL}
