@@ -156,15 +156,24 @@ def _padded(rows: list[bytes], width: int) -> np.ndarray:
     return np.frombuffer(b"".join(x.ljust(width, b"\0") for x in rows), "uint8").reshape(len(rows), width)
 
 
-def induce(h: np.ndarray, suffixes: list[bytes], before: list[bytes], rank: np.ndarray, open_: np.ndarray, length: int):
-    """Windows of one block of sample suffixes, sorted by gram and suffix: yields for each distance
-    (distance, repeated rows, first rows of classes that other blocks may have, too).
+def _common(rows: np.ndarray, size: np.ndarray, to: int) -> np.ndarray:
+    """Length of the prefix that each row shares with the row `to`."""
+    differs = np.ones((len(rows), rows.shape[1] + 1), bool)
+    differs[:, :-1] = rows != rows[to]
+    return np.minimum(differs.argmax(1), np.minimum(size, size[to]))
+
+
+def induce(h: np.ndarray, suffixes: list[bytes], before: list[bytes], rank: np.ndarray, open_: np.ndarray, alike: np.ndarray, length: int):
+    """Windows of one block of sample suffixes, sorted by gram, suffix and what stands before it: yields
+    for each distance (distance, repeated rows, first rows of classes that other blocks may have, too).
 
     The order and common prefixes of suffixes one byte longer to the left are induced from those at
     hand: a stable sort by the byte before keeps the order inside each byte's bucket, and the
     common prefix of bucket neighbours is one more than the least of those between them. Windows
-    are equal where common prefixes reach `length`. A suffix that can't reach it any more is
-    dropped, except where open_ says that its gram goes on in another block.
+    are equal where common prefixes reach `length`, and a suffix that can't reach it any more is
+    dropped. open_ says that a row's gram goes on in another block: rows there share no more with
+    one here than the block's first or last row does. alike: all suffixes of the gram are equal,
+    so the same holds for what stands before them.
     """
     width = length + 1
     right, size = _padded([s[:width] for s in suffixes], width), np.array([len(s) for s in suffixes])
@@ -176,6 +185,12 @@ def induce(h: np.ndarray, suffixes: list[bytes], before: list[bytes], rank: np.n
     common[0] = 0
     common[1:][h[1:] != h[:-1]] = 0
     group = np.cumsum(np.r_[True, h[1:] != h[:-1]])
+    shared, shared_left = np.full(len(h), -1), np.where(alike, -1, length)
+    for end in (0, -1):
+        here = open_ & (h == h[end])
+        if here.any():
+            shared = np.where(here, np.maximum(shared, _common(right, size, end)), shared)
+            shared_left = np.where(here & alike, np.maximum(shared_left, _common(left, reach, end)), shared_left)
     order, distance = np.arange(len(h)), 0
     while len(order):
         start = common < length
@@ -183,11 +198,12 @@ def induce(h: np.ndarray, suffixes: list[bytes], before: list[bytes], rank: np.n
         begins = np.flatnonzero(start)
         first = np.repeat(np.minimum.reduceat(rank[order], begins), np.diff(np.r_[begins, len(order)]))
         is_first = rank[order] == first
-        whole = size[order] + distance >= length  # else it has no window at this distance
-        yield distance, order[~is_first], order[is_first & open_[order] & whole]
+        elsewhere = (shared[order] + distance >= length) & (shared_left[order] >= distance)
+        yield distance, order[~is_first], order[is_first & elsewhere]
         # One byte to the left; what is dropped hands its common prefix on to the next.
         hope = np.maximum(common, np.r_[common[1:], 0]) + (reach[order] - distance) >= length
-        stay = (reach[order] > distance) & (hope | open_[order])
+        maybe = (shared[order] + reach[order] >= length) & (shared_left[order] > distance)
+        stay = (reach[order] > distance) & (hope | maybe)
         if not stay.any():
             return
         byte = group[order].astype("int64") << 8 | left[order, distance]
@@ -206,13 +222,13 @@ def _induced(length: int, block: int):
     """Sorted sample suffixes, in blocks that end with a gram where they can. Out: kind 0, a span of windows (first, last) that occurred before; kind 1, the first window in this block of a class that other blocks may have, with its digest."""
 
     def work(rows, open_grams):
-        h, suffixes, before, doc, text_hash, at = rows
+        h, suffixes, before, doc, text_hash, at, alike = rows
         h, doc, text_hash, at = (np.array(x, "int64") for x in (h, doc, text_hash, at))
         rank = np.empty(len(h), "int64")
         rank[np.lexsort((at, text_hash, doc))] = np.arange(len(h))
         flagged: list[tuple] = []
         firsts: list[tuple] = []
-        for distance, again, first in induce(h, suffixes, before, rank, np.isin(h, open_grams), length):
+        for distance, again, first in induce(h, suffixes, before, rank, np.isin(h, open_grams), np.array(alike, bool), length):
             if len(again):
                 flagged.append((again, np.full(len(again), distance)))
             for i in first.tolist():
@@ -233,7 +249,7 @@ def _induced(length: int, block: int):
     names = ["doc", "text_hash", "first", "last", "digest", "kind"]
 
     def run(batches):
-        held: list[list] = [[] for _ in range(6)]
+        held: list[list] = [[] for _ in range(7)]
         open_grams: list[int] = []  # the task's first gram, and one that a block's end cuts
         for b in batches:
             if not b.num_rows:
@@ -266,7 +282,7 @@ def repeated_windows(docs: DataFrame, length: int = 100, chunk: int = 1 << 17, b
     before are settled, and grams that occur with one run of bytes only can't repeat, so they go.
     Second queue: the suffixes left, with their texts, in suffix order; blocks of bounded size carry
     order and common prefixes to the left, byte by byte (induce()). Third queue: the first windows
-    of classes whose gram several blocks share, by digest. A gram that a third of all rows
+    of classes that may go on in another block, by digest. A gram that a third of all rows
     hold spreads over tasks and blocks, as its rows differ in document and place.
     """
     order = ["h", "u", "doc", "text_hash", "place"]
@@ -287,8 +303,10 @@ def repeated_windows(docs: DataFrame, length: int = 100, chunk: int = 1 << 17, b
     places = left.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("place", "h")).alias("r"))
     with_text = docs.join(places, ["doc", "text_hash"]).select("doc", "text_hash", "text", "r.place", "r.h")
     suffixes = cut(map_arrow(with_text, _texts(length), "h long, suffix binary, before binary, doc long, text_hash long, at long"))
-    by = ["h", "suffix", "doc", "text_hash", "at"]
-    made = cut(map_arrow(suffixes.repartitionByRange(*by).sortWithinPartitions(*by), _induced(length, block), "doc long, text_hash long, first long, last long, digest binary, kind int"))
+    alike = suffixes.groupBy(F.col("h").alias("g")).agg((F.min("suffix") == F.max("suffix")).alias("alike"))
+    by = ["h", "suffix", "before", "doc", "text_hash", "at"]
+    marked = suffixes.join(alike, F.col("h") == F.col("g")).select(*by, "alike")
+    made = cut(map_arrow(marked.repartitionByRange(*by).sortWithinPartitions(*by), _induced(length, block), "doc long, text_hash long, first long, last long, digest binary, kind int"))
     drop(suffixes)
     shared = made.where("kind = 1")
     earliest = shared.groupBy("digest").agg(F.min(F.struct("doc", "text_hash", "first")).alias("e"), F.count("*").alias("n")).where("n > 1")
