@@ -44,7 +44,7 @@ def packed_scores(a: np.ndarray, c: np.ndarray) -> np.ndarray:
     out = np.empty((len(a), len(words), fields), object if kind is object else "int64")
     for j in range(fields):
         out[:, :, j] = (products >> j * width) & mask if kind is object else (products >> np.uint64(j * width)) & np.uint64(mask)
-    out = out.reshape(len(a), -1)[:, :n]
+    out = out.reshape(len(a), len(words) * fields)[:, :n]
     if kind is object or dims * (abs(low_a) + 1) * (most + 1) * 4 >= 2**62:
         out = out.astype(object) + low_c * a.astype(object).sum(1)[:, None] + low_a * c.astype(object).sum(1)[None, :] + dims * low_a * low_c
         return np.clip(out, _LEAST + 1, -(_LEAST + 1)).astype("int64")
