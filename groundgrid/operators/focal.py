@@ -89,6 +89,17 @@ def gradient_closed(p: DataFrame, size: int, iterations: int, width: int, height
     return close_rect(erode_rect(g, 5, 1, width, height), size, iterations, width, height)
 
 
+def height_quantise(p: DataFrame, low: float, high: float, close_size: int, close_iterations: int, width: int, height: int, cutoff: float = 50) -> DataFrame:
+    """(raster_id, y, x, label): 0 below `low`, else 1 up to `high` and 2 above it, plus 2 where the blurred raster is steep.
+
+    Steep is where the gradients of size 5 add up to more than the cutoff, eroded and closed.
+    """
+    steep = sobel_gradient(gaussian_blur(p, 5, 0, width, height), 5, cutoff, width, height)
+    steep = close_rect(erode_rect(steep, 5, 1, width, height), close_size, close_iterations, width, height).select(*KEY, F.lit(2).alias("steep"))
+    label = F.when(F.col("v") < low, 0).otherwise(F.when(F.col("v") > high, 2).otherwise(1) + F.coalesce("steep", F.lit(0)))
+    return p.join(steep, KEY, "left").select(*KEY, label.alias("label"))
+
+
 def ellipse(k: int) -> list[tuple[int, int]]:
     """Offsets (dx, dy) of the elliptic kernel of side k."""
     r = k // 2

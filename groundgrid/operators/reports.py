@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import components, pixels
+from . import components, pixels, tree
 from .tops import window_clean
 
 KEY = pixels.KEY
@@ -41,11 +41,14 @@ def region_report(p: DataFrame, tops: DataFrame, ths: DataFrame) -> DataFrame:
     th array): regions are components of pixels at or above it that hold a top."""
     by = ("band", "raster_id")
     limits = ths.select("raster_id", F.posexplode("th").alias("band", "th"))
-    banded = p.join(F.broadcast(limits), "raster_id").where("v >= th").select("band", *KEY)  # nine rows a raster
-    labelled = components.written(components.label_runs(banded, by=by))
-    area = components.stats(labelled, by).select(*by, "comp_y", "comp_x", "area")
-    at = components.component_pixels(labelled, by)
-    hit = tops.select(*KEY).join(at, KEY).groupBy(*by, "comp_y", "comp_x").agg(F.count("*").alias("n")).join(area, [*by, "comp_y", "comp_x"])
+    most = ths.agg(F.max(F.size("th"))).first()[0] or 0
+    marks = tops.groupBy(*KEY).agg(F.count("*").alias("marks"))
+    # One merge tree for all thresholds, which are lowered one by one; shorter lists end in the same band.
+    band = F.lit(most) - F.size("th") + tree.entry_band(F.col("v"), F.col("th"))
+    cells = p.join(ths, "raster_id").withColumn("band", band).where(F.col("band") < most).select("band", *KEY)
+    cells = cells.join(marks, KEY, "left").na.fill(0, ["marks"])
+    found = tree.band_components(cells, ["raster_id"], most).where("marks > 0")
+    hit = found.select("raster_id", (F.lit(most - 1) - F.col("band")).alias("band"), F.col("marks").alias("n"), "area")
     on = hit.groupBy(*by).agg(F.sum("n").alias("on"), F.sum("area").alias("area"), F.count("*").alias("n_regions"))
     total = tops.groupBy("raster_id").agg(F.count("*").alias("n_tops"))
     out = limits.join(total, "raster_id").join(on, list(by), "left").na.fill(0, ["on", "area", "n_regions"])

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import components, focal, pixels, windows
+from . import components, focal, pixels, tree, windows
 from .points import within
 
 
@@ -31,7 +30,7 @@ def window_stretch(p: DataFrame, low: float, high: float = 0.99) -> DataFrame:
 
 
 def sweep(cells: list[tuple[int, int, float]], step: float, eps: float, min_pix: int, centroid: bool = False) -> list[tuple[int, int, float]]:
-    """Tops (y, x, v) of one component by lowering a threshold in bands of `step`.
+    """Tops (y, x, v) of one component in memory, by lowering a threshold in bands of `step`; find_tops() does the same for components of any size.
 
     In every band the tops are thinned within each part of what lies above it (a top goes if a
     higher one of its part is closer than 2 eps), then parts of more than min_pix pixels that
@@ -79,20 +78,19 @@ def sweep(cells: list[tuple[int, int, float]], step: float, eps: float, min_pix:
     return sorted((y, x, -v) for part in parts.values() for v, y, x in part[2])
 
 
-def find_tops(p: DataFrame, labelled: DataFrame, params: DataFrame, centroid: bool = False) -> DataFrame:
-    """(raster_id, y, x, v) by sweep() in each component, with the parameters (raster_id, step, eps, min_pix) of its raster; use it on windows, whose size bounds a component's."""
-    # raster_id may be a struct, so its JSON text keys the groups.
-    inner = f"raster_id {p.schema['raster_id'].dataType.simpleString()}"
-    cells = components.component_pixels(labelled).join(p, pixels.KEY).join(params, "raster_id")
-    cells = cells.select(F.to_json(F.struct("raster_id")).alias("k"), "comp_y", "comp_x", "y", "x", *[F.col(c).cast("double").alias(c) for c in ("v", "step", "eps", "min_pix")])
+def find_tops(p: DataFrame, labelled: DataFrame, params: DataFrame, centroid: bool = False, tile: int = 256) -> DataFrame:
+    """(raster_id, y, x, v) by sweep() in each component, with the parameters (raster_id, step, eps, min_pix) of its raster.
 
-    def one(keys, pdf: pd.DataFrame) -> pd.DataFrame:
-        step, eps, least = (float(pdf[c].iloc[0]) for c in ("step", "eps", "min_pix"))
-        tops = sweep(list(zip(pdf["y"].tolist(), pdf["x"].tolist(), pdf["v"].tolist(), strict=True)), step, eps, least, centroid)
-        return pd.DataFrame([(keys[0], *t) for t in tops], columns=["k", "y", "x", "v"])
-
-    found = cells.groupBy("k", "comp_y", "comp_x").applyInPandas(one, "k string, y int, x int, v double")
-    return found.select(F.from_json("k", inner)["raster_id"].alias("raster_id"), "y", "x", "v")
+    All bands of all components are joined in one merge tree, tile by tile, so a component may be as large as its raster.
+    """
+    group = ["raster_id", "comp_y", "comp_x"]
+    cells = components.component_pixels(labelled).join(p.select(*pixels.KEY, F.col("v").cast("double").alias("v")), pixels.KEY).join(params, "raster_id")
+    ends = cells.groupBy(*group).agg(F.max("v").alias("top"), F.min("v").alias("low")).where("top > low")
+    step = F.col("step").cast("double")
+    band = F.greatest(F.lit(0).cast("long"), F.ceil((F.col("top") - F.col("v")) / step) - 1)
+    last = F.greatest(F.lit(1).cast("long"), ((F.col("top") - step - F.col("low")) / step).cast("long") - 1)
+    cells = cells.join(ends, group).select(*group, "y", "x", "v", band.alias("band"), (band < last).alias("enters"), "eps", F.col("min_pix").alias("least"))
+    return tree.sweep_tops(cells, group, centroid, tile).select("raster_id", "y", "x", "v")
 
 
 def same_params(p: DataFrame, step: float, eps: float, min_pix: int) -> DataFrame:
@@ -101,12 +99,16 @@ def same_params(p: DataFrame, step: float, eps: float, min_pix: int) -> DataFram
 
 
 def process_windows(windowed: DataFrame, extent, low: float, k: int, iterations: int, params: DataFrame, centroid: bool = False) -> DataFrame:
-    """Tops of every window of keyed_by_window() that has parameters (raster_id, step, eps, min_pix): stretch, erode, components above min_pix, band sweep."""
+    """Tops of every window of keyed_by_window() that has parameters (raster_id, step, eps, min_pix).
+
+    Stretched and eroded windows only tell the components, of which those above min_pix count;
+    the band sweep then goes over the window's own heights under each.
+    """
     params = components.written(params)
     clean = components.written(pixels.erode_rect(window_stretch(windowed.join(params, "raster_id", "left_semi"), low), k, iterations, *extent))
     labelled = components.label_runs(clean)
     large = components.stats(labelled).join(params, "raster_id").where(F.col("area") > F.col("min_pix")).select("raster_id", "comp_y", "comp_x")
-    return find_tops(clean, labelled.join(large, ["raster_id", "comp_y", "comp_x"], "left_semi"), params, centroid)
+    return find_tops(windowed, labelled.join(large, ["raster_id", "comp_y", "comp_x"], "left_semi"), params, centroid)
 
 
 def to_global(tops: DataFrame) -> DataFrame:
@@ -189,7 +191,7 @@ def extend_floor(p: DataFrame, floor: DataFrame, size: int, margin: float) -> Da
     return marked.withColumn("m", mean).where(F.col("v") < F.col("m") + margin).select(*pixels.KEY).union(floor.select(*pixels.KEY)).distinct()
 
 
-def detect_tops_boxes(p: DataFrame, boxes: DataFrame, width: int, height: int, size: int = 500, overlap: float = 0.2, low: float = 0.5, k: int = 3, iterations: int = 1, radius: int = 10, cutoff: float = 10.0) -> DataFrame:
+def detect_tops_boxes(p: DataFrame, boxes: DataFrame, width: int, height: int, size: int = 500, overlap: float = 0.2, low: float = 0.25, k: int = 5, iterations: int = 1, radius: int = 10, cutoff: float = 10.0) -> DataFrame:
     """(raster_id, x, y, v) from windows that hold boxes: the boxes' centres are seeds, and so are
     the centroids that a sweep with parameters from the window's boxes finds; then the refinement
     over the whole raster."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions.geometry import round6
-from .operators import clustering, components, dataset, focal, pixels, tops
+from .operators import clustering, components, dataset, focal, pixels, tops, tree
 from .queries import KEY, ORACLES, RUNS, WIN, query
 from .sources import files
 
@@ -148,12 +148,13 @@ def _(t):
     return s.select("raster_id.r", "raster_id.wx", "raster_id.wy", "y", "x", "v").toDF("raster_id", "win_x", "win_y", "y", "x", "v")
 
 
-@query("p14_height_quantise", f"WITH {CLOSED} SELECT c.raster_id, c.y, c.x, CASE WHEN c.v < 5 THEN 0 WHEN e.v IS NOT NULL OR c.v >= 25 THEN 2 ELSE 1 END AS q FROM canopy c LEFT JOIN closed e ON e.raster_id = c.raster_id AND e.y = c.y AND e.x = c.x")
+STEEP = ", ".join([blur_sql("soft", "canopy", 5, 0), sobel_sql("edge", "soft", 5, 50), shape_sql("thin", "edge", square(5), "min"), shape_sql("fat", "thin", square(5), "max"), shape_sql("closed", "fat", square(5), "min")])
+
+
+@query("p14_height_quantise", f"WITH {STEEP} SELECT c.raster_id, c.y, c.x, CASE WHEN c.v < 5 THEN 0 ELSE CASE WHEN c.v > 25 THEN 2 ELSE 1 END + CASE WHEN e.v IS NOT NULL THEN 2 ELSE 0 END END AS label FROM canopy c LEFT JOIN closed e ON e.raster_id = c.raster_id AND e.y = c.y AND e.x = c.x")
 def _(t):
     n = _n(t)
-    edge = focal.gradient_closed(t("canopy"), 5, 1, n, n).withColumnRenamed("v", "e")
-    q = F.when(F.col("v") < 5, 0).when(F.col("e").isNotNull() | (F.col("v") >= 25), 2).otherwise(1)
-    return t("canopy").join(edge, pixels.KEY, "left").select(*pixels.KEY, q.alias("q"))
+    return focal.height_quantise(t("canopy"), 5, 25, 5, 1, n, n)
 
 
 GRAY = f"gray AS (SELECT {KEY}, r * CAST(0.299 AS DOUBLE) + g * CAST(0.587 AS DOUBLE) + b * CAST(0.114 AS DOUBLE) AS v FROM rgb)"
@@ -218,9 +219,9 @@ def _(t):
 
 @query("c8_band_components", f"WITH RECURSIVE {RUNS.replace('v >= 30', 'v >= 40')} SELECT CAST(40 AS INT) AS th, raster_id, comp_y, comp_x, CAST(sum(x1 - x0 + 1) AS BIGINT) AS area FROM labelled GROUP BY raster_id, comp_y, comp_x UNION ALL (WITH RECURSIVE {RUNS} SELECT CAST(30 AS INT), raster_id, comp_y, comp_x, CAST(sum(x1 - x0 + 1) AS BIGINT) FROM labelled GROUP BY raster_id, comp_y, comp_x)")
 def _(t):
-    bands = t("canopy").select("*", F.explode(F.array(F.lit(30), F.lit(40))).alias("th")).where("v >= th")
-    by = ("th", "raster_id")
-    return components.stats(components.label_runs(bands, by=by), by).select("th", "raster_id", "comp_y", "comp_x", "area")
+    ths = F.array(F.lit(40), F.lit(30))
+    cells = t("canopy").select(*pixels.KEY, tree.entry_band(F.col("v"), ths).alias("band")).where("band < 2")
+    return tree.band_components(cells, ["raster_id"], 2).select(F.element_at(ths, F.col("band") + 1).alias("th"), "raster_id", "comp_y", "comp_x", "area")
 
 
 HIT = f"""{RUNS}, area AS (SELECT raster_id, comp_y, comp_x, CAST(sum(x1 - x0 + 1) AS BIGINT) AS area FROM labelled GROUP BY 1, 2, 3),
