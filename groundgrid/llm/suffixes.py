@@ -156,6 +156,36 @@ def _padded(rows: list[bytes], width: int) -> np.ndarray:
     return np.frombuffer(b"".join(x.ljust(width, b"\0") for x in rows), "uint8").reshape(len(rows), width)
 
 
+def _left_shared(batches):
+    """Rows sorted by gram and what stands before the sample: out, with the most bytes of it that another row of the gram shares. At a task's two ends, where the neighbour isn't known, that is all."""
+
+    def counted(batch, left, right):
+        h, before = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+        rows = [left, *zip(h, before), right]
+        width = max((len(r[1]) for r in rows if r), default=0) + 1
+        text, size = _padded([r[1] if r else b"" for r in rows], width), np.array([len(r[1]) if r else 0 for r in rows])
+        differs = np.ones((len(rows) - 1, width + 1), bool)
+        differs[:, :-1] = text[1:] != text[:-1]
+        same = np.minimum(differs.argmax(1), np.minimum(size[1:], size[:-1]))
+        for i, (a, b) in enumerate(zip(rows, rows[1:])):
+            if a is None or b is None:
+                same[i] = width
+            elif a[0] != b[0]:
+                same[i] = 0
+        return batch.append_column("left", pa.array(np.minimum(np.maximum(same[:-1], same[1:]), size[1:-1])))
+
+    held = last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if held is not None:
+            yield counted(held, last, (b.column(0)[0].as_py(), b.column(2)[0].as_py()))
+            last = (held.column(0)[-1].as_py(), held.column(2)[-1].as_py())
+        held = b
+    if held is not None:
+        yield counted(held, last, None)
+
+
 def _common(rows: np.ndarray, size: np.ndarray, to: int) -> np.ndarray:
     """Length of the prefix that each row shares with the row `to`."""
     differs = np.ones((len(rows), rows.shape[1] + 1), bool)
@@ -163,17 +193,17 @@ def _common(rows: np.ndarray, size: np.ndarray, to: int) -> np.ndarray:
     return np.minimum(differs.argmax(1), np.minimum(size, size[to]))
 
 
-def induce(h: np.ndarray, suffixes: list[bytes], before: list[bytes], rank: np.ndarray, open_: np.ndarray, alike: np.ndarray, length: int):
-    """Windows of one block of sample suffixes, sorted by gram, suffix and what stands before it: yields
-    for each distance (distance, repeated rows, first rows of classes that other blocks may have, too).
+def induce(h: np.ndarray, suffixes: list[bytes], before: list[bytes], rank: np.ndarray, open_: np.ndarray, shared_left: np.ndarray, length: int):
+    """Windows of one block of sample suffixes, sorted by gram and suffix: yields for each distance
+    (distance, repeated rows, first rows of classes that other blocks may have, too).
 
     The order and common prefixes of suffixes one byte longer to the left are induced from those at
     hand: a stable sort by the byte before keeps the order inside each byte's bucket, and the
     common prefix of bucket neighbours is one more than the least of those between them. Windows
     are equal where common prefixes reach `length`, and a suffix that can't reach it any more is
-    dropped. open_ says that a row's gram goes on in another block: rows there share no more with
-    one here than the block's first or last row does. alike: all suffixes of the gram are equal,
-    so the same holds for what stands before them.
+    dropped. open_ says that a row's gram goes on in another block: rows there share no more of a
+    suffix here than the block's first or last row does, and no more than shared_left of what
+    stands before it.
     """
     width = length + 1
     right, size = _padded([s[:width] for s in suffixes], width), np.array([len(s) for s in suffixes])
@@ -185,12 +215,11 @@ def induce(h: np.ndarray, suffixes: list[bytes], before: list[bytes], rank: np.n
     common[0] = 0
     common[1:][h[1:] != h[:-1]] = 0
     group = np.cumsum(np.r_[True, h[1:] != h[:-1]])
-    shared, shared_left = np.full(len(h), -1), np.where(alike, -1, length)
+    shared = np.full(len(h), -1)
     for end in (0, -1):
         here = open_ & (h == h[end])
         if here.any():
             shared = np.where(here, np.maximum(shared, _common(right, size, end)), shared)
-            shared_left = np.where(here & alike, np.maximum(shared_left, _common(left, reach, end)), shared_left)
     order, distance = np.arange(len(h)), 0
     while len(order):
         start = common < length
@@ -222,13 +251,13 @@ def _induced(length: int, block: int):
     """Sorted sample suffixes, in blocks that end with a gram where they can. Out: kind 0, a span of windows (first, last) that occurred before; kind 1, the first window in this block of a class that other blocks may have, with its digest."""
 
     def work(rows, open_grams):
-        h, suffixes, before, doc, text_hash, at, alike = rows
+        h, suffixes, before, doc, text_hash, at, left = rows
         h, doc, text_hash, at = (np.array(x, "int64") for x in (h, doc, text_hash, at))
         rank = np.empty(len(h), "int64")
         rank[np.lexsort((at, text_hash, doc))] = np.arange(len(h))
         flagged: list[tuple] = []
         firsts: list[tuple] = []
-        for distance, again, first in induce(h, suffixes, before, rank, np.isin(h, open_grams), np.array(alike, bool), length):
+        for distance, again, first in induce(h, suffixes, before, rank, np.isin(h, open_grams), np.array(left, 'int64'), length):
             if len(again):
                 flagged.append((again, np.full(len(again), distance)))
             for i in first.tolist():
@@ -303,10 +332,12 @@ def repeated_windows(docs: DataFrame, length: int = 100, chunk: int = 1 << 17, b
     places = left.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("place", "h")).alias("r"))
     with_text = docs.join(places, ["doc", "text_hash"]).select("doc", "text_hash", "text", "r.place", "r.h")
     suffixes = cut(map_arrow(with_text, _texts(length), "h long, suffix binary, before binary, doc long, text_hash long, at long"))
-    alike = suffixes.groupBy(F.col("h").alias("g")).agg((F.min("suffix") == F.max("suffix")).alias("alike"))
     by = ["h", "suffix", "before", "doc", "text_hash", "at"]
-    marked = suffixes.join(alike, F.col("h") == F.col("g")).select(*by, "alike")
-    made = cut(map_arrow(marked.repartitionByRange(*by).sortWithinPartitions(*by), _induced(length, block), "doc long, text_hash long, first long, last long, digest binary, kind int"))
+    # In the order of what stands before them first, which bounds what can go on in another block.
+    left = suffixes.select(*by).repartitionByRange("h", "before", "doc", "text_hash", "at").sortWithinPartitions("h", "before")
+    left = cut(map_arrow(left, _left_shared, "h long, suffix binary, before binary, doc long, text_hash long, at long, left long"))
+    made = cut(map_arrow(left.repartitionByRange(*by).sortWithinPartitions(*by), _induced(length, block), "doc long, text_hash long, first long, last long, digest binary, kind int"))
+    drop(left)
     drop(suffixes)
     shared = made.where("kind = 1")
     earliest = shared.groupBy("digest").agg(F.min(F.struct("doc", "text_hash", "first")).alias("e"), F.count("*").alias("n")).where("n > 1")
