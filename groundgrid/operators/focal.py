@@ -1,10 +1,8 @@
 """Neighbourhood operators beyond rectangles: blurs, gradients, elliptic kernels, borders, holes and resampling.
 
-Rasters are sparse (raster_id, y, x, v) and an absent pixel is 0. A pixel is sent to the places
-that it reaches, and each place adds up what it got, so sums and extremes combine before the
-shuffle and the size of a kernel is the only factor on the rows. Outside the raster a blur
-mirrors (the edge pixel itself isn't repeated), a median repeats the edge, and minimum and
-maximum ignore what is outside.
+Rasters are sparse (raster_id, y, x, v) and an absent pixel is 0. Kernels run on tiles with a
+border of neighbours (tiles.py). Outside the raster a blur mirrors (the edge pixel itself isn't
+repeated), a median repeats the edge, and minimum and maximum ignore what is outside.
 """
 
 from __future__ import annotations
@@ -14,12 +12,16 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import tiles
 from .components import component_pixels, label_given, label_runs, runs
 from .pixels import KEY, close_rect, erode_rect, gray
 
 #: The derivative and smoothing taps of the gradient kernels, by size.
 SOBEL = {3: ([-1, 0, 1], [1, 2, 1]), 5: ([-1, -2, 0, 2, 1], [1, 4, 6, 4, 1])}
 
+#: The steps of the 3 x 3 chamfer measure.
+STRAIGHT, DIAGONAL = 0.955, 1.3693
+
 
 def taps(k: int, sigma: float) -> list[float]:
     """Weights of a Gaussian of k taps; sigma 0 gives the binomial row for 3 and 5, as blurs without a sigma use."""
@@ -30,31 +32,9 @@ def taps(k: int, sigma: float) -> list[float]:
     return [w / sum(row) for w in row]
 
 
-def _mirrored(axis: str, r: int, extent: int):
-    """Places at which a pixel stands for a kernel of radius r: its own, and its mirror images past the two ends."""
-    x = F.col(axis)
-    low = F.when(x.between(1, r), F.array(-x)).otherwise(F.array().cast("array<int>"))
-    high = F.when(x.between(extent - 1 - r, extent - 2), F.array(2 * (extent - 1) - x)).otherwise(F.array().cast("array<int>"))
-    return F.concat(F.array(x), low, high)
-
-
-def weigh(p: DataFrame, axis: str, extent: int, out: dict[str, list[tuple[str, list[float]]]]) -> DataFrame:
-    """Weighted sums along one axis: column name -> [(value column, taps)], all in one pass."""
-    k = len(next(iter(out.values()))[0][1])
-    r = k // 2
-    at = p.withColumn("at", F.explode(_mirrored(axis, r, extent))).withColumn("d", F.explode(F.sequence(F.lit(-r), F.lit(r))))
-    at = at.withColumn("to", F.col("at") - F.col("d")).where(F.col("to").between(0, extent - 1))
-
-    def term(col: str, weights: list[float]):
-        return F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("d") + r + 1) * F.col(col)
-
-    sums = [sum((term(c, w) for c, w in parts[1:]), term(*parts[0])) for parts in out.values()]
-    return at.drop(axis).withColumn(axis, F.col("to").cast("int")).groupBy(*KEY).agg(*[F.sum(s).alias(n) for n, s in zip(out, sums, strict=True)])
-
-
 def gaussian_blur(p: DataFrame, k: int, sigma: float, width: int, height: int) -> DataFrame:
     t = taps(k, sigma)
-    return weigh(weigh(p, "x", width, {"v": [("v", t)]}), "y", height, {"v": [("v", t)]})
+    return tiles.on_tiles(p, k // 2, width, height, lambda a: tiles.weighed(t, 0)(tiles.weighed(t, 1)(a)))
 
 
 def pyr_down(p: DataFrame, width: int, height: int) -> DataFrame:
@@ -63,25 +43,20 @@ def pyr_down(p: DataFrame, width: int, height: int) -> DataFrame:
 
 
 def median_blur(p: DataFrame, k: int, width: int, height: int) -> DataFrame:
-    """Median over a k x k square of values above 0; the edge is repeated outside. At most k * k values meet in a group."""
-    r = k // 2
-    for axis, extent in (("x", width), ("y", height)):
-        c = F.col(axis)
-        again = F.when(c == 0, F.sequence(F.lit(-r), F.lit(0))).when(c == extent - 1, F.sequence(c, c + r)).otherwise(F.array(c))
-        p = p.withColumn(f"at_{axis}", F.explode(again))
-    for axis, extent in (("x", width), ("y", height)):
-        p = p.withColumn(axis, F.explode(F.sequence(F.col(f"at_{axis}") - r, F.col(f"at_{axis}") + r))).where(F.col(axis).between(0, extent - 1))
-    zeros = k * k - F.size("all")
-    half = k * k // 2
-    return p.groupBy(*KEY).agg(F.sort_array(F.collect_list("v")).alias("all")).where(zeros <= half).select(*KEY, F.get("all", half - zeros).alias("v"))
+    """Median over a k x k square; the edge is repeated outside."""
+    return tiles.on_tiles(p, k // 2, width, height, tiles.median(k))
 
 
 def sobel_gradient(p: DataFrame, k: int, cutoff: float, width: int, height: int) -> DataFrame:
     """Pixels whose horizontal and vertical gradients add up to more than the cutoff, as 255."""
     slope, smooth = SOBEL[k]
-    one = weigh(p, "x", width, {"gx": [("v", slope)], "s": [("v", smooth)]})
-    both = weigh(one, "y", height, {"v": [("gx", smooth), ("s", slope)]})
-    return both.where(F.col("v") > cutoff).withColumn("v", F.lit(255.0))
+
+    def steep(a):
+        across = tiles.weighed(smooth, 0)(tiles.weighed(slope, 1)(a))
+        down = tiles.weighed(slope, 0)(tiles.weighed(smooth, 1)(a))
+        return (across + down > cutoff) * 255.0
+
+    return tiles.on_tiles(p, k // 2, width, height, steep)
 
 
 def gradient_closed(p: DataFrame, size: int, iterations: int, width: int, height: int) -> DataFrame:
@@ -107,37 +82,32 @@ def ellipse(k: int) -> list[tuple[int, int]]:
     return [(dx, dy) for dy, n in reach.items() for dx in range(-n, n + 1)]
 
 
-def _spread(p: DataFrame, offsets: list[tuple[int, int]], width: int, height: int) -> DataFrame:
-    o = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in offsets]))
-    out = p.withColumn("o", o).withColumns({"x": (F.col("x") + F.col("o.dx")).cast("int"), "y": (F.col("y") + F.col("o.dy")).cast("int")}).drop("o")
-    return out.where(F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1))
+def _side(offsets: list[tuple[int, int]]) -> int:
+    return max(max(abs(dx), abs(dy)) for dx, dy in offsets)
 
 
 def dilate_kernel(p: DataFrame, offsets: list[tuple[int, int]], width: int, height: int, iterations: int = 1) -> DataFrame:
-    for _ in range(iterations):
-        p = _spread(p, offsets, width, height).groupBy(*KEY).agg(F.max("v").alias("v"))
-    return p
+    return tiles.on_tiles(p, _side(offsets) * iterations, width, height, tiles.dilated(offsets, iterations))
 
 
 def erode_kernel(p: DataFrame, offsets: list[tuple[int, int]], width: int, height: int, iterations: int = 1) -> DataFrame:
     """Minimum under a symmetric kernel; a place that an absent pixel reaches is 0, and goes."""
-    inside = sum(((F.col("x") + dx).between(0, width - 1) & (F.col("y") + dy).between(0, height - 1)).cast("int") for dx, dy in offsets)
-    for _ in range(iterations):
-        p = _spread(p, offsets, width, height).groupBy(*KEY).agg(F.min("v").alias("v"), F.count("*").alias("n")).where(F.col("n") == inside).drop("n")
-    return p
+    return tiles.on_tiles(p, _side(offsets) * iterations, width, height, tiles.eroded(offsets, iterations))
 
 
 def local_maxima(p: DataFrame, k: int, least: float, width: int, height: int, erode: int = 1, dilate: int = 1, plateau: int = 1) -> DataFrame:
     """Pixels (with the blurred height) that are highest under the kernel but not on a plateau.
 
     Heights above `least` are eroded and blurred; a pixel stays if no place within `dilate` kernels
-    is higher and one within `plateau` kernels is lower.
+    is higher and one within `plateau` kernels is lower. All in one pass over tiles.
     """
-    shape = ellipse(k)
-    blurred = gaussian_blur(erode_kernel(p.where(F.col("v") > least), shape, width, height, erode), k, 0, width, height)
-    high = dilate_kernel(blurred, shape, width, height, dilate).withColumnRenamed("v", "high")
-    low = erode_kernel(blurred, shape, width, height, plateau).withColumnRenamed("v", "low")
-    return blurred.join(high, KEY).join(low, KEY, "left").where((F.col("v") >= F.col("high")) & (F.col("v") > F.coalesce("low", F.lit(0.0)))).select(*KEY, "v")
+    shape, t = ellipse(k), taps(k, 0)
+
+    def peaks(a):
+        soft = tiles.weighed(t, 0)(tiles.weighed(t, 1)(tiles.eroded(shape, erode)(a)))
+        return soft * ((soft >= tiles.dilated(shape, dilate)(soft)) & (soft > tiles.eroded(shape, plateau)(soft)))
+
+    return tiles.on_tiles(p.where(F.col("v") > least), k // 2 * (erode + 1 + max(dilate, plateau)), width, height, peaks)
 
 
 def detect_local_max(p: DataFrame, k: int, least: float, width: int, height: int, iterations: int = 1) -> DataFrame:
@@ -149,17 +119,6 @@ def detect_local_max(p: DataFrame, k: int, least: float, width: int, height: int
     return at.join(p, KEY, "left").select("raster_id", "x", "y", F.coalesce("v", F.lit(0.0)).alias("height"))
 
 
-def near_offsets(reach: float, chamfer: bool = True) -> list[tuple[int, int]]:
-    """Offsets no farther than reach, by the 3 x 3 chamfer measure or by the straight line."""
-    far = math.ceil(reach / 0.955)
-
-    def cost(dx: int, dy: int) -> float:
-        a, b = max(abs(dx), abs(dy)), min(abs(dx), abs(dy))
-        return 0.955 * (a - b) + 1.3693 * b if chamfer else math.hypot(dx, dy)
-
-    return [(dx, dy) for dx in range(-far, far + 1) for dy in range(-far, far + 1) if cost(dx, dy) <= reach]
-
-
 def _by_light(rgb: DataFrame, keep, width: int, height: int, size: int, iterations: int, close_size: int, close_iterations: int) -> DataFrame:
     mask = gaussian_blur(gray(rgb), 5, 5, width, height).where(keep).withColumn("v", F.lit(255.0))
     return close_rect(erode_rect(mask, size, iterations, width, height), close_size, close_iterations, width, height).select(*KEY)
@@ -176,10 +135,17 @@ def filter_bright(rgb: DataFrame, width: int, height: int, th: float, size: int
 
 
 def erase_border(p: DataFrame, width: int, height: int, reach: float = 5, chamfer: bool = True) -> DataFrame:
-    """Pixels farther than reach from every absent one. Only absent pixels next to present ones are looked at: the nearest is one of them."""
-    ring = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy]
-    empty = _spread(p.select(*KEY), ring, width, height).distinct().join(p, KEY, "left_anti")
-    return p.join(_spread(empty, near_offsets(reach, chamfer), width, height).distinct(), KEY, "left_anti")
+    """Pixels farther than reach from every absent one, by the 3 x 3 chamfer measure or by the straight line.
+
+    Distances come from sweeps over tiles with a border as wide as the reach, so the cost doesn't grow with its square.
+    """
+    far = math.ceil(reach / STRAIGHT) + 1
+
+    def inside(a):
+        d = tiles.chamfer(a, STRAIGHT, DIAGONAL) if chamfer else tiles.euclid(a, reach + 1)
+        return (d > reach) * 1.0
+
+    return p.join(tiles.on_tiles(p.withColumn("v", F.lit(1.0)), far, width, height, inside).select(*KEY), KEY, "left_semi")
 
 
 def fill_holes(mask: DataFrame, width: int, height: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .components import written
+
 KEY = ["raster_id", "y", "x"]
 
 
@@ -21,23 +23,40 @@ def percentiles(p: DataFrame, *shares: float, by: tuple[str, ...] = ("raster_id"
     return p.groupBy(*by).agg(*[F.percentile("v", F.lit(s)).alias(f"p{i}") for i, s in enumerate(shares)])
 
 
-def raster_percentiles(p: DataFrame, *shares: float) -> DataFrame:
-    """percentiles() of whole rasters: heights are counted first and the running count, which
-    spills, tells the two neighbours of each percentile, so no raster's heights meet in a buffer."""
+def at_ranks(p: DataFrame, shares: tuple[float, ...]) -> DataFrame:
+    """(raster_id, i, place, low, high): for each share the two values between which the percentile lies; place is its rank, from 0.
+
+    Distinct heights are counted and range-partitioned by raster and height. How many pixels each
+    partition has of a raster is a small table, which tells the partitions that hold a rank; only
+    those are looked at row by row, so no raster's heights meet in one task or window.
+    """
     h = p.groupBy("raster_id", "v").agg(F.count("*").alias("n"))
-    total = h.groupBy("raster_id").agg(F.sum("n").alias("total"))
-    upto = F.sum("n").over(Window.partitionBy("raster_id").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    h = h.withColumn("upto", upto).join(total, "raster_id")
+    h = written(h.repartitionByRange("raster_id", "v").withColumn("part", F.spark_partition_id()))
+    upto = Window.partitionBy("raster_id").orderBy("part")
+    parts = h.groupBy("raster_id", "part").agg(F.sum("n").alias("n")).withColumn("before", F.sum("n").over(upto) - F.col("n"))
+    parts = written(parts)  # a row for each raster and partition that meet
+    total = parts.groupBy("raster_id").agg(F.sum("n").alias("total"))
+    each = F.posexplode(F.array(*[F.lit(float(s)) for s in shares])).alias("i", "share")
+    places = total.select("raster_id", "total", each).withColumn("place", F.col("share") * (F.col("total") - 1))
+    ranks = places.select("raster_id", "i", "place", F.explode(F.array(F.floor("place"), F.ceil("place"))).alias("rank")).distinct()
+    sought = ranks.join(parts.withColumnRenamed("n", "within"), "raster_id").where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("within")))
+    sought = written(sought.select("raster_id", "part", "i", "place", (F.col("rank") - F.col("before")).alias("local")))
+    rows = h.join(sought.select("raster_id", "part").distinct(), ["raster_id", "part"], "left_semi")
+    rows = rows.withColumn("end", F.sum("n").over(Window.partitionBy("raster_id", "part").orderBy("v")))  # one partition's heights at most
+    found = rows.join(sought, ["raster_id", "part"]).where((F.col("local") >= F.col("end") - F.col("n")) & (F.col("local") < F.col("end")))
+    return found.groupBy("raster_id", "i", "place").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+
 
-    def at(k):
-        return F.max(F.when((F.col("upto") - F.col("n") <= k) & (k < F.col("upto")), F.col("v")))
+def raster_percentiles(p: DataFrame, *shares: float) -> DataFrame:
+    """percentiles() of whole rasters, by at_ranks()."""
+    found = at_ranks(p, shares).withColumn("q", F.col("low") + (F.col("place") - F.floor("place")) * (F.col("high") - F.col("low")))
+    return found.groupBy("raster_id").agg(*[F.max(F.when(F.col("i") == i, F.col("q"))).alias(f"p{i}") for i in range(len(shares))])
 
-    def one(share):
-        place = F.lit(float(share)) * (F.col("total") - 1)
-        low, high = at(F.floor(place)), at(F.ceil(place))
-        return low + F.max(place - F.floor(place)) * (high - low)
 
-    return h.groupBy("raster_id").agg(*[one(s).alias(f"p{i}") for i, s in enumerate(shares)])
+def percentile_sketch(p: DataFrame, *shares: float, accuracy: int = 10_000) -> DataFrame:
+    """percentiles() of whole rasters from mergeable sketches, one pass and no sort; the rank is off by 1 / accuracy of the pixels at most."""
+    q = p.groupBy("raster_id").agg(F.percentile_approx("v", F.array(*[F.lit(float(s)) for s in shares]), accuracy).alias("q"))
+    return q.select("raster_id", *[F.col("q")[i].alias(f"p{i}") for i in range(len(shares))])
 
 
 def subtract_floor(p: DataFrame, share: float = 0.01) -> DataFrame:

@@ -52,6 +52,15 @@ def shape_sql(name: str, src: str, offsets: list[tuple[int, int]], how: str) ->
     return f"{name} AS (SELECT {KEY}, v FROM ({reach}) q JOIN grid ON TRUE WHERE n = {inside})"
 
 
+def ellipse_sql(name: str, src: str, how: str) -> str:
+    """Minimum or maximum under the ellipse of side 5 (three rows of five, and one pixel above and below), on the dense grid of the one raster."""
+    best = "least" if how == "min" else "greatest"
+    far = ", ".join(f"{how}(v) OVER (PARTITION BY x ORDER BY y ROWS BETWEEN 2 {side} AND 2 {side})" for side in ("PRECEDING", "FOLLOWING"))
+    return f"""{name}_0 AS MATERIALIZED (SELECT g.y, g.x, coalesce(s.v, 0) AS v FROM (SELECT i // w AS y, i % w AS x FROM (SELECT w, unnest(range(w * w)) AS i FROM grid)) g LEFT JOIN {src} s ON s.y = g.y AND s.x = g.x),
+{name}_1 AS (SELECT y, x, v, {how}(v) OVER (PARTITION BY y ORDER BY x ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m FROM {name}_0),
+{name} AS MATERIALIZED (SELECT 1 AS raster_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, v FROM (SELECT y, x, {best}({how}(m) OVER (PARTITION BY x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), {far}) AS v FROM {name}_1) WHERE v > 0)"""
+
+
 def square(k: int) -> list[tuple[int, int]]:
     r = k // 2
     return [(dx, dy) for dx in range(-r, r + 1) for dy in range(-r, r + 1)]
@@ -60,7 +69,7 @@ def square(k: int) -> list[tuple[int, int]]:
 # Neighbourhoods
 
 
-@query("f2_erode_ellipse", f"WITH {shape_sql('low', 'canopy', focal.ellipse(5), 'min')} SELECT * FROM low")
+@query("f2_erode_ellipse", f"WITH {ellipse_sql('low', 'canopy', 'min')} SELECT * FROM low")
 def _(t):
     n = _n(t)
     return focal.erode_kernel(t("canopy"), focal.ellipse(5), n, n)
@@ -112,7 +121,7 @@ def _(t):
     return focal.gradient_closed(t("canopy"), 5, 1, n, n)
 
 
-PEAKS = ", ".join([f"tall AS (SELECT {KEY}, v FROM canopy WHERE v > 10)", shape_sql("thin", "tall", focal.ellipse(5), "min"), blur_sql("soft", "thin", 5, 0), shape_sql("over", "soft", focal.ellipse(5), "max"), shape_sql("under", "soft", focal.ellipse(5), "min")])
+PEAKS = ", ".join([f"tall AS (SELECT {KEY}, v FROM canopy WHERE v > 10)", ellipse_sql("thin", "tall", "min"), blur_sql("soft", "thin", 5, 0), ellipse_sql("over", "soft", "max"), ellipse_sql("under", "soft", "min")])
 
 
 @query("f9_local_maxima", f"WITH {PEAKS} SELECT s.raster_id, s.y, s.x, s.v FROM soft s JOIN over o ON o.raster_id = s.raster_id AND o.y = s.y AND o.x = s.x LEFT JOIN under u ON u.raster_id = s.raster_id AND u.y = s.y AND u.x = s.x WHERE s.v >= o.v AND s.v > coalesce(u.v, 0)")
@@ -121,10 +130,11 @@ def _(t):
     return focal.local_maxima(t("canopy"), 5, 10, n, n)
 
 
-@query("f10_erase_border", f"""WITH empty AS (SELECT y, x FROM (SELECT unnest(range(w)) AS y, w FROM grid) JOIN (SELECT unnest(range(w)) AS x FROM grid) ON TRUE EXCEPT SELECT y, x FROM canopy),
-edge AS (SELECT y, x FROM empty SEMI JOIN (SELECT y + ey AS y, x + ex AS x FROM canopy JOIN (VALUES {', '.join(str(o) for o in square(3) if o != (0, 0))}) AS e(ex, ey) ON TRUE) b USING (y, x)),
-near AS (SELECT DISTINCT y + oy AS y, x + ox AS x FROM edge JOIN (VALUES {', '.join(map(str, focal.near_offsets(5)))}) AS o(ox, oy) ON TRUE)
-SELECT {KEY}, v FROM canopy ANTI JOIN near USING (y, x)""")
+#: Along rows first, then down the columns: the chamfer measure of what is dx = 0 to 5 and dy = 0 to 5 away.
+@query("f10_erase_border", """WITH cells AS MATERIALIZED (SELECT g.y, g.x, c.v FROM (SELECT i // w AS y, i % w AS x FROM (SELECT w, unnest(range(w * w)) AS i FROM grid)) g LEFT JOIN canopy c ON c.y = g.y AND c.x = g.x),
+row_ AS MATERIALIZED (SELECT y, x, v, least(x - max(CASE WHEN v IS NULL THEN x END) OVER (PARTITION BY y ORDER BY x ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), min(CASE WHEN v IS NULL THEN x END) OVER (PARTITION BY y ORDER BY x ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) - x) AS dx FROM cells),
+near AS (SELECT DISTINCT y + dy AS y, x FROM (SELECT y, x, dx, unnest(range(-5, 6)) AS dy FROM row_ WHERE dx IS NOT NULL) WHERE 0.955::DOUBLE * abs(dx - abs(dy)) + 1.3693::DOUBLE * least(dx, abs(dy)) <= 5)
+SELECT 1 AS raster_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, v FROM row_ ANTI JOIN near USING (y, x) WHERE v IS NOT NULL""")
 def _(t):
     n = _n(t)
     return focal.erase_border(t("canopy"), n, n)

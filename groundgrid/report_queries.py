@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions.geometry import round6
 from .operators import classify, clustering, components, dataset, focal, pixels, reports, tops
 from .queries import ANN, KEY, QUERIES, R5, RUNS, query, table
-from .raster_queries import _n, _patch, _rows, blur_sql, shape_sql
+from .raster_queries import _n, _patch, _rows, blur_sql, ellipse_sql
 from .sources import files
 
 # Reports
@@ -94,7 +94,7 @@ def _windowed(t):
 
 
 def _found(t, centroid: bool) -> DataFrame:
-    p = t("canopy").where("v >= 20")
+    p = t("canopy")
     return tops.find_tops(p, components.label_runs(p), tops.same_params(p, 5.0, 5.0, 30), centroid)
 
 
@@ -113,8 +113,8 @@ _rows("t12_detect_tops_boxes", lambda t: tops.detect_tops_boxes(t("canopy"), t("
 
 
 PEAKS2 = ", ".join([
-    f"tall AS (SELECT {KEY}, v FROM canopy WHERE v > 10)", shape_sql("thin", "tall", focal.ellipse(5), "min"), blur_sql("soft", "thin", 5, 0), shape_sql("over1", "soft", focal.ellipse(5), "max"), shape_sql("over", "over1", focal.ellipse(5), "max"),
-    shape_sql("under1", "soft", focal.ellipse(5), "min"), shape_sql("under", "under1", focal.ellipse(5), "min"),
+    f"tall AS (SELECT {KEY}, v FROM canopy WHERE v > 10)", ellipse_sql("thin", "tall", "min"), blur_sql("soft", "thin", 5, 0), ellipse_sql("over1", "soft", "max"), ellipse_sql("over", "over1", "max"),
+    ellipse_sql("under1", "soft", "min"), ellipse_sql("under", "under1", "min"),
     "peaks AS (SELECT s.raster_id, s.y, s.x FROM soft s JOIN over o ON o.raster_id = s.raster_id AND o.y = s.y AND o.x = s.x LEFT JOIN under u ON u.raster_id = s.raster_id AND u.y = s.y AND u.x = s.x WHERE s.v >= o.v AND s.v > coalesce(u.v, 0))",
 ])
 PEAK_RUNS = RUNS.replace("high AS (SELECT raster_id, y, x, v FROM canopy WHERE v >= 30)", "high AS (SELECT raster_id, y, x FROM peaks)").replace("a.x0 <= b.x1 + 1 AND b.x0 <= a.x1 + 1", "a.x0 <= b.x1 AND b.x0 <= a.x1")
