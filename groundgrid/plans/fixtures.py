@@ -64,6 +64,16 @@ WHERE rn = 1
     "rgb": """
 SELECT raster_id, y, x, CAST(floor(v * 5) AS INT) AS r, CAST(255 - floor(v * 4) AS INT) AS g,
        CAST((x * 31 + y * 17) % 256 AS INT) AS b FROM canopy
+""",
+    "scene": """
+SELECT 1 AS raster_id, y, x,
+       CAST(CASE kind WHEN 0 THEN 20 + (x * 7 + y * 3) % 50 WHEN 1 THEN 205 + (x * 5 + y) % 50 ELSE 100 + (x * 31 + y * 17) % 60 END AS INT) AS r,
+       CAST(CASE kind WHEN 0 THEN 30 + (x + y * 5) % 40 WHEN 1 THEN 210 + (x + y) % 45 ELSE 105 + (x * 3 + y * 11) % 50 END AS INT) AS g,
+       CAST(CASE kind WHEN 0 THEN 25 + (x * 2 + y) % 30 WHEN 1 THEN 200 + (x + y * 2) % 40 ELSE 110 + (x * 13 + y) % 40 END AS INT) AS b
+FROM (SELECT y, x, (CAST(floor(x * 5.0 / w) AS INT) + 3 * CAST(floor(y * 5.0 / w) AS INT)) % 5 AS kind
+      FROM (SELECT CAST(a.p_partkey + 16 * b.p_partkey AS INT) AS y FROM part a CROSS JOIN part b CROSS JOIN grid WHERE a.p_partkey < 16 AND b.p_partkey * 16 < w) ys
+      CROSS JOIN (SELECT CAST(a.p_partkey + 16 * b.p_partkey AS INT) AS x FROM part a CROSS JOIN part b CROSS JOIN grid WHERE a.p_partkey < 16 AND b.p_partkey * 16 < w) xs
+      CROSS JOIN grid) q
 """,
     "boxes": """
 SELECT raster_id, tid AS box_id, CAST(x - 3 - h % 5 AS DOUBLE) AS x1, CAST(y - 3 - h % 4 AS DOUBLE) AS y1,

@@ -195,19 +195,25 @@ def mask_sql(name: str, src: str, before: int, after: int, how: str) -> str:
     return ", ".join(parts)
 
 
-def _by_light_whole(name: str, keep: str, times: int, f) -> None:
-    """With the reference's sizes: erosion 5 x 5 three times, closing 10 x 10 `times` times."""
+def light_sql(name: str, keep: str, times: int) -> str:
+    """Dark or bright regions of the scene with the reference's sizes: erosion 5 x 5 three times, closing 10 x 10 `times` times."""
     closing = (5 * times, 4 * times)
-    sql = ", ".join([GRAY, blur_sql("soft", "gray", 5, 5), f"mask AS (SELECT {KEY} FROM soft WHERE {keep})", mask_sql("thin", "mask", 6, 6, "min"), mask_sql("fat", "thin", *closing, "max"), mask_sql("closed", "fat", *closing, "min")])
+    return ", ".join([f"{name}_m AS (SELECT {KEY} FROM soft WHERE {keep})", mask_sql(f"{name}_t", f"{name}_m", 6, 6, "min"), mask_sql(f"{name}_f", f"{name}_t", *closing, "max"), mask_sql(name, f"{name}_f", *closing, "min")])
 
-    @query(name, f"WITH {sql} SELECT CAST(raster_id AS INT) AS raster_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM closed")
+
+SCENE = GRAY.replace("FROM rgb", "FROM scene") + ", " + blur_sql("soft", "gray", 5, 5)
+DARK, LIGHT = light_sql("dark", "v <= 100.5", 3), light_sql("light", "v > 180.5", 7)
+
+
+def _by_light_whole(name: str, region: str, f) -> None:
+    @query(name, f"WITH {SCENE}, {DARK if region == 'dark' else LIGHT} SELECT CAST(raster_id AS INT) AS raster_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM {region}")
     def _(t):
         n = _n(t)
-        return f(t("rgb"), n, n)
+        return f(t("scene"), n, n)
 
 
-_by_light_whole("p16_filter_shadows_whole", "v <= 130.5", 3, lambda *a: focal.filter_shadows(*a, 130.5))
-_by_light_whole("p17_filter_bright_whole", "v > 150.5", 7, lambda *a: focal.filter_bright(*a, 150.5))
+_by_light_whole("p16_filter_shadows_whole", "dark", lambda *a: focal.filter_shadows(*a, 100.5))
+_by_light_whole("p17_filter_bright_whole", "light", lambda *a: focal.filter_bright(*a, 180.5))
 
 
 @query("w6_extend_floor", f"""WITH m AS (SELECT {KEY}, v, x // 100 AS wx, y // 100 AS wy FROM canopy), a AS (SELECT raster_id, wx, wy, coalesce(floor(avg(v) FILTER (v BETWEEN 1 AND 255 AND v < 6)), 0) AS f FROM m GROUP BY 1, 2, 3)

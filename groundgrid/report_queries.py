@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions.geometry import round6
 from .operators import classify, clustering, components, dataset, focal, pixels, reports, tops
 from .queries import ANN, KEY, QUERIES, R5, RUNS, query, table
-from .raster_queries import _n, _patch, _rows, blur_sql, ellipse_sql
+from .raster_queries import DARK, LIGHT, SCENE, _n, _patch, _rows, blur_sql, ellipse_sql
 from .sources import files
 
 # Reports
@@ -76,7 +76,19 @@ def _(t):
     return reports.windowed_clean_lost_tops(t("canopy"), t("trees"), 100, 0.2, 3, 1, n, n).withColumn("pct", round6(F.col("pct")))
 
 
-_rows("p18_floor_mask", lambda t: tops.floor_mask(t("canopy"), t("rgb"), 6, 100, 150.5, 2, 60, _n(t), _n(t)))
+def _extended(rounds: int, size: int, margin: float) -> str:
+    parts = []
+    for i in range(rounds):
+        w = int(size * (1, 1.5, 2)[i % 3])
+        parts.append(f"""m{i} AS (SELECT c.raster_id, c.y, c.x, c.v, c.x // {w} AS wx, c.y // {w} AS wy, f.y IS NOT NULL AS marked FROM canopy c LEFT JOIN floor{i} f ON f.raster_id = c.raster_id AND f.y = c.y AND f.x = c.x),
+a{i} AS (SELECT raster_id, wx, wy, coalesce(floor(avg(v) FILTER (marked AND v BETWEEN 1 AND 255)), 0) AS f FROM m{i} GROUP BY 1, 2, 3),
+floor{i + 1} AS MATERIALIZED (SELECT {KEY} FROM m{i} JOIN a{i} USING (raster_id, wx, wy) WHERE v < f + {margin} UNION SELECT {KEY} FROM floor{i})""")
+    return ", ".join(parts)
+
+
+@query("p18_floor_mask", f"WITH {SCENE}, {DARK}, {LIGHT}, floor0 AS MATERIALIZED (SELECT {KEY} FROM canopy WHERE v < 4 UNION SELECT {KEY} FROM dark UNION SELECT {KEY} FROM light), {_extended(5, 60, 2)} SELECT CAST(raster_id AS INT) AS raster_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x FROM floor5")
+def _(t):
+    return tops.floor_mask(t("canopy"), t("scene"), 4, 100.5, 180.5, 2, 60, _n(t), _n(t))
 
 
 # Tops
