@@ -1,4 +1,4 @@
-"""Clusters of pixel heights. Rasters hold few distinct heights, so all but the argmax work on (v, n) histograms."""
+"""Clusters of pixel heights, on (v, n) histograms, which a float raster may have as many rows of as pixels."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import written
+from .focal import median_blur, pyr_down
+from .ranges import running
 
 
 def histogram(p: DataFrame) -> DataFrame:
@@ -55,6 +57,15 @@ def fuzzy_cmeans(p: DataFrame, k: int, m: float = 3.0, error: float = 0.05, roun
     return p.withColumn("label", ranked[0]["i"])
 
 
+def estimated_bandwidth(p: DataFrame, quantile: float = 0.1, samples: int = 100) -> DataFrame:
+    """(raster_id, bandwidth): of `samples` pixels of a raster, picked by a hash of their place, the mean distance of heights to the quantile's nearest one, itself counted."""
+    picked = p.withColumn("rn", F.row_number().over(Window.partitionBy("raster_id").orderBy(F.xxhash64("y", "x"), "y", "x"))).where(F.col("rn") <= samples)
+    lists = picked.groupBy("raster_id").agg(F.collect_list("v").alias("l"))  # `samples` heights at most
+    k = F.greatest(F.lit(1), F.floor(F.size("l") * F.lit(quantile)).cast("int"))
+    kth = F.transform("l", lambda a: F.element_at(F.array_sort(F.transform("l", lambda b: F.abs(a - b))), k))
+    return lists.select("raster_id", (F.aggregate(kth, F.lit(0.0), lambda s, d: s + d) / F.size("l")).alias("bandwidth"))
+
+
 def meanshift_1d(p: DataFrame, bandwidth: float, least: int = 5, rounds: int = 300) -> DataFrame:
     """p with a label by mean shift over the heights of each raster: 0 for the densest mode.
 
@@ -89,21 +100,37 @@ def dbscan_1d(p: DataFrame, eps: float, least: int = 10) -> DataFrame:
 
     A height is core if `least` pixels or more lie within eps of it; cores up to eps apart are one
     cluster, and another height within eps of a core takes the nearest one's (ties: the lower).
+    Counts within eps are differences of a running count, and an open cluster is carried from
+    range partition to range partition, so a raster may have as many heights as pixels.
     """
-    by = Window.partitionBy("raster_id").orderBy("v")
-    h = histogram(p).withColumn("core", F.expr(f"sum(n) OVER (PARTITION BY raster_id ORDER BY v RANGE BETWEEN {float(eps)!r}D PRECEDING AND {float(eps)!r}D FOLLOWING)") >= least)
-    low = F.last(F.when(F.col("core"), F.col("v")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    h = h.withColumn("below", low)
+    h = written(histogram(p))
+    none = F.lit(0).cast("long")
+    asked = F.explode(F.array(F.struct((F.col("v") - eps).alias("at"), F.lit(0).alias("kind"), none.alias("m")), F.struct(F.col("v").alias("at"), F.lit(1).alias("kind"), F.col("n").alias("m")), F.struct((F.col("v") + eps).alias("at"), F.lit(2).alias("kind"), none.alias("m"))))
+    counted = running(h.select("raster_id", "v", "n", asked.alias("q")).select("raster_id", "v", "n", "q.*"), ["at", "kind", "v"], {"upto": F.col("m")})
+    end = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("upto")))
+    h = counted.groupBy("raster_id", "v", "n").agg((end(2) - end(0) >= least).alias("core"))
+    core = F.when(F.col("core"), F.col("v"))
+    h = running(h, ["v"], before={"below": core})
     first = F.col("core") & (F.col("below").isNull() | (F.col("v") - F.col("below") > eps))
-    h = h.withColumn("c", F.sum(F.when(first, 1).otherwise(0)).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    above = by.rowsBetween(1, Window.unboundedFollowing)
-    h = h.withColumns({"up": F.first(F.when(F.col("core"), F.struct("v", "c")), ignorenulls=True).over(above)})
+    h = running(h, ["v"], {"c": F.when(first, 1).otherwise(0)})
+    h = running(h.withColumn("down", -F.col("v")), ["down"], before={"up": F.when(F.col("core"), F.struct("v", "c"))})
     down = F.when(F.col("v") - F.col("below") <= eps, F.col("v") - F.col("below"))
     rise = F.when(F.col("up.v") - F.col("v") <= eps, F.col("up.v") - F.col("v"))
     label = F.when(F.col("core"), F.col("c")).when(down.isNotNull() & (rise.isNull() | (down <= rise)), F.col("c")).when(rise.isNotNull(), F.col("up.c")).otherwise(0)
     return h.select("raster_id", "v", "n", label.cast("long").alias("label"))
 
 
+def dbscan_reduced(p: DataFrame, eps: float, least: int, width: int, height: int, levels: int = 4) -> DataFrame:
+    """p with the label of dbscan_1d over the raster that a median of 5 and `levels` halvings leave; a pixel takes that of the reduced pixel over it (0 where there is none)."""
+    small, w, h = median_blur(p, 5, width, height), width, height
+    for _ in range(levels):
+        small, w, h = pyr_down(small, w, h), (w + 1) // 2, (h + 1) // 2
+    small = written(small)
+    named = small.join(dbscan_1d(small, eps, least), ["raster_id", "v"]).select("raster_id", F.col("y").alias("sy"), F.col("x").alias("sx"), "label")
+    over = p.withColumns({"sy": F.shiftright("y", levels), "sx": F.shiftright("x", levels)})
+    return over.join(named, ["raster_id", "sy", "sx"], "left").select(*p.columns, F.coalesce("label", F.lit(0).cast("long")).alias("label"))
+
+
 def cluster_argmax(labelled: DataFrame) -> DataFrame:
     """(raster_id, label, v, y, x): the highest pixel of each cluster above 0; ties go to the smallest y, then x."""
     best = labelled.where("label > 0").groupBy("raster_id", "label").agg(F.max(F.struct(F.col("v"), (-F.col("y")).alias("ny"), (-F.col("x")).alias("nx"))).alias("t"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import tiles
 from .components import component_pixels, label_given, label_runs, runs
-from .pixels import KEY, close_rect, erode_rect, gray
+from .pixels import KEY, close_rect, erode_rect, gray, without
 
 #: The derivative and smoothing taps of the gradient kernels, by size.
 SOBEL = {3: ([-1, 0, 1], [1, 2, 1]), 5: ([-1, -2, 0, 2, 1], [1, 4, 6, 4, 1])}
@@ -173,6 +173,39 @@ def resample_nearest(p: DataFrame, factor: int) -> DataFrame:
     return p.where((F.pmod("x", F.lit(factor)) == mid) & (F.pmod("y", F.lit(factor)) == mid)).withColumns({"x": F.floor(F.col("x") / factor).cast("int"), "y": F.floor(F.col("y") / factor).cast("int")})
 
 
+def resample(p: DataFrame, sizes: DataFrame, linear: bool = False) -> DataFrame:
+    """p in other shapes, up or down, by any ratio. sizes: (raster_id, width, height, to_width, to_height), a row for each raster.
+
+    Each pixel goes to the places that read it: under their middle, or with `linear`, by distance to
+    it, the two on each axis. So rows grow with the result only, and nothing but sizes is joined.
+    """
+    p = p.join(sizes, "raster_id")
+    for axis, was, to in (("x", "width", "to_width"), ("y", "height", "to_height")):
+        c, w, n = F.col(axis), F.col(was), F.col(to)
+        if linear:
+            ratio = w / n
+            low = F.when(c == 0, 0).otherwise(F.greatest(F.lit(0), F.ceil((c - 0.5) / ratio - 0.5)))
+            high = F.when(c == w - 1, n - 1).otherwise(F.least(n - 1, F.floor((c + 1.5) / ratio - 0.5)))
+        else:
+            # Whole numbers: place i reads (2 i + 1) w / 2 n, rounded down.
+            first = lambda x, w=w, n=n: F.ceil((2 * x * n - w) / (2 * w))
+            low, high = F.greatest(F.lit(0), first(c)), F.least(n, first(c + 1)) - 1
+        low, high = low.cast("int"), high.cast("int")
+        p = p.withColumn("to", F.explode(F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))))
+        if linear:
+            at = F.least(F.greatest((F.col("to") + 0.5) * (w / n) - 0.5, F.lit(0.0)), (w - 1).cast("double"))
+            p = p.withColumn("v", F.col("v") * (F.lit(1.0) - F.abs(at - c))).where(F.abs(at - c) < 1)
+        p = p.withColumn(axis, F.col("to"))
+        if linear:
+            p = p.groupBy(*KEY, "width", "height", "to_width", "to_height").agg(F.sum("v").alias("v"))
+    return p.drop("to", "width", "height", "to_width", "to_height")
+
+
+def mask_out(p: DataFrame, mask: DataFrame, sizes: DataFrame) -> DataFrame:
+    """p without the pixels under a mask of another shape, which takes p's first; sizes as for resample(), from the mask's shape to p's."""
+    return without(p, resample(mask.select(*KEY), sizes))
+
+
 def resample_linear(p: DataFrame, factor: float, width: int, height: int) -> DataFrame:
     """Sides divided by factor (any number above 0), rounded down: each place takes the four pixels round it, by their distances."""
     for axis, extent in (("x", width), ("y", height)):

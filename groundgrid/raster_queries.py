@@ -313,10 +313,36 @@ def _(t):
     return clustering.dbscan_1d(t("canopy"), 0.25, 40)
 
 
-@query("k6_cluster_argmax", f"WITH {DENSE} SELECT raster_id, label, v, y, x FROM (SELECT p.raster_id, label, p.v, y, x, row_number() OVER (PARTITION BY p.raster_id, label ORDER BY p.v DESC, y, x) AS rn FROM canopy p JOIN named m ON m.raster_id = p.raster_id AND m.v = p.v WHERE label > 0) q WHERE rn = 1")
+def _median_sql(name: str, src: str) -> str:
+    return f"""{name}_w AS ({_edge_sql('x', src)}), {name}_p AS ({_edge_sql('y', f'{name}_w')}),
+{name}_h AS (SELECT raster_id, y + oy AS y, x + ox AS x, list_sort(list(v)) AS l FROM {name}_p JOIN (VALUES {', '.join(map(str, square(5)))}) AS o(ox, oy) ON TRUE JOIN grid ON TRUE WHERE x + ox BETWEEN 0 AND w - 1 AND y + oy BETWEEN 0 AND w - 1 GROUP BY 1, 2, 3),
+{name} AS MATERIALIZED (SELECT raster_id, y, x, l[len(l) - 12] AS v FROM {name}_h WHERE len(l) >= 13)"""
+
+
+def _half_sql(name: str, src: str, level: int) -> str:
+    """One halving of a raster whose side is w / 2^level."""
+    side = f"(SELECT w // {2**level} AS w FROM grid) g"
+    blurred = blur_sql(f"{name}_s", src, 5, 0).replace("JOIN grid ON TRUE", f"JOIN {side} ON TRUE")
+    return f"{blurred}, {name} AS MATERIALIZED (SELECT raster_id, y // 2 AS y, x // 2 AS x, v FROM {name}_s WHERE x % 2 = 0 AND y % 2 = 0)"
+
+
+REDUCED = ", ".join([_median_sql("small0", "canopy"), *[_half_sql(f"small{i + 1}", f"small{i}", i) for i in range(4)], DENSE.replace("FROM canopy", "FROM small4").replace("<= 0.25", "<= 0.5").replace(">= 40", ">= 10"),
+    "spread AS (SELECT c.raster_id, c.y, c.x, c.v, coalesce(m.label, 0) AS label FROM canopy c LEFT JOIN small4 s ON s.raster_id = c.raster_id AND s.y = c.y // 16 AND s.x = c.x // 16 LEFT JOIN named m ON m.raster_id = s.raster_id AND m.v = s.v)"])
+
+
+def _reduced(t):
+    n = _n(t)
+    return clustering.dbscan_reduced(t("canopy").select(*pixels.KEY, "v"), 0.5, 10, n, n)
+
+
+@query("k4_dbscan_reduced", f"WITH {REDUCED} SELECT {KEY}, label FROM spread")
+def _(t):
+    return _reduced(t).select(*pixels.KEY, "label")
+
+
+@query("k6_cluster_argmax", f"WITH {REDUCED} SELECT raster_id, label, v, y, x FROM (SELECT raster_id, label, v, y, x, row_number() OVER (PARTITION BY raster_id, label ORDER BY v DESC, y, x) AS rn FROM spread WHERE label > 0) q WHERE rn = 1")
 def _(t):
-    high = t("canopy")
-    return clustering.cluster_argmax(high.join(clustering.dbscan_1d(high, 0.25, 40).drop("n"), ["raster_id", "v"]))
+    return clustering.cluster_argmax(_reduced(t))
 
 
 # Resampling and patches
@@ -327,6 +353,31 @@ def _(t):
     return focal.resample_nearest(t("canopy"), 3)
 
 
+def _sizes(t, *shapes):
+    """The derived raster's shape as (width, height) expressions in w, and another one."""
+    return t("grid").select(F.lit(1).alias("raster_id"), *[F.expr(e).cast("int").alias(c) for e, c in zip(shapes, ("width", "height", "to_width", "to_height"))])
+
+
+UP, DOWN = ("CAST(floor(w * 1.5) AS INT)", "CAST(floor(w * 1.25) AS INT)"), ("CAST(floor(w / 3.5) AS INT)", "CAST(floor(w / 2.25) AS INT)")
+
+
+def _nearest_sql(to) -> str:
+    places = lambda side, axis: f"(SELECT i AS t{axis}, ((2 * i + 1) * w) // (2 * n) AS s{axis} FROM (SELECT w, {side} AS n, unnest(range({side})) AS i FROM grid))"
+    return f"SELECT raster_id, CAST(ty AS INT) AS y, CAST(tx AS INT) AS x, v FROM canopy c JOIN {places(to[0], 'x')} px ON px.sx = c.x JOIN {places(to[1], 'y')} py ON py.sy = c.y"
+
+
+@query("g1_resample_shape", f"SELECT 'up' AS kind, * FROM ({_nearest_sql(UP)}) UNION ALL SELECT 'down', * FROM ({_nearest_sql(DOWN)})")
+def _(t):
+    up, down = (focal.resample(t("canopy").select(*pixels.KEY, "v"), _sizes(t, "w", "w", *to)).select(F.lit(kind).alias("kind"), *pixels.KEY, "v") for kind, to in (("up", UP), ("down", DOWN)))
+    return up.union(down)
+
+
+@query("p10_mask_out_resized", "WITH small AS (SELECT DISTINCT raster_id, y // 2 AS y, x // 2 AS x FROM layers) SELECT c.raster_id, c.y, c.x, c.v FROM canopy c ANTI JOIN small s ON s.raster_id = c.raster_id AND s.y = c.y // 2 AND s.x = c.x // 2")
+def _(t):
+    small = t("layers").select("raster_id", F.floor(F.col("y") / 2).cast("int").alias("y"), F.floor(F.col("x") / 2).cast("int").alias("x")).distinct()
+    return focal.mask_out(t("canopy"), small, _sizes(t, "floor(w / 2)", "floor(w / 2)", "w", "w"))
+
+
 @query("g2_resample_boxes", "SELECT raster_id, box_id, x1 / 2 AS x1, y1 / 4 AS y1, x2 / 2 AS x2, y2 / 4 AS y2 FROM boxes")
 def _(t):
     return t("boxes").select("raster_id", "box_id", *[(F.col(c) / (2 if c[0] == "x" else 4)).alias(c) for c in ("x1", "y1", "x2", "y2")])
