@@ -9,7 +9,7 @@ from .functions.geometry import round6
 from .operators import classify, clustering, components, dataset, focal, pixels, reports, tops
 from .queries import ANN, KEY, QUERIES, R5, RUNS, query, table
 from .raster_queries import DARK, LIGHT, SCENE, _n, _patch, _rows, blur_sql, ellipse_sql
-from .sources import files
+from .sources import files, images
 
 # Reports
 
@@ -188,7 +188,7 @@ def _(t):
 
 
 _rows("m1_predict_patches", _predicted)
-_rows("m7_sweep", lambda t: classify.sweep(_features(t), [0.001, 0.1], [0, 2]))
+_rows("m7_sweep", lambda t: classify.tune(_features(t), [0.001, 0.1], [4], [0, 2], folds=2)[0])
 
 
 # Sources and sinks: derived rows are written as files in the shared folder and read by the reader
@@ -257,6 +257,25 @@ def _(t, spark, path):
     return spark.read.parquet(path).select("raster_id", "y", "x")
 
 
+@through_files("s1_read_tiff", f"SELECT {KEY}, v FROM canopy")
+def _(t, spark, path):
+    images.write_tiff_tiles(t("canopy"), path, 200)
+    return images.read_tiff_tiles(spark, path)
+
+
+@through_files("s12_write_patch_images", """SELECT f.site, b.cls, count(*) AS n, CAST(sum(c.r) AS BIGINT) AS r, CAST(sum(c.g * (c.x - x0)) AS BIGINT) AS gx, CAST(sum(c.b * (c.y - y0)) AS BIGINT) AS by FROM (SELECT raster_id, tid, cls, mosaic, x - 10 AS x0, y - 10 AS y0 FROM trees JOIN grid ON TRUE WHERE x >= 10 AND y >= 10 AND x + 10 <= w AND y + 10 <= w) b
+JOIN folds f ON f.mosaic = b.mosaic JOIN scene c ON c.raster_id = b.raster_id AND c.x >= x0 AND c.x < x0 + 20 AND c.y >= y0 AND c.y < y0 + 20 GROUP BY 1, 2""")
+def _(t, spark, path):
+    n = F.lit(_n(t))
+    named = t("trees").join(t("folds"), "mosaic").select("raster_id", "tid", "cls", "site")
+    p = dataset.crop(t("scene"), dataset.patch_boxes(t("trees"), 20, n, n), "tid", 20).join(named, ["raster_id", "tid"])
+    images.write_patch_images(p, ["raster_id", "tid"], path)
+    read = files.read_image_pixels(spark, f"{path}/site=*/cls=*")
+    part = lambda name: F.regexp_extract("path", f"{name}=([^/]+)/", 1)
+    sums = [F.sum("r").alias("r"), F.sum(F.col("g") * F.col("x")).alias("gx"), F.sum(F.col("b") * F.col("y")).alias("by")]
+    return read.groupBy(part("site").cast("int").alias("site"), part("cls").alias("cls")).agg(F.count("*").alias("n"), *sums)
+
+
 @through_files("s12_write_patches", """SELECT f.site, b.cls, count(*) AS n, sum(c.r) AS r FROM (SELECT raster_id, tid, cls, mosaic, x - 10 AS x0, y - 10 AS y0 FROM trees JOIN grid ON TRUE WHERE x >= 10 AND y >= 10 AND x + 10 <= w AND y + 10 <= w) b
 JOIN folds f ON f.mosaic = b.mosaic JOIN rgb c ON c.raster_id = b.raster_id AND c.x >= x0 AND c.x < x0 + 20 AND c.y >= y0 AND c.y < y0 + 20 GROUP BY 1, 2""")
 def _(t, spark, path):
