@@ -32,14 +32,21 @@ class PrefixTrie:
 
     A node is a prefix; its score is that of the best segmentation of the prefix, from the
     scores of the nodes above it. A character in no piece costs the least score less 10 and
-    counts as one token. Equal scores: fewer tokens, then fewer unknown ones. When most_nodes
-    is passed the trie starts anew, so that its memory is bounded.
+    counts as one token. Equal scores: fewer tokens, then fewer unknown ones. Past most_nodes
+    a word goes on without nodes, from the scores of its last positions, and the next word
+    starts the trie anew, so memory is bounded however long a word is.
     """
 
     def __init__(self, pieces: dict[str, float], most_nodes: int = 400_000):
         self.pieces, self.longest = pieces, max(map(len, pieces), default=1)
         self.unknown = min(pieces.values(), default=0.0) - 10
         self.most_nodes = most_nodes
+        # By their last two characters, the lengths of pieces: few places have to be looked at.
+        lengths: dict[str, set[int]] = {}
+        for p in pieces:
+            if len(p) > 1:
+                lengths.setdefault(p[-2:], set()).add(len(p))
+        self.ends = {k: tuple(sorted(v)) for k, v in lengths.items()}
         self.clear()
 
     def clear(self) -> None:
@@ -50,26 +57,37 @@ class PrefixTrie:
         """(tokens, unknown tokens) of the word."""
         if len(self.best) > self.most_nodes:
             self.clear()
-        below, best, pieces = self.below, self.best, self.pieces
-        at, path, new = 0, [0], False
+        below, best, pieces, ends, longest = self.below, self.best, self.pieces, self.ends, self.longest
+        at, new, state = 0, False, best[0]
+        recent = [state]  # at the last positions
         for end, ch in enumerate(word, 1):
             node = None if new else below.get((at, ch))
             if node is None:
                 new = True
-                score, tokens, odd = best[at]
-                top = (score + self.unknown, tokens - 1, odd - 1) if ch not in pieces else (score + pieces[ch], tokens - 1, odd)
-                for begin in range(max(0, end - self.longest), end - 1):
-                    p = pieces.get(word[begin:end])
+                score, tokens, odd = state
+                p = pieces.get(ch)
+                top = (score + self.unknown, tokens - 1, odd - 1) if p is None else (score + p, tokens - 1, odd)
+                for n in ends.get(word[end - 2 : end], ()) if end > 1 else ():
+                    if n > end:
+                        break
+                    p = pieces.get(word[end - n : end])
                     if p is not None:
-                        score, tokens, odd = best[path[begin]]
+                        score, tokens, odd = recent[-n]
                         if (score + p, tokens - 1, odd) > top:
                             top = (score + p, tokens - 1, odd)
-                node = len(best)
-                best.append(top)
-                below[at, ch] = node
+                state = top
+                if at >= 0 and len(best) <= self.most_nodes:
+                    node = below[at, ch] = len(best)
+                    best.append(top)
+                else:
+                    node = -1
+            else:
+                state = best[node]
             at = node
-            path.append(node)
-        return -best[at][1], -best[at][2]
+            recent.append(state)
+            if len(recent) > 64 + 2 * longest:
+                del recent[:-longest]
+        return -state[1], -state[2]
 
 
 def token_counts(docs: DataFrame, path: str | None = None, most_words: int = 300_000) -> DataFrame:
