@@ -41,11 +41,11 @@ class PrefixTrie:
         self.pieces, self.longest = pieces, max(map(len, pieces), default=1)
         self.unknown = min(pieces.values(), default=0.0) - 10
         self.most_nodes = most_nodes
-        # By their last two characters, the lengths of pieces: few places have to be looked at.
+        # By their last four characters, or all of a shorter one, the lengths of pieces: few places have to be looked at.
         lengths: dict[str, set[int]] = {}
         for p in pieces:
             if len(p) > 1:
-                lengths.setdefault(p[-2:], set()).add(len(p))
+                lengths.setdefault(p[-4:], set()).add(len(p))
         self.ends = {k: tuple(sorted(v)) for k, v in lengths.items()}
         self.clear()
 
@@ -67,14 +67,17 @@ class PrefixTrie:
                 score, tokens, odd = state
                 p = pieces.get(ch)
                 top = (score + self.unknown, tokens - 1, odd - 1) if p is None else (score + p, tokens - 1, odd)
-                for n in ends.get(word[end - 2 : end], ()) if end > 1 else ():
-                    if n > end:
+                for last in (2, 3, 4):
+                    if last > end:
                         break
-                    p = pieces.get(word[end - n : end])
-                    if p is not None:
-                        score, tokens, odd = recent[-n]
-                        if (score + p, tokens - 1, odd) > top:
-                            top = (score + p, tokens - 1, odd)
+                    for n in ends.get(word[end - last : end], ()):
+                        if n > end:
+                            break
+                        p = pieces.get(word[end - n : end])
+                        if p is not None:
+                            score, tokens, odd = recent[-n]
+                            if (score + p, tokens - 1, odd) > top:
+                                top = (score + p, tokens - 1, odd)
                 state = top
                 if at >= 0 and len(best) <= self.most_nodes:
                     node = below[at, ch] = len(best)
