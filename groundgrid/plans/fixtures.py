@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.components import written
+
 BASE = ["part", "lineitem", "events", "documents", "labels"]
 
 VIEWS: dict[str, str] = {
@@ -116,13 +118,13 @@ SELECT * FROM (VALUES (1,1),(1,2),(1,3),(2,4),(2,5),(2,7),(3,6),(3,8),(4,9)) AS
 }
 
 
-def with_views(body: str) -> str:
-    """The body as one statement, with the views that it needs before it."""
+def with_views(body: str, given: tuple[str, ...] = ()) -> str:
+    """The body as one statement, with the views that it needs before it, but for those that are given."""
     needed: list[str] = []
 
     def visit(sql: str) -> None:
         for name in VIEWS:
-            if re.search(rf"\b(FROM|JOIN)\s+{name}\b", sql) and name not in needed:
+            if name not in given and re.search(rf"\b(FROM|JOIN)\s+{name}\b", sql) and name not in needed:
                 visit(VIEWS[name])
                 needed.append(name)
 
@@ -134,8 +136,17 @@ def with_views(body: str) -> str:
     return f"WITH {more[1] or ''}{lead}, {body[more.end():]}" if more else f"WITH {lead} {body}"
 
 
+_canopies: dict[tuple[str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived table (or a given one) as a DataFrame."""
+    """A derived table (or a given one) as a DataFrame. The canopy, which most others rest on, is written once a session."""
     for base in BASE:
         spark.read.parquet(f"{sf_dir}/{base}.parquet").createOrReplaceTempView(base)
-    return spark.sql(with_views(f"SELECT * FROM {name}"))
+    if not re.search(r"\bFROM\s+canopy\b", with_views(f"SELECT * FROM {name}")):
+        return spark.sql(with_views(f"SELECT * FROM {name}"))
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _canopies:
+        _canopies[key] = written(spark.sql(with_views("SELECT * FROM canopy")))
+    _canopies[key].createOrReplaceTempView("canopy")
+    return spark.sql(with_views(f"SELECT * FROM {name}", ("canopy",)))
