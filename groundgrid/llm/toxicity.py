@@ -16,9 +16,13 @@ from .quality import sample_labels
 #: Subsequences of three characters within SPAN; each skipped character costs a factor DECAY. Chosen by folds inside the learning rows.
 SPAN, DECAY = 6, 0.85
 #: Of the squared weights, against 4,000 times the mean squared hinge loss.
-RIDGE = 0.1
+RIDGE = 0.02
 #: Weight of the gapped forms of a string, against its own.
-GAPPED = 2
+GAPPED = 4
+#: Weight of all negatives, against that of the strings of toxic documents.
+AGAINST = 4
+#: Weight of a toxic document, against a clean one, where decisions are made probabilities.
+MISSED = 3
 _SPLIT = re.compile(r"[^\W_]+(?:['.*_\-+~^|][^\W_]+)*")
 _INSIDE = re.compile(r"[\W_]+")
 #: Features are hashed into so many slots, whatever the script.
@@ -123,18 +127,20 @@ def _newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, roun
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", sample_rows: int = 20_000, landmarks: int = 320, most_strings: int = 30_000, rounds: int = 2) -> Toxicity:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", sample_rows: int = 20_000, landmarks: int = 480, most_strings: int = 30_000, rounds: int = 2, least_odds: float = 2.0) -> Toxicity:
     """Learn from the sentences of at most sample_rows labelled documents for which learn holds.
 
     A sentence has its document's label, and is clean if a clean document holds it, too. It is a
-    bag of strings; a toxic document holds an insult somewhere. A first machine takes each string
-    with the weight of the toxic sentences that hold it as a positive and all strings of clean
-    sentences as negatives. In each of `rounds` further ones the positives are, for each toxic
-    document, the string that the machine before scores highest, and the strings of clean
-    sentences that it scores highest join the negatives. Each side is bounded by most_strings;
-    the kernel is reduced to `landmarks` of them by the Nyström method. The decision value is
-    made a probability by logistic regression on the documents' strongest strings. With no rows
-    or one class the score is constant.
+    bag of strings; a toxic document holds an insult somewhere, which explains its label, so each
+    toxic document gives one vote, split over its strings by the square of how much each tells for
+    toxic sentences in the whole sample (otherwise all words of a document with copies would be
+    positives). Strings weigh as their votes (half a vote or more) as positives of a first machine;
+    strings of clean sentences are its negatives. In each of `rounds` further ones votes count
+    what the machine before says, too, and the strings of clean sentences that it scores highest
+    join the negatives. Each side is bounded by most_strings; the kernel is reduced to
+    `landmarks` of them by the Nyström method, half of them positives with an inserted letter. The
+    decision value is made a probability by logistic regression on the documents' strongest
+    strings. With no rows, one class, or no string that has half a vote, the score is constant.
     """
     import pandas as pd
 
@@ -163,7 +169,16 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
     counts = counts.withColumn("odds", odds)
     # A clean document may hold an insult, too: a string is of the side whose sentences hold it oftener.
     clean = counts.where("n > 0 AND odds <= 0")
-    seeds = counts.where("p > 0 AND odds > 0").orderBy(F.desc(F.col("p") * F.col("odds")), "w").limit(most_strings // 10).toPandas()
+    telling = counts.where(F.col("odds") >= least_odds).select("w", (F.col("p") * F.col("odds")).alias("tells"))
+
+    def explaining(scored: DataFrame):
+        """(w, votes) of the strings that have half a vote or more."""
+        held = bags.join(scored, "w").withColumn("tells", F.col("tells") * F.col("tells"))
+        total = held.groupBy("doc_id").agg(F.sum("tells").alias("total"))
+        votes = held.join(total, "doc_id").groupBy("w").agg(F.round(F.sum(F.col("tells") / F.col("total")), 6).alias("votes"))
+        return votes.where("votes >= 0.5").orderBy(F.desc("votes"), "w").limit(most_strings).toPandas()
+
+    seeds = explaining(telling)
     plain = clean.orderBy(F.desc("n"), F.xxhash64("w")).limit(most_strings // 2)
     rare = clean.orderBy(F.xxhash64("w"), "w").limit(most_strings // 2)
     negatives = pd.concat([plain.toPandas(), rare.toPandas()]).drop_duplicates("w")[["w"]]
@@ -176,7 +191,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
         positive = [*seeds, *(v for v, _ in variants)]
         share = np.concatenate([share, [GAPPED * w for _, w in variants]])
         every = [*positive, *negatives.w]
-        marks = [*seeds[: landmarks * 3 // 4], *list(negatives.w)[: landmarks // 4]]
+        marks = [*positive[: landmarks // 4], *(v for v, _ in variants[: landmarks // 2])]
+        marks += list(negatives.w)[: (landmarks - len(marks)) // 2]
+        marks += list(negatives.w)[-(landmarks - len(marks)) :]
+        marks = list(dict.fromkeys(marks))
         used = np.unique(features(marks)[1])
         column = np.full(_SLOTS, -1)
         column[used] = np.arange(len(used))
@@ -195,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
         spectrum, vectors = np.linalg.eigh((own @ own.T).astype("float64"))
         root = vectors / np.sqrt(np.maximum(spectrum, 1e-3)) @ vectors.T  # Nyström: kernel to the power -1/2
         y = np.concatenate([np.ones(len(positive)), -np.ones(len(negatives))])
-        weight = np.concatenate([share / share.sum(), np.full(len(negatives), 2.0 / len(negatives))]) * 4000
+        weight = np.concatenate([share / share.sum(), np.full(len(negatives), AGAINST / len(negatives))]) * 4000
         for i in range(0, len(near), 4096):  # in place
             near[i : i + 4096] = near[i : i + 4096] @ root
         w = _newton(near, y, weight, RIDGE)
@@ -203,17 +221,18 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic",
         weights[used] = (root @ w[:-1]) @ own
         return weights, float(w[-1])
 
-    model = Toxicity(*machine(list(seeds.w), (seeds.p * seeds.odds).to_numpy("float64")), 1.0, 0.0)
+    negatives = negatives[~negatives.w.isin(set(seeds.w))]
+    model = Toxicity(*machine(list(seeds.w), seeds.votes.to_numpy("float64") ** 0.5), 1.0, 0.0)
     for _ in range(rounds):
-        # As many strings as toxic documents at most, and bounded by sample_rows.
-        scored = score_strings(counts.where("p > 0 AND odds > 0").select("w"), model)
-        chosen = bags.join(scored, "w").groupBy("doc_id").agg(F.max(F.struct("decision", "w"))["w"].alias("w")).groupBy("w").agg(F.count("*").alias("docs"))
-        seeds = chosen.orderBy(F.desc("docs"), "w").limit(most_strings // 10).toPandas()
+        more = explaining(score_strings(telling, model).select("w", (F.col("tells") * F.exp("decision")).alias("tells")))
+        if not len(more):  # no string stands out any more
+            break
+        seeds = more
         mined = score_strings(clean.select("w"), model)
-        hard = mined.orderBy(F.desc("decision"), "w").limit(most_strings // 2).toPandas()
-        negatives = pd.concat([negatives, hard[["w"]]]).drop_duplicates("w")
+        hard = mined.orderBy(F.desc("decision"), "w").limit(most_strings // 2).drop("decision").toPandas()
+        negatives = pd.concat([negatives, hard]).drop_duplicates("w")
         negatives = negatives[~negatives.w.isin(set(seeds.w))]
-        model = Toxicity(*machine(list(seeds.w), np.sqrt(seeds.docs.to_numpy("float64"))), 1.0, 0.0)
+        model = Toxicity(*machine(list(seeds.w), seeds.votes.to_numpy("float64") ** 0.5), 1.0, 0.0)
     best = score(sample, model).select("label", "decision").toPandas()  # at most sample_rows
     # Strings with an inserted letter are as toxic as those they are made of, so the threshold has to let them pass, too.
     gapped_too = [v for w in seeds.w[: landmarks // 20] for v in gapped(w)[::2]]
@@ -238,11 +257,11 @@ def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and offset of logistic regression on one value; ties are smoothed, so that it ends on separable data."""
     target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
     a = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(2)
+    w, weight = np.zeros(2), np.where(y > 0, MISSED, 1.0)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        hessian = (a * (p * (1 - p))[:, None]).T @ a + 1e-6 * np.eye(2)
-        step = np.linalg.solve(hessian, a.T @ (p - target))
+        hessian = (a * (weight * p * (1 - p))[:, None]).T @ a + 1e-6 * np.eye(2)
+        step = np.linalg.solve(hessian, a.T @ (weight * (p - target)))
         w = w - np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break

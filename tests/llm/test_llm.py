@@ -311,7 +311,12 @@ def test_classifiers_hold_out(spark):
     held = crc_mod(F.col("doc_id"), 5) == 0
     model = toxicity.fit(docs, labels, ~held)
     rows = toxicity.score(docs.join(labels, "doc_id").where(held), model).select("toxic", "score").toPandas()
-    assert auc(rows.toxic.to_numpy(), rows.score.to_numpy()) > 0.8
+    assert auc(rows.toxic.to_numpy(), rows.score.to_numpy()) > 0.9
+    caught = (rows.score >= 0.5)[rows.toxic == 1].mean(), (rows.score < 0.5)[rows.toxic == 0].mean()
+    inserted = [w[:i] + "xkeo"[i % 4] + w[i:] for w in ("idiot", "moron", "stupid", "pathetic", "disgusting") for i in range(1, len(w))]
+    strange = (model.probability(model.strings(inserted)) >= 0.5).mean()
+    print("held out: recall, clean left alone, inserted letters", *caught, strange)
+    assert caught[0] > 0.75 and caught[1] > 0.95 and strange > 0.4
     odd = toxicity.score(spark.createDataFrame(ODD, DOC), model).collect()
     assert all(0 <= r.score <= 1 for r in odd) and len(odd) == len(ODD)
 
@@ -448,3 +453,39 @@ def test_toxicity_without_labels_or_with_one_class(spark):
     one = toxicity.fit(docs, spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, toxic int"), F.lit(True))
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.5} and all(r.score > 0.9 for r in toxicity.score(docs, one).collect())
     assert toxicity.score(docs.limit(0), none).count() == 0
+
+
+def test_toxicity_of_whole_texts_equals_brute_force(spark):
+    """A text scores as the strongest of its strings, each taken by itself, whatever its length, its copies and other columns."""
+    weights = np.random.default_rng(3).normal(size=toxicity._SLOTS)
+    model = toxicity.Toxicity(weights, -0.5, 0.7, 0.1)
+    texts = ["you are an idxiot, i d i o t!", "you are an idxiot, i d i o t!", "", None, "...", "один два 日本語です", "x" * 5000 + " st*upid " + "word " * 40_000, "a b c"]
+    rows = [(i, t, 7, 8) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score int, decision int")
+
+    def brute(text):
+        words = toxicity.strings_of(text)
+        every = [model.strings([p])[0] for w in dict.fromkeys(words) for p in toxicity.pieces(w)]
+        return 1 / (1 + np.exp(-(0.7 * max(every, default=-1.5) + 0.1)))
+
+    found = {r.doc_id: r.score for r in toxicity.score(docs, model, most_cached=3).collect()}
+    assert len(found) == len(texts) and all(abs(found[i] - brute(t)) < 1e-9 for i, t in enumerate(texts))
+    assert toxicity.strings_of("you i d i o t st*upid") == ["you", "i", "d", "i", "o", "t", "stupid", "idiot"]
+
+
+def test_toxicity_learns_insults_and_not_what_stands_beside_them(spark):
+    """Words that stand beside an insult in copies of one document aren't learnt; inserted and doubled letters of it are caught."""
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("aeiourstnl"), rng.integers(3, 8)))
+    pool = [word() for _ in range(300)]
+    plain = lambda: " ".join(rng.choice(pool, 12)) + "."
+    rows = [(i, plain() + " " + plain(), 0) for i in range(300)]
+    rows += [(i, plain() + f" {plain()[:-1]} {('mokvab', 'zubwig')[i % 2]} {word()}.", 1) for i in range(300, 360)]
+    rows += [(i, f"Beside {word()} quexlim vorplat mokvab.", 1) for i in range(360, 372)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, F.lit(True))
+    chance = lambda *words: model.probability(model.strings(list(words)))
+    assert (chance("mokvab", "zubwig", "mokkvab", "zubbwig", "moxkvab", "zubywig") > 0.5).all()
+    assert (chance("quexlim", "vorplat", "beside", *pool) < 0.5).mean() > 0.98
+    again = toxicity.fit(docs.union(docs), labels.union(labels), F.lit(True))
+    assert np.allclose(again.weights, model.weights, atol=1e-6)
