@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from groundgrid.operators import focal, pixels, tiles
+from groundgrid.plans.fixtures import table
 
 
 def frame(spark, cells):
@@ -85,3 +86,26 @@ def test_percentile_sketches_are_near(spark):
     shares, values = (0.01, 0.5, 0.99), np.arange(200_000) * 7919 % 200_003
     got = pixels.percentile_sketch(p, *shares, accuracy=1000).first()
     assert all(abs((values <= got[f"p{i}"]).mean() - s) <= 1 / 1000 + 1e-5 for i, s in enumerate(shares))
+
+
+def test_cones_are_painted_as_their_sql_says(spark):
+    """By hand on odd points: outside the raster, on one pixel, of equal height, without height; and in more than one task."""
+    offsets = [(dx, dy, dx * dx + dy * dy) for dx in range(-3, 4) for dy in range(-3, 4) if dx * dx + dy * dy <= 9]
+    rng = random.Random(4)
+    points = [(r, i, rng.randrange(-5, 35), rng.randrange(-5, 45), rng.choice([0, 1, 2, 2, 7])) for i, r in enumerate([1, 2] * 40)]
+    points += [(1, 900, 8, 8, 2), (1, 901, 8, 8, 2), (1, 902, 8, 8, 1), (1, 903, 8, 8, None), (1, 904, None, 8, 5), (2, 905, 12, 12, 0)]
+    want = {}
+    for r, i, y, x, h in points:
+        for dx, dy, d2 in offsets:
+            if None not in (y, h) and 0 <= y + dy < 30 and 0 <= x + dx < 40 and 4 * h - d2 > 0:
+                at = (r, y + dy, x + dx)
+                want[at] = max(want.get(at, (0, 0)), ((4 * h - d2) / 4, -i))
+    made = tiles.painted(spark.createDataFrame(points, "raster_id int, id long, y int, x int, h int"), offsets, 40, 30, 16)
+    assert sorted(made.collect()) == sorted((*at, v, -less) for at, (v, less) in want.items())
+
+
+def test_few_rows_that_make_many_go_to_all_cores(spark):
+    """Trees and the scene come of one small file, which is one task unless its rows are dealt out."""
+    for name in ("trees", "scene"):
+        parts = table(spark, "/root/testdata/sf0.001", name).select(F.spark_partition_id().alias("p")).distinct().count()
+        assert parts >= 4, name
