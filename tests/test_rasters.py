@@ -96,3 +96,12 @@ def test_light_filters_erode_and_close_with_the_sizes_of_the_reference(spark, da
 @pytest.mark.parametrize("name", ["p16_filter_shadows", "p16_filter_shadows_whole", "p17_filter_bright", "p17_filter_bright_whole"])
 def test_light_query_equals_its_sql(spark, name):
     equals_its_sql(spark, name)
+
+
+def test_exploded_pixels_are_not_broadcast(spark):
+    """A few rows that make many pixels look as small as they were; 6 times sf0.1's trees made a broadcast of 4 GB in t7."""
+    labelled = components.label_runs(spark.createDataFrame([(1, 2, 3, 1.0), (1, 2, 4, 2.0)], "raster_id int, y int, x int, v double"))
+    pixel = components.written(spark.createDataFrame([(1, 2, 3, 1.0)], "raster_id int, y int, x int, v double"))
+    joined = components.component_pixels(labelled).join(pixel, ["raster_id", "y", "x"])
+    assert "Broadcast" not in joined._jdf.queryExecution().optimizedPlan().toString() and "SortMergeJoin" in joined._jdf.queryExecution().sparkPlan().toString()
+    assert float(spark.conf.get("spark.sql.sources.fileCompressionFactor")) > 1
