@@ -5,7 +5,7 @@ import random
 import pytest
 from test_operators import flood, test_query_equals_its_sql as equals_its_sql
 
-from groundgrid.operators import focal, pixels, tops
+from groundgrid.operators import components, focal, pixels, tops
 from groundgrid.sources import files
 
 

@@ -109,3 +109,15 @@ def test_few_rows_that_make_many_go_to_all_cores(spark):
     for name in ("trees", "scene"):
         parts = table(spark, "/root/testdata/sf0.001", name).select(F.spark_partition_id().alias("p")).distinct().count()
         assert parts >= 4, name
+
+
+@pytest.mark.parametrize("k,times", [(3, 1), (4, 2), (10, 3)])
+def test_rectangles_over_tiles_equal_window_frames(spark, k, times):
+    """Heights of both signs and zero, gaps, and more than one tile; a pixel is shuffled once."""
+    cells = spark.range(300 * 270).selectExpr("1 AS raster_id", "CAST(id DIV 300 AS INT) AS y", "CAST(id % 300 AS INT) AS x", "CAST(pmod(xxhash64(id), 7) - 3 AS DOUBLE) AS v").where("pmod(xxhash64(x, y), 500) != 0")
+    for f in (pixels.erode_rect, pixels.dilate_rect, pixels.close_rect):
+        made = f(cells, k, times, 300, 270)
+        framed = f(cells, k, times, F.lit(300), F.lit(270))
+        assert made.schema.simpleString() == framed.schema.simpleString()
+        assert made.exceptAll(framed).isEmpty() and framed.exceptAll(made).isEmpty()
+        assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == (2 if f is pixels.close_rect else 1)
