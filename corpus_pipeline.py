@@ -39,7 +39,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near copies (five-word shingles, similarity 0.8)."""
+    """One document, that of the smallest doc_id, of each group of near copies: SimHash's links, each checked for similarity 0.8 of five-word shingles, and the ones that fingerprints miss by an exact join."""
     return simhash.keep_one(docs).select(*docs.columns)
 
 

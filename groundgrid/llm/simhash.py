@@ -136,6 +136,7 @@ def _sketches(size: int, similarity: float, shared):
         hot, heat = shared.value
         for b in batches:
             heads, prefixes, maps = [], [], []
+            fps = [fingerprint(t.as_py(), 3) for t in b.column(1)]
             for t in b.column(1):
                 words, digest = _words(t.as_py())
                 found = _shingle_set(words, size)
@@ -145,7 +146,7 @@ def _sketches(size: int, similarity: float, shared):
                 maps.append(np.packbits(odd.astype("uint8"), bitorder="little").view("int64"))
             heads, maps = np.array(heads, "int64").reshape(-1, 3).T, np.array(maps, "int64").reshape(-1, len(_MAP)).T
             cols = [pa.array(np.ascontiguousarray(x)) for x in (*heads, *maps)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "h1", "h2", "n", *_MAP, "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array(prefixes, pa.list_(pa.int64())), pa.array(fps, pa.int64())], names=["doc_id", "h1", "h2", "n", *_MAP, "prefix", "fp"])
 
     return run
 
@@ -202,16 +203,29 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int,
     return found
 
 
+def signed(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes (node, fp) that SimHash links, linear in the nodes: each with the first node of its
+    fingerprint, and that with the first one of a fingerprint that differs in at most two bits (see links)."""
+    first = cut(nodes.groupBy("fp").agg(F.min("node").alias("rep")))
+    same = nodes.join(first, "fp").where("node != rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    near = cut(links(first.select("fp")))
+    near = near.union(near.select("b", "a")).join(first.select(F.col("fp").alias("b"), F.col("rep").alias("to")), "b")
+    near = near.groupBy(F.col("a").alias("fp")).agg(F.min("to").alias("to")).join(first, "fp")
+    return same.union(near.select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b"))).distinct()
+
+
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, hubs: int = 8, few: int = 32) -> DataFrame:
     """(doc_id, component_id) of every distinct non-null doc_id: component_id is the smallest doc_id
     that links reach. Texts link if their sets of `words`-word shingles have Jaccard similarity >= `similarity`.
 
-    No link is lost: two such sets share a shingle of their prefixes (see _prefix), which are
-    joined by equality. Pairs are sifted by bounds that no link exceeds: the sets' sizes, the
+    SimHash links texts first, by fingerprints of three-word shingles that differ in at most two
+    bits; each of its links is checked on the shingles. Those that fingerprints miss come from an
+    exact join, so no link is lost: two such sets share a shingle of their prefixes (see _prefix),
+    which are joined by equality. Pairs are sifted by bounds that no link exceeds: the sets' sizes, the
     places of the shared shingle, and the bits in which parity maps differ; then verified on
     the shingles themselves. Texts with equal word sequences are one node.
 
-    A first pass verifies each text against one text of its keys, so a group of n near copies
+    A first pass verifies each text against one text of its keys, beside SimHash's links, so a group of n near copies
     costs about n verifications. As long as the texts of shared keys that hang together by no
     link yet make more than `few` pairs a row, a round compares `hubs` texts of each key with
     the others, which is linear; what is left is compared pair by pair. Rounds also end when
@@ -223,9 +237,9 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     """
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(texts, words))
-    schema = f"doc_id long, h1 long, h2 long, n long, {', '.join(f'{p} long' for p in _MAP)}, prefix array<long>"
+    schema = f"doc_id long, h1 long, h2 long, n long, {', '.join(f'{p} long' for p in _MAP)}, prefix array<long>, fp long"
     own = cut(map_arrow(texts, _sketches(words, similarity, shared), schema))
-    sketch = F.first(F.struct("n", *_MAP, "prefix")).alias("s")  # equal for equal sequences
+    sketch = F.first(F.struct("n", *_MAP, "prefix", "fp")).alias("s")  # equal for equal sequences
     nodes = own.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), sketch).select("h1", "h2", "id", "s.*")
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
 
@@ -247,7 +261,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     first = met.where("node = hub").select("key", "pos", "n", *_MAP)
     near = met.alias("x").join(first.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("x.hub")) & close("x", "y"))
     near = near.groupBy(F.col("x.node").alias("node")).agg(F.min("x.hub").alias("hub"))
-    tried = cut(near.select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    tried = cut(signed(nodes.select("node", "fp")).union(near.select(F.col("hub").alias("a"), F.col("node").alias("b"))).distinct())
     found = _verified(tried, nodes, texts, words, similarity)
     live, left = met.drop("hub"), None
     for turn in itertools.count():

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from test_llm import brute_hits, brute_lines, jaccard_roots
 
 import corpus_pipeline
-from groundgrid.llm import bpe, decontaminate, quality
+from groundgrid.llm import bpe, decontaminate, quality, simhash
 from groundgrid.llm.common import crc_mod
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -145,3 +145,15 @@ def test_stages_on_odd_rows(spark, corpus):
     last = STAGES["bpe_encoding"](spark, odd, where).collect()
     assert len(last) == len(rows) and all(r.round_trip for r in last)
     assert STAGES["bpe_encoding"](spark, odd.limit(0), where).count() == 0
+
+
+def test_near_dedup_links_by_simhash(spark, corpus, monkeypatch):
+    """The stage seeks its near copies by fingerprints, and their links are those of op3's: at most two bits."""
+    rows = [(i, fp) for i, fp in enumerate([0, 5, 5, 7, -1, -2, 0xF00, 5])]  # 5 and 7 differ in one bit, 0 and 5 in two
+    got = {tuple(r) for r in simhash.signed(spark.createDataFrame(rows, "node long, fp long")).collect()}
+    assert got == {(1, 2), (1, 7), (0, 1), (1, 3), (4, 5)}
+    seen, own = [], simhash.signed
+    monkeypatch.setattr(simhash, "signed", lambda nodes: seen.append(own(nodes)) or seen[0])
+    docs = spark.read.parquet(f"{corpus[0]}/documents.parquet").where("text IS NOT NULL")
+    near = STAGES["simhash_near_dedup"](spark, docs.union(docs.selectExpr("doc_id + 1000", "concat(text, ' .')", "lang", "source", "n_chars")), corpus[0])
+    assert near.count() <= docs.count() + 20 and seen[0].count() >= 20
