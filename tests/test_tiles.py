@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from groundgrid.operators import focal, pixels, tiles
+from groundgrid.operators import dataset, focal, pixels, tiles
 from groundgrid.plans.fixtures import table
 
 
@@ -121,3 +121,16 @@ def test_rectangles_over_tiles_equal_window_frames(spark, k, times):
         assert made.schema.simpleString() == framed.schema.simpleString()
         assert made.exceptAll(framed).isEmpty() and framed.exceptAll(made).isEmpty()
         assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == (2 if f is pixels.close_rect else 1)
+
+
+def test_augmented_patches_equal_the_single_codes(spark):
+    """Patches across tiles and with gaps, against crop() and each code by itself; no patch pixel is shuffled."""
+    rng = random.Random(8)
+    p = frame(spark, {(y, x): rng.randrange(0, 9) * 1.0 for y in range(40) for x in range(44) if rng.random() < 0.7})
+    boxes = spark.createDataFrame([(1, 10 + i, rng.randrange(0, 34), rng.randrange(0, 38)) for i in range(20)] + [(1, 99, 60, 60), (1, 98, 15, 15), (1, 97, 15, 15)], "raster_id int, tid long, y0 int, x0 int")
+    made = dataset.augmented(p, boxes, "tid", 6, 30, 16)
+    patch, cols = dataset.crop(p, boxes, "tid", 6), ["raster_id", "tid", "px", "py"]
+    each = {c: dataset.turn(patch, c, 6) for c in (0, 1, 5)} | {2: dataset.soften(patch, ["raster_id", "tid"], 6), 3: dataset.rotate(patch, ["raster_id", "tid"], 6, 30)}
+    want = sorted((*r[:4], round(r.v, 9), c) for c, df in each.items() for r in df.select(*cols, "v").collect())
+    assert sorted((*r[:4], round(r.v, 9), r.code) for r in made.collect()) == want
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
