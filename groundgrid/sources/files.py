@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import BATCH_BYTES
+
 
 def read_image_pixels(spark: SparkSession, path: str) -> DataFrame:
     """(path, y, x, b, g, r) of image files; a gray image has b = g = r. Each image is unpacked by itself."""
@@ -23,6 +25,7 @@ def read_image_pixels(spark: SparkSession, path: str) -> DataFrame:
                     plane = dict(zip("bgr", (part[:, :, c].ravel().astype("int32") for c in ((0, 1, 2) if n >= 3 else (0, 0, 0)))))
                     yield pd.DataFrame({"path": origin, "y": (y + y0).ravel().astype("int32"), "x": x.ravel().astype("int32"), **plane})
 
+    spark.conf.set(BATCH_BYTES, str(512 << 10))  # a row holds a whole file
     return images.mapInPandas(unpack, "path string, y int, x int, b int, g int, r int")
 
 
