@@ -47,6 +47,11 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def exploded(df: DataFrame) -> DataFrame:
+    """df, of which a row was made many, or whose files hold much in few bytes: Spark takes it to be smaller than it is, so joins must not broadcast it."""
+    return df.hint("merge")
+
+
 def fresh(docs: DataFrame, *names: str) -> list[str]:
     """Names for helper columns, each with as many underscores before it as columns of docs of that name need."""
     taken, made = {c.lower() for c in docs.columns}, []

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, components, cut, drop, map_arrow
+from .common import LOWER, UPPER, components, cut, drop, exploded, map_arrow
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
@@ -61,7 +61,7 @@ def links(fps: DataFrame) -> DataFrame:
     ones = F.shiftrightunsigned("fp", 32)
     wild = F.posexplode(F.array(*[ones.bitwiseAND(F.lit(0xFFFFFFFF ^ (1 << i))) for i in range(32)], F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))))
     index = fps.select("fp", wild.alias("slot", "part")).select("fp", "slot", F.shiftleft(F.col("slot").cast("long"), 32).bitwiseOR(F.col("part")).alias("key"))
-    a, b = index.alias("a"), index.alias("b")
+    a, b = exploded(index).alias("a"), exploded(index).alias("b")  # 33 rows of each
     x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     upper = F.shiftrightunsigned(x, 32)
     slot = F.col("a.slot")
@@ -243,7 +243,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     nodes = own.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), sketch).select("h1", "h2", "id", "s.*")
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
 
-    index = nodes.select("node", F.posexplode("prefix").alias("pos", "key"))
+    index = exploded(nodes.select("node", F.posexplode("prefix").alias("pos", "key")))
     keys = cut(index.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other")).where("hub != other").select("key", "hub"))
     met = cut(index.join(keys, "key").join(nodes.select("node", "n", *_MAP), "node"))
     drop(keys)
@@ -258,7 +258,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
         bits = sum((F.bit_count(c(x, p).bitwiseXOR(c(y, p))) for p in _MAP[1:]), F.bit_count(c(x, _MAP[0]).bitwiseXOR(c(y, _MAP[0]))))
         return sizes & places & (bits <= n - 2 * least)
 
-    first = met.where("node = hub").select("key", "pos", "n", *_MAP)
+    first = exploded(met.where("node = hub").select("key", "pos", "n", *_MAP))
     near = met.alias("x").join(first.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") != F.col("x.hub")) & close("x", "y"))
     near = near.groupBy(F.col("x.node").alias("node")).agg(F.min("x.hub").alias("hub"))
     tried = cut(signed(nodes.select("node", "fp")).union(near.select(F.col("hub").alias("a"), F.col("node").alias("b"))).distinct())
@@ -281,7 +281,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
         rank = F.struct(F.xxhash64(F.lit(turn), "node").alias("rank"), F.col("node").alias("hub"))
         chosen = live.groupBy("key", F.pmod(F.xxhash64("node"), F.lit(hubs)).alias("salt")).agg(F.min(rank)["hub"].alias("node"))
         chosen = cut(live.join(chosen.select("key", "node"), ["key", "node"]))
-        x, y = live.alias("x"), chosen.alias("y")
+        x, y = exploded(live).alias("x"), exploded(chosen).alias("y")
         more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & close("x", "y"))
         more = more.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         more = cut(more.join(tried, ["a", "b"], "left_anti"))
@@ -289,7 +289,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
         rest = cut(live.join(chosen.select("key", "node"), ["key", "node"], "left_anti").drop("comp"))
         drop(live, chosen)
         live = rest
-    x, y = live.alias("x"), live.alias("y")
+    x, y = exploded(live).alias("x"), exploded(live).alias("y")
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & close("x", "y"))
     rest = cut(rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
     found = found.union(_verified(rest, nodes, texts, words, similarity))
