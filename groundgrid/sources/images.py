@@ -5,6 +5,7 @@ Files are opened by pyarrow's file systems (local folders, HDFS, S3, GCS, by the
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from ..operators import tiles
+
 #: Numbers of the TIFF tags that are read or written, and of its compressions, sample kinds and field types.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, SAMPLES, ROWS, COUNTS, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
 TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, KIND = 322, 323, 324, 325, 339
@@ -60,6 +63,17 @@ class _Part(InputPartition):
         self.path, self.layout, self.pieces = path, layout, pieces
 
 
+class _Files(InputPartition):
+    """Whole files, whose heads the task reads."""
+
+    def __init__(self, paths: list[str]):
+        self.paths = paths
+
+
+#: Bytes that opening a file counts for, so that a task reads some files and not thousands.
+OPEN_BYTES = 128 << 10
+
+
 def _layout(path: str) -> tuple[dict, list[tuple[int, int, int, int]]]:
     system, inner = _opened(path)
     with system.open_input_file(inner) as f:
@@ -82,13 +96,20 @@ class TiffReader(DataSourceReader):
         self.path, self.part_bytes = path, part_bytes
 
     def partitions(self):
-        """About part_bytes of file each; the driver reads the heads only."""
+        """About part_bytes of file each; the driver reads the heads of larger files only, and small files go many to a task."""
         system, inner = _opened(self.path)
         lead = self.path[: len(self.path) - len(inner)] if self.path.endswith(inner) else ""
         info = system.get_file_info(inner)
-        files = [inner] if info.is_file else sorted(x.path for x in system.get_file_info(fs.FileSelector(inner, recursive=True)) if x.is_file and x.extension.lower() in ("tif", "tiff"))
-        parts = []
-        for name in files:
+        files = [info] if info.is_file else sorted((x for x in system.get_file_info(fs.FileSelector(inner, recursive=True)) if x.is_file and x.extension.lower() in ("tif", "tiff")), key=lambda x: x.path)
+        parts, few, weight = [], [], 0
+        for name, bytes_ in ((x.path, x.size) for x in files):
+            if bytes_ <= self.part_bytes:
+                few.append(lead + name)
+                weight += bytes_ + OPEN_BYTES
+                if weight >= self.part_bytes:
+                    parts.append(_Files(few))
+                    few, weight = [], 0
+                continue
             layout, pieces = _layout(lead + name)
             held, size = [], 0
             for p in pieces:
@@ -99,9 +120,13 @@ class TiffReader(DataSourceReader):
                     held, size = [], 0
             if held:
                 parts.append(_Part(lead + name, layout, held))
-        return parts
+        return [*parts, *([_Files(few)] if few else [])]
 
     def read(self, partition):
+        for part in [partition] if isinstance(partition, _Part) else (_Part(path, *_layout(path)) for path in partition.paths):
+            yield from self._read(part)
+
+    def _read(self, partition):
         m = partition.layout
         system, inner = _opened(partition.path)
         with system.open_input_file(inner) as f:
@@ -112,11 +137,25 @@ class TiffReader(DataSourceReader):
                 block = flat[: rows * m["w"] * m["samples"]].reshape(rows, m["w"], m["samples"])
                 if m["differences"]:
                     block = np.cumsum(block, axis=1, dtype=block.dtype)
-                block = block[: m["height"] - y, : m["width"] - x].astype("float64")  # tiles may reach over the edge
-                ys, xs = np.indices(block.shape[:2], dtype="int32")
-                for band in range(m["samples"]):
-                    size = ys.size
-                    yield pa.RecordBatch.from_arrays([pa.array([partition.path] * size), pa.array(np.full(size, band, "int32")), pa.array((ys + np.int32(y)).ravel()), pa.array((xs + np.int32(x)).ravel()), pa.array(block[:, :, band].ravel())], names=["path", "band", "y", "x", "v"])
+                yield from self.rows(partition.path, y, x, block[: m["height"] - y, : m["width"] - x].astype("float64"))  # tiles may reach over the edge
+
+    def rows(self, path: str, y: int, x: int, block: np.ndarray):
+        ys, xs = np.indices(block.shape[:2], dtype="int32")
+        for band in range(block.shape[2]):
+            size = ys.size
+            yield pa.RecordBatch.from_arrays([pa.repeat(path, size), pa.array(np.full(size, band, "int32")), pa.array((ys + np.int32(y)).ravel()), pa.array((xs + np.int32(x)).ravel()), pa.array(block[:, :, band].ravel())], names=["path", "band", "y", "x", "v"])
+
+
+class TileReader(TiffReader):
+    """Pixels other than 0 of files that write_tiff_tiles() wrote, in the raster's places; their names are looked at once a piece."""
+
+    def rows(self, path, y, x, block):
+        found = re.search(r"([^/_]+)_(\d+)_(\d+)\.tif$", path)
+        raster, ty, tx = (int(g) for g in found.groups()) if found and re.fullmatch(r"-?\d+", found[1]) else (None, None, None)
+        ys, xs, band = np.nonzero(block != 0)
+        place = [pa.nulls(len(ys), pa.int32()) if at is None else pa.array((c + (at + first)).astype("int32")) for c, at, first in ((ys, ty, y), (xs, tx, x))]
+        rid = pa.nulls(len(ys), pa.int32()) if raster is None else pa.array(np.full(len(ys), raster, "int32"))
+        yield pa.RecordBatch.from_arrays([rid, *place, pa.array(block[ys, xs, band])], names=["raster_id", "y", "x", "v"])
 
 
 class TiffSource(DataSource):
@@ -133,15 +172,32 @@ class TiffSource(DataSource):
         return TiffReader(self.options["path"], int(self.options.get("partBytes", 4 << 20)))
 
 
+class TileSource(TiffSource):
+    """spark.read.format("tiff_tiles").load(path): the raster that write_tiff_tiles() wrote."""
+
+    @classmethod
+    def name(cls):
+        return "tiff_tiles"
+
+    def schema(self):
+        return "raster_id int, y int, x int, v double"
+
+    def reader(self, schema):
+        return TileReader(self.options["path"], int(self.options.get("partBytes", 4 << 20)))
+
+
 class FileWriter(DataSourceWriter):
     def __init__(self, path: str):
         self.path = path
 
     def write(self, iterator):
         system, inner = _opened(self.path)
+        made = set()
         for row in iterator:
             target = f"{inner.rstrip('/')}/{row['file']}"
-            system.create_dir(target.rpartition("/")[0], recursive=True)
+            if (folder := target.rpartition("/")[0]) not in made:
+                system.create_dir(folder, recursive=True)
+                made.add(folder)
             with system.open_output_stream(target) as out:  # a task that runs again writes the same bytes
                 out.write(row["content"])
         return WriterCommitMessage()
@@ -214,19 +270,19 @@ def write_tiff_tiles(p: DataFrame, path: str, tile: int = 512) -> None:
 
     def packed(table: pa.Table) -> pa.Table:
         rid, ty, tx = (table.column(c)[0].as_py() for c in ("raster_id", "ty", "tx"))
-        a = np.zeros((tile, tile))
-        a[table.column("y").to_numpy() - ty * tile, table.column("x").to_numpy() - tx * tile] = table.column("v").to_numpy()
+        a, cells = np.zeros((tile, tile)), tiles.unpacked(table.column("cells"))
+        a[cells["y"] - ty * tile, cells["x"] - tx * tile] = cells["v"]
         return pa.table({"file": [f"{rid}_{ty * tile}_{tx * tile}.tif"], "content": [tiff_bytes(a)]})
 
-    at = lambda c: F.floor(F.col(c) / tile).cast("int")
-    cells = p.select("raster_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("v").cast("double").alias("v"), at("y").alias("ty"), at("x").alias("tx"))
-    write_files(cells.groupBy("raster_id", "ty", "tx").applyInArrow(packed, "file string, content binary"), path)
+    cells = p.select("raster_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("v").cast("double").alias("v")).where("y IS NOT NULL AND x IS NOT NULL")
+    blocks = tiles.packed(cells, lambda axis, c: (c // tile, c // tile))
+    write_files(blocks.groupBy("raster_id", "ty", "tx").applyInArrow(packed, "file string, content binary"), path)
 
 
 def read_tiff_tiles(spark: SparkSession, path: str) -> DataFrame:
     """The raster that write_tiff_tiles() wrote: (raster_id, y, x, v) of pixels other than 0."""
-    part = lambda i: F.regexp_extract("path", r"([^/_]+)_(\d+)_(\d+)\.tif$", i)
-    return read_tiff(spark, path).where("v != 0").select(part(1).cast("int").alias("raster_id"), (F.col("y") + part(2).cast("int")).alias("y"), (F.col("x") + part(3).cast("int")).alias("x"), "v")
+    spark.dataSource.register(TileSource)
+    return spark.read.format("tiff_tiles").load(path)
 
 
 def write_patch_images(patches: DataFrame, key: list[str], path: str) -> None:
