@@ -75,12 +75,11 @@ def lost_region_pct(mask: DataFrame, tops: DataFrame, min_size: int) -> DataFram
     """(raster_id, pct): tops off the mask, or on a component of it of fewer than min_size pixels."""
     labelled = components.written(components.label_runs(mask))
     area = components.stats(labelled).select("raster_id", "comp_y", "comp_x", "area")
-    at = components.component_pixels(labelled).join(area, ["raster_id", "comp_y", "comp_x"])
-    hit = tops.select(*KEY).join(at, KEY, "left")
+    hit = components.looked_up(tops.select(*KEY), labelled).join(area, ["raster_id", "comp_y", "comp_x"], "left")
     return hit.groupBy("raster_id").agg((100.0 * F.count_if(F.coalesce("area", F.lit(0)) < min_size) / F.count("*")).alias("pct"))
 
 
 def windowed_clean_lost_tops(p: DataFrame, tops: DataFrame, size: int, low: float, k: int, iterations: int, width: int, height: int, least: float = 100, min_size: int = 10) -> DataFrame:
     """lost_region_pct of the raster after window_clean and a stretch to 255, of what is above `least`."""
-    clean = pixels.stretch(window_clean(p, size, low, k, iterations, width, height))
+    clean = pixels.stretch(components.written(window_clean(p, size, low, k, iterations, width, height)))
     return lost_region_pct(clean.where(F.col("v") > least).select(*KEY), tops, min_size)
