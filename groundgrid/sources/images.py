@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from ..operators import tiles
+from ..operators import dataset, tiles
 
 #: Numbers of the TIFF tags that are read or written, and of its compressions, sample kinds and field types.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, SAMPLES, ROWS, COUNTS, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
@@ -296,3 +296,117 @@ def write_patch_images(patches: DataFrame, key: list[str], path: str) -> None:
         return pa.table({"file": [f"site={site}/cls={cls}/SP{cls}PATCH{'_'.join(map(str, ids))}.png"], "content": [png_bytes(a)]})
 
     write_files(patches.groupBy("site", "cls", *key).applyInArrow(packed, "file string, content binary"), path)
+
+
+def write_box_images(pixels: DataFrame, boxes: DataFrame, key: str, size: int, path: str) -> None:
+    """write_patch_images() with raster_id and key of the patches of boxes (raster_id, key, site, cls, y0, x0), made where their pixels' tile is, so patches aren't shuffled."""
+    file = F.concat(F.lit("site="), F.col("site").cast("string"), F.lit("/cls="), "cls", F.lit("/SP"), "cls", F.lit("PATCH"), F.col("raster_id").cast("string"), F.lit("_"), F.col(key).cast("string"), F.lit(".png"))
+    named = boxes.select("raster_id", file.alias("file"), "y0", "x0")
+    # Bytes of the three colours in one number, as a file holds them.
+    byte = lambda c: F.pmod(F.col(c).cast("long"), F.lit(256))
+    colours = pixels.select("raster_id", "y", "x", (byte("r") * 65536 + byte("g") * 256 + byte("b")).alias("rgb"))
+
+    def made(a):
+        there = ~np.isnan(a[:, 0]).reshape(-1, size, size)
+        v = np.nan_to_num(a[:, 0]).astype("int64").reshape(-1, size, size)
+        rgb = np.stack([v >> 16, v >> 8 & 255, v & 255], axis=3).astype("uint8")
+        # A patch reaches to its last pixel.
+        high, wide = (size - there.any(axis=k)[:, ::-1].argmax(axis=1) for k in (2, 1))
+        return {"content": pa.array([png_bytes(i[:h, :w]) for i, h, w in zip(rgb, high.tolist(), wide.tolist())], pa.binary())}
+
+    write_files(dataset.on_boxes(colours, named, "file", size, ("rgb",), made, "content binary"), path)
+
+
+def png_array(data: bytes) -> np.ndarray:
+    """The bytes (height, width, samples) of a PNG file of 8 bits, gray or coloured, with or without alpha; others are refused."""
+    if data[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("not a PNG file")
+    at, packed = 8, []
+    while at < len(data):
+        n = struct.unpack(">I", data[at : at + 4])[0]
+        name, body = data[at + 4 : at + 8], data[at + 8 : at + 8 + n]
+        at += 12 + n
+        if name == b"IHDR":
+            width, height, bits, colour, _, _, interlaced = struct.unpack(">IIBBBBB", body)
+            if bits != 8 or colour not in PNG_SAMPLES or interlaced:
+                raise ValueError("only whole-byte PNG files without a palette, not interlaced, are read")
+        elif name == b"IDAT":
+            packed.append(body)
+    n = PNG_SAMPLES[colour]
+    lines = np.frombuffer(zlib.decompress(b"".join(packed)), "uint8").reshape(height, 1 + width * n)
+    out = lines[:, 1:].reshape(height, width, n).copy()
+    for y in np.flatnonzero(lines[:, 0]).tolist() if lines[:, 0].any() else ():
+        kind, row, up = lines[y, 0], out[y], out[y - 1] if y else np.zeros_like(out[y])
+        if kind == 1:
+            out[y] = np.cumsum(row, axis=0, dtype="uint8")
+        elif kind == 2:
+            out[y] = row + up
+        else:
+            left, corner = np.zeros(n, int), np.zeros(n, int)
+            for x in range(width):
+                above = up[x].astype(int)
+                if kind == 3:
+                    guess = (left + above) // 2
+                else:
+                    p = left + above - corner
+                    a, b, c = abs(p - left), abs(p - above), abs(p - corner)
+                    guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, above, corner))
+                left, corner = (row[x] + guess) & 255, above
+                out[y, x] = left
+    return out
+
+
+#: Samples of a pixel by a PNG file's kind of colour.
+PNG_SAMPLES = {0: 1, 2: 3, 4: 2, 6: 4}
+
+
+class PngReader(DataSourceReader):
+    def __init__(self, path: str, files: int):
+        self.path, self.files = path, files
+
+    def partitions(self):
+        system, inner = _opened(self.path)
+        lead = self.path[: len(self.path) - len(inner)] if self.path.endswith(inner) else ""
+        info = system.get_file_info(inner)
+        names = [lead + x.path for x in ([info] if info.is_file else system.get_file_info(fs.FileSelector(inner, recursive=True))) if x.is_file and x.extension.lower() == "png"]
+        return [_Files(sorted(names[i : i + self.files])) for i in range(0, len(names), self.files)]
+
+    def read(self, partition):
+        for i in range(0, len(partition.paths), 100):
+            rows = []
+            for path in partition.paths[i : i + 100]:
+                system, inner = _opened(path)
+                with system.open_input_file(inner) as f:
+                    a = png_array(f.read())
+                rows.append((path, *a.shape, a.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["path", "height", "width", "samples", "data"])
+
+
+class PngSource(DataSource):
+    """spark.read.format("png_images").load(path): (path, height, width, samples, data) of a file or of all .png files under a folder, many to a task, which reads them."""
+
+    @classmethod
+    def name(cls):
+        return "png_images"
+
+    def schema(self):
+        return "path string, height int, width int, samples int, data binary"
+
+    def reader(self, schema):
+        return PngReader(self.options["path"], int(self.options.get("files", 4000)))
+
+
+def png_sums(spark: SparkSession, path: str) -> DataFrame:
+    """(path, n, r, gx, by) of each PNG file under a folder: its pixels, and sums of red, of green times x and of blue times y."""
+    spark.dataSource.register(PngSource)
+
+    def run(batches):
+        for b in batches:
+            found = []
+            for height, width, n, data in zip(*(b.column(c).to_pylist() for c in ("height", "width", "samples", "data"))):
+                a = np.frombuffer(data, "uint8").reshape(height, width, n).astype("int64")
+                r, g, blue = (a[:, :, c] for c in ((0, 1, 2) if n >= 3 else (0, 0, 0)))
+                found.append((height * width, int(r.sum()), int(g.sum(axis=0) @ np.arange(width)), int(blue.sum(axis=1) @ np.arange(height))))
+            yield pa.RecordBatch.from_arrays([b.column("path"), *(pa.array(c, pa.int64()) for c in zip(*found))] if found else [b.column("path"), *[pa.array([], pa.int64())] * 4], names=["path", "n", "r", "gx", "by"])
+
+    return spark.read.format("png_images").load(path).mapInArrow(run, "path string, n long, r long, gx long, by long")
